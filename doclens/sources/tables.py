@@ -29,7 +29,7 @@ def export_vocab_csv(vocab: DataFrame, path: str) -> None:
     """``symbol,id`` lines. Everything is quoted: commas, quotes and line breaks are symbols too."""
     vocab.select("symbol", "id").write.mode("overwrite").option("quoteAll", True).option(
         "escape", '"'
-    ).csv(path)
+    ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def import_vocab_csv(spark: SparkSession, path: str) -> DataFrame:
