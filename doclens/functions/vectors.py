@@ -64,12 +64,12 @@ def distance_function(distance: str | DistanceFunction) -> DistanceFunction:
 
 def argmin(values: Column) -> Column:
     """Zero-based place of the smallest value, the first one on ties."""
-    return (F.array_position(values, F.array_min(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
 
 
 def argmax(values: Column) -> Column:
     """Zero-based place of the largest value, the first one on ties."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def softmax(logits: Column) -> Column:

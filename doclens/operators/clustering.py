@@ -7,13 +7,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.functions import vectors
-from doclens.functions.arrays import literal_array
+from doclens.functions.arrays import let, literal_array
 from doclens.operators.numbering import row_numbers
 
 
@@ -38,9 +38,10 @@ def distances_to(
     """
     measure = vectors.distance_function(distance)
     table = literal_array(centroids, "array<array<double>>")
-    return points.withColumn(
-        out, F.transform(table, lambda c: measure(vectors.as_double(F.col(vec)), c))
+    found = let(
+        vectors.as_double(F.col(vec)), lambda v: F.transform(table, lambda c: measure(v, c))
     )
+    return points.withColumn(out, found)
 
 
 def pair_distances(
@@ -88,12 +89,16 @@ def nearest_udf(spark, centroids: list[list[float]], distance: str):
 
 def nearest(spark, centroids: list[list[float]], distance, vec: Column) -> Column:
     """Number of the nearest centroid. Named distances run on whole Arrow batches, any other
-    function as a column expression."""
-    if distance in vectors.DISTANCES:
+    function as a column expression. Over a vector made from the ids of ``encode`` in the same
+    plan pass the function: Spark does not plan one Arrow function inside another."""
+    if isinstance(distance, str):
         return nearest_udf(spark, centroids, distance)(vectors.as_double(vec))
     measure = vectors.distance_function(distance)
     table = literal_array(centroids, "array<array<double>>")
-    return vectors.argmin(F.transform(table, lambda c: measure(vectors.as_double(vec), c)))
+    return let(
+        vectors.as_double(vec),
+        lambda v: vectors.argmin(F.transform(table, lambda c: measure(v, c))),
+    )
 
 
 def assign_nearest(
@@ -108,13 +113,7 @@ def cluster_means(assigned: DataFrame, vec: str = "vec", cluster: str = "cluster
     vector = array_to_vector(vectors.as_double(F.col(vec)))
     return assigned.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("n"), Summarizer.mean(vector).alias("_mean")
-    ).select(cluster, "n", _to_array("_mean").alias("centroid"))
-
-
-def _to_array(name: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col(name))
+    ).select(cluster, "n", vector_to_array(F.col("_mean")).alias("centroid"))
 
 
 @dataclass

@@ -59,33 +59,53 @@ def build_vocab(
     The cap ranks all symbols, reserved ones included. A reserved symbol keeps
     its id even when it is cut; ``kept`` is then false and its tokens encode as unknown.
     """
-    spark = counts.sparkSession
     kept = kept_symbols(rank_symbols(counts, most_common), min_reps)
-    # At most five reserved symbols can be among the kept ones.
-    reserved_kept = kept.filter(F.col("symbol").isin(*SPECIAL_IDS)).select("symbol", "n", "rank")
-    reserved = (
-        special_symbols(spark)
-        .join(reserved_kept, "symbol", "left")
-        .select(
-            "symbol",
-            "id",
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.col("n").isNotNull().alias("kept"),
-        )
-    )
-    plain = kept.filter(~F.col("symbol").isin(*SPECIAL_IDS))
-    if most_common is not None and most_common <= MAX_BROADCAST_ROWS:
-        number = F.row_number().over(Window.orderBy("rank")).cast("long")
-    else:
-        ranks = [row["rank"] for row in reserved_kept.select("rank").collect()]
-        number = F.col("rank") - sum((F.when(F.col("rank") > r, 1).otherwise(0) for r in ranks), F.lit(0))
-    plain = plain.select(
+    if most_common is None or most_common > MAX_BROADCAST_ROWS:
+        return _number_any_size(kept)
+    # At most ``most_common`` + 5 rows from here on.
+    reserved = F.col("symbol").isin(*SPECIAL_IDS)
+    listed = _with_reserved(kept).withColumn("_reserved", reserved)
+    place = F.row_number().over(Window.partitionBy("_reserved").orderBy("rank"))
+    return listed.withColumn("_place", place).select(
         "symbol",
-        (number + (FIRST_FREE_ID - 1)).cast("int").alias("id"),
+        F.when(F.col("_reserved"), _reserved_id()).otherwise(F.col("_place") + (FIRST_FREE_ID - 1)).alias("id"),
         "n",
-        F.lit(True).alias("kept"),
+        "kept",
+    )
+
+
+def _reserved_id() -> Column:
+    pairs = [F.lit(part) for pair in SPECIAL_IDS.items() for part in pair]
+    return F.element_at(F.create_map(*pairs), F.col("symbol"))
+
+
+def _with_reserved(kept: DataFrame) -> DataFrame:
+    """(symbol, n, rank, kept) with a row for every reserved symbol, seen or not. ``kept`` is read
+    once, so the corpus below it is counted once."""
+    absent = special_symbols(kept.sparkSession).select(
+        "symbol",
+        F.lit(0).cast("long").alias("n"),
+        F.lit(None).cast("long").alias("rank"),
+        F.lit(False).alias("kept"),
+    )
+    return (
+        kept.select("symbol", "n", "rank", F.lit(True).alias("kept"))
+        .unionByName(absent)
+        .groupBy("symbol")
+        .agg(F.sum("n").alias("n"), F.min("rank").alias("rank"), F.max("kept").alias("kept"))
+    )
+
+
+def _number_any_size(kept: DataFrame) -> DataFrame:
+    """Ids from the ranks alone: a symbol's rank, less the reserved symbols ranked before it. Ranks
+    come from a written table, so reading them twice is cheap."""
+    reserved = F.col("symbol").isin(*SPECIAL_IDS)
+    ranks = [row["rank"] for row in kept.filter(reserved).select("rank").collect()]
+    before = sum((F.when(F.col("rank") > rank, 1).otherwise(0) for rank in ranks), F.lit(0))
+    id_ = F.when(reserved, _reserved_id()).otherwise(
+        (F.col("rank") - before + (FIRST_FREE_ID - 1)).cast("int")
     )
-    return reserved.unionByName(plain)
+    return _with_reserved(kept).select("symbol", id_.alias("id"), "n", "kept")
 
 
 def _lookup_table(vocab: DataFrame, corpus_rule: bool) -> DataFrame:

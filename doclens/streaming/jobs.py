@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from doclens.functions.arrays import literal_array, run_lengths
+from doclens.functions import vectors
+from doclens.functions.arrays import let, literal_array, run_lengths
 from doclens.operators.clustering import assign_nearest
 from doclens.operators.lengths import bucket_or_missing
 from doclens.operators.vocab import encode, symbol_counts, with_tokens
@@ -14,10 +15,18 @@ from doclens.operators.vocab import encode, symbol_counts, with_tokens
 
 def count_vector(ids: Column, dims: int) -> Column:
     """Share of each of the first ``dims`` vocabulary ids among a document's tokens."""
-    counts = F.map_from_entries(run_lengths(ids))
     places = literal_array(list(range(dims)), "array<int>")
-    return F.transform(
-        places, lambda i: F.coalesce(F.element_at(counts, i), F.lit(0)) / F.greatest(F.size(ids), F.lit(1))
+
+    def shares(counts: Column, size: Column) -> Column:
+        return F.transform(
+            places, lambda i: F.coalesce(F.element_at(counts, i), F.lit(0)) / F.greatest(size, F.lit(1))
+        )
+
+    return let(
+        ids,
+        lambda held: let(
+            F.map_from_entries(run_lengths(held)), lambda counts: shares(counts, F.size(held))
+        ),
     )
 
 
@@ -31,7 +40,7 @@ def score_documents(
     encoded = encode(with_tokens(docs), vocab, corpus_rule=False)
     small = F.filter("ids", lambda i: i < dims)
     scored = encoded.withColumn("vec", count_vector(small, dims))
-    return assign_nearest(scored, centroids).select(
+    return assign_nearest(scored, centroids, vectors.euclidean_distance).select(
         "doc_id",
         F.size("ids").alias("n_tokens"),
         bucket_or_missing(F.size("ids")).alias("bucket_id"),
