@@ -9,15 +9,10 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, as a character class body.
-WHITE_SPACE = (
-    r"\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}"
-    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-# Patterns of the word tokeniser.
+# Patterns of the word tokeniser. White space is a plain blank by then.
 NUMBER_RUN = r"(?:\p{Nd}+[.,]?)+"
 SENTENCE_END = r"[.?!]"
-OTHER_MARK = r"[^\p{L}\p{N}_" + WHITE_SPACE + r"<>]"
+OTHER_MARK = r"[^\p{L}\p{N}_ <>]"
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -45,8 +40,15 @@ def _covering_ranges(chars: list[str], gap: int = 256) -> str:
     return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
-def fold_case(text: Column) -> Column:
-    """Full Unicode case folding.
+@lru_cache(maxsize=1)
+def _blanks() -> dict[str, str]:
+    """Every white-space character to a plain blank."""
+    spaces = filter(str.isspace, map(chr, range(sys.maxunicode + 1)))
+    return {char: " " for char in spaces if char != " "}
+
+
+def fold_case(text: Column, also: dict[str, str] | None = None) -> Column:
+    """Full Unicode case folding; ``also`` adds further one-to-one rewrites to the same pass.
 
     ``lower`` and ``translate`` do nearly all of it. The roughly hundred letters
     that fold to several (ligatures, accented Greek) are rewritten one by one,
@@ -55,6 +57,7 @@ def fold_case(text: Column) -> Column:
     single, multiple = _fold_rules()
     multiple = dict(multiple)
     sharp_s = multiple.pop("ß")
+    single = single | (also or {})
     text = F.translate(F.lower(text), "".join(single), "".join(single.values()))
     text = F.replace(text, F.lit("ß"), F.lit(sharp_s))
     rare = F.create_map(*[F.lit(part) for pair in multiple.items() for part in pair])
@@ -70,11 +73,11 @@ def tokenise_words(text: Column) -> Column:
     A number takes the ``.`` or ``,`` right after it along, so ``In 1987. The``
     has no sentence end.
     """
-    text = fold_case(F.coalesce(text, F.lit("")))
+    text = fold_case(F.coalesce(text, F.lit("")), _blanks())
     text = F.regexp_replace(text, NUMBER_RUN, " <NUMBER> ")
     text = F.regexp_replace(text, SENTENCE_END, " <STOP> ")
     text = F.regexp_replace(text, OTHER_MARK, " <PUNCT> ")
-    return F.array_remove(F.split(text, "[" + WHITE_SPACE + "]+"), "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def tokenise_chars(text: Column) -> Column:

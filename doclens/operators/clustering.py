@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -53,23 +54,20 @@ def pair_distances(
     )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    values = np.asarray(column.flatten(), dtype=np.float64)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
-
-
 def nearest_udf(spark, centroids: list[list[float]], distance: str):
     """Nearest centroid of a batch of vectors, the lowest number on ties.
 
     One pass of array arithmetic per centroid; equal centroids give equal distances to the last bit.
+    The function names nothing of this package, so workers need no copy of it.
     """
     table = spark.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
 
     @F.arrow_udf("int")
     def nearest(column: pa.Array) -> pa.Array:
-        rows, centers = _matrix(column), table.value
-        if not len(rows):
+        if not len(column):
             return pa.array([], pa.int32())
+        centers = table.value
+        rows = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
         found = np.empty((len(centers), len(rows)))
         if distance == "euclidean":
             for number, center in enumerate(centers):
@@ -90,7 +88,7 @@ def nearest_udf(spark, centroids: list[list[float]], distance: str):
 def nearest(spark, centroids: list[list[float]], distance, vec: Column) -> Column:
     """Number of the nearest centroid. Named distances run on whole Arrow batches, any other
     function as a column expression. Over a vector made from the ids of ``encode`` in the same
-    plan pass the function: Spark does not plan one Arrow function inside another."""
+    plan pass the function: Spark cannot plan one Arrow function over the result of another."""
     if isinstance(distance, str):
         return nearest_udf(spark, centroids, distance)(vectors.as_double(vec))
     measure = vectors.distance_function(distance)
@@ -149,13 +147,23 @@ def kmeans_lloyd(
     Every row starts in cluster 0, so a first round that leaves all rows there ends
     the run. A round is one job: each task assigns its rows and sums them, and k
     rows reach the driver. The previous assignment is not stored; it is found
-    again from the previous centroids. An empty cluster keeps its centroid. Cache
-    ``points`` when they come from an expensive plan.
+    again from the previous centroids. An empty cluster keeps its centroid. Points
+    that are not cached are for the length of the run, on disk where memory ends.
     """
-    spark = points.sparkSession
     current = initial or first_k(points, k, id_col, vec)
-    previous: list[list[float]] | None = None
     rows = points.select(vectors.as_double(F.col(vec)).alias("_v"))
+    if points.storageLevel != StorageLevel.NONE:
+        return _rounds(rows, current, max_iters, distance)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _rounds(rows, current, max_iters, distance)
+    finally:
+        rows.unpersist()
+
+
+def _rounds(rows: DataFrame, current: list[list[float]], max_iters: int, distance) -> LloydModel:
+    spark = rows.sparkSession
+    previous: list[list[float]] | None = None
     for rounds in range(1, max_iters + 1):
         before = F.lit(0) if previous is None else nearest(spark, previous, distance, F.col("_v"))
         assigned = rows.select(

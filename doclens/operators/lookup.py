@@ -20,7 +20,9 @@ def index_lookup(spark, symbols: list[str], ids: list[int], missing: int):
     """``array<string> -> array<int>``, one Arrow hash lookup per batch of rows.
 
     The table must be small (see ``bounded_rows``); it is broadcast once. The rows stay where
-    they are: no explode, join and regroup, hence no shuffle of the corpus.
+    they are: no explode, join and regroup, hence no shuffle of the corpus. Marked as
+    non-deterministic, so that a filter on the ids stays above the lookup and does not
+    repeat it (and the tokeniser) below; put filters on other columns first.
     """
     table = spark.sparkContext.broadcast(
         (pa.array(symbols, pa.string()), pa.array(ids, pa.int32()))
@@ -36,7 +38,7 @@ def index_lookup(spark, symbols: list[str], ids: list[int], missing: int):
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
         return pa.ListArray.from_arrays(offsets, flat)
 
-    return lookup
+    return lookup.asNondeterministic()
 
 
 def skew_safe_lookup(

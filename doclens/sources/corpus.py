@@ -62,12 +62,12 @@ def corpus(
 ) -> Corpus:
     """Encoded training and test documents, and the vocabulary counted over both.
 
-    The vocabulary is written to the shared folder once; documents are tokenised in
-    the counting pass and again, in place, in the encoding pass. Persist ``docs``
-    with tokens first when reading them is the slow part.
+    Two passes over the documents: one counts, one encodes. Vocabulary and encoded
+    documents are written to the shared folder, the latter in a folder per split, so
+    batching reads ids of one split and never tokenises again.
     """
     tokens = docs if "tokens" in docs.columns else with_tokens(docs, level)
     vocab = written(build_vocab(symbol_counts(tokens), min_reps, most_common), "vocab")
-    encoded = encode(tokens, vocab)
-    train, test = split_train_test(encoded.select("doc_id", "ids", "topics", "split"))
+    encoded = encode(tokens, vocab).select("doc_id", "ids", "topics", "split")
+    train, test = split_train_test(written(encoded, "encoded", ["split"]))
     return Corpus(train, test, vocab)

@@ -14,8 +14,7 @@ _BASE = f"WITH {C.corpus_sql()}, {BUCKETED}"
 
 
 def bucketed(spark, sf):
-    tokens = C.tokenised(spark, sf)
-    return B.bucketed(V.encode(tokens, C.vocabulary(tokens)).select("doc_id", "ids"))
+    return B.bucketed(C.encoded(spark, sf)[0])
 
 
 def bucketed_lengths(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.operators.vocab import build_vocab, symbol_counts, with_tokens
+from doclens.operators.vocab import build_vocab, encode, symbol_counts, with_tokens
 from doclens.session import written
 from doclens.sources.corpus import read_documents, spread
 
@@ -51,6 +51,13 @@ def vocabulary(tokens: DataFrame, most_common: int | None = CAP, min_reps: int =
     return written(build_vocab(symbol_counts(tokens), min_reps, most_common), "vocab")
 
 
+def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded documents (doc_id, ids), written once, and their vocabulary."""
+    tokens = tokenised(spark, sf)
+    vocab = vocabulary(tokens)
+    return written(encode(tokens, vocab).select("doc_id", "ids"), "encoded"), vocab
+
+
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     table = spread(spark.read.parquet(f"{sf}/embeddings.parquet"))
     return table.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")

@@ -172,15 +172,6 @@ def embed_documents(spark, sf):
     )
 
 
-def _toy_model():
-    """Stands for a loaded model: share of padding and mean id of each row."""
-
-    def predict(ids: np.ndarray) -> np.ndarray:
-        return np.stack([(ids == 4).mean(axis=1), ids.mean(axis=1)], axis=1).astype(np.float64)
-
-    return predict
-
-
 @R.add(
     "score_model",
     f"WITH {C.corpus_sql()}, {BUCKETED}, padded AS (SELECT doc_id, bucket_id, size, list_concat(list_resize([]::INTEGER[], size - n, 4), ids) AS e "
@@ -188,14 +179,21 @@ def _toy_model():
     "round(list_sum(e)::DOUBLE / size, 6) AS mean_id FROM padded",
 )
 def score_model(spark, sf):
-    tokens = C.tokenised(spark, sf)
-    encoded = V.encode(tokens, C.vocabulary(tokens)).select("doc_id", "ids")
+    """The model gives the share of padding and the mean id of each row."""
+
+    def load_model():
+        def predict(ids: np.ndarray) -> np.ndarray:
+            return np.stack([(ids == 4).mean(axis=1), ids.mean(axis=1)], axis=1).astype(np.float64)
+
+        return predict
+
+    encoded, _ = C.encoded(spark, sf)
     padded = B.inference_rows(B.bucketed(encoded)).select("doc_id", "bucket_id", "encoder")
     # Stored by bucket, so that each bucket's branch reads its own files.
     path = scratch_path(spark, "padded")
     padded.write.partitionBy("bucket_id").parquet(path)
     stored = spark.read.parquet(path)
-    scored = D.score_model(stored, _toy_model)
+    scored = D.score_model(stored, load_model)
     return scored.select(
         "doc_id",
         "bucket_id",

@@ -105,9 +105,7 @@ BUCKETED = (
 def _bucketed(spark, sf):
     from doclens.operators.batches import bucketed
 
-    tokens = C.tokenised(spark, sf)
-    vocab = C.vocabulary(tokens)
-    return bucketed(V.encode(tokens, vocab).select("doc_id", "ids"))
+    return bucketed(C.encoded(spark, sf)[0])
 
 
 def _array_query(name, column, expression):

@@ -197,9 +197,7 @@ _SHARDS = (
 
 
 def _encoded(spark, sf):
-    tokens = C.tokenised(spark, sf)
-    encoded = V.encode(tokens, C.vocabulary(tokens)).select("doc_id", "ids")
-    return encoded.withColumn("split", C.split_of())
+    return C.encoded(spark, sf)[0].withColumn("split", C.split_of())
 
 
 @R.add(

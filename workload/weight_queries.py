@@ -20,22 +20,16 @@ _ICF = (
 )
 
 
-def encoded(spark, sf):
-    tokens = C.tokenised(spark, sf)
-    vocab = C.vocabulary(tokens)
-    return V.encode(tokens, vocab).select("doc_id", "ids"), vocab
-
-
 @R.add("icf_weights", f"{_ICF} SELECT id, n, round(icf, 6) AS icf FROM w")
 def icf_weights(spark, sf):
-    docs, _ = encoded(spark, sf)
+    docs, _ = C.encoded(spark, sf)
     counts = written(W.corpus_counts(docs), "counts")
     return W.icf_weights(counts).withColumn("icf", F.round("icf", 6))
 
 
 @R.add("term_freq", f"{_ICF} SELECT doc_id, id, n, round(n::DOUBLE / dims, 9) AS tf FROM tf, size")
 def term_freq(spark, sf):
-    docs, vocab = encoded(spark, sf)
+    docs, vocab = C.encoded(spark, sf)
     return W.term_freqs(docs, vocab.count()).withColumn("tf", F.round("tf", 9))
 
 
@@ -44,7 +38,7 @@ def term_freq(spark, sf):
     f"{_ICF} SELECT doc_id, id, round(tf.n::DOUBLE / dims * icf, 9) AS weight FROM tf JOIN w USING (id), size",
 )
 def icf_tfidf(spark, sf):
-    docs, vocab = encoded(spark, sf)
+    docs, vocab = C.encoded(spark, sf)
     weighted = W.icf_tfidf(docs, dims=vocab.count(), max_terms=DIMS)
     return weighted.withColumn("weight", F.round("weight", 9))
 
@@ -71,7 +65,7 @@ def icf_tfidf_symbols(spark, sf):
     "FROM tf LEFT JOIN w USING (id)",
 )
 def icf_given_counts(spark, sf):
-    docs, vocab = encoded(spark, sf)
+    docs, vocab = C.encoded(spark, sf)
     train, test = V.split_train_test(docs.withColumn("split", C.split_of()))
     counts = written(W.corpus_counts(train), "counts")
     weighted = W.icf_tfidf(test, counts=counts, dims=vocab.count(), max_terms=DIMS)
@@ -94,7 +88,7 @@ TOP_TERMS_SQL = (
 @R.add("top_weighted_terms", TOP_TERMS_SQL)
 def top_weighted_terms(spark, sf):
     """The ten heaviest terms of each document over a capped vocabulary."""
-    docs, vocab = encoded(spark, sf)
+    docs, vocab = C.encoded(spark, sf)
     weighted = W.icf_tfidf(docs, max_terms=DIMS)
     # At most DIMS rows.
     names = F.broadcast(vocab.select("id", "symbol"))
