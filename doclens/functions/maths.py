@@ -15,7 +15,10 @@ def log_factorial(n: Column) -> Column:
     z = n.cast("double") + 1.0
     high = z + float(_SHIFT)
     square = high * high
-    series = (1 / 12.0 - (1 / 360.0 - (1 / 1260.0 - (1 / 1680.0) / square) / square) / square) / high
+    series = F.lit(1 / 1188.0)
+    for term in (1 / 1680.0, 1 / 1260.0, 1 / 360.0, 1 / 12.0):
+        series = term - series / square
+    series = series / high
     stirling = (high - 0.5) * F.log(high) - high + 0.5 * math.log(2 * math.pi) + series
     product = z
     for step in range(1, _SHIFT):
