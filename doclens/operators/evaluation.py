@@ -164,12 +164,6 @@ def contingency(left: DataFrame, right: DataFrame, id_col: str = "doc_id", pair:
     )
 
 
-def _pairs_of(n: Column) -> Column:
-    """n(n-1)/2 in doubles: n squared would leave the long range."""
-    n = n.cast("double")
-    return n * (n - 1.0) / 2.0
-
-
 def _margin(cells: DataFrame, side: str) -> DataFrame:
     return cells.groupBy("pair", side).agg(F.sum("n").alias(f"n_{side}"))
 
@@ -178,48 +172,42 @@ def _totals(cells: DataFrame) -> DataFrame:
     return cells.groupBy("pair").agg(F.sum("n").alias("total"))
 
 
-def adjusted_rand(cells: DataFrame) -> DataFrame:
-    """(pair, ari); 1 when the divisor is 0."""
-
-    def agreeing(table: DataFrame, n: str, name: str) -> DataFrame:
-        return table.groupBy("pair").agg(F.sum(_pairs_of(F.col(n))).alias(name))
-
-    joined = (
-        cells.groupBy("pair")
-        .agg(F.sum(_pairs_of(F.col("n"))).alias("both"), F.sum("n").alias("total"))
-        .join(agreeing(_margin(cells, "a"), "n_a", "in_a"), "pair")
-        .join(agreeing(_margin(cells, "b"), "n_b", "in_b"), "pair")
-    )
-    expected = F.col("in_a") * F.col("in_b") / _pairs_of(F.col("total"))
-    divisor = (F.col("in_a") + F.col("in_b")) / 2.0 - expected
-    ari = F.when(F.coalesce(divisor, F.lit(0.0)) == 0, 1.0).otherwise(
-        (F.col("both") - expected) / divisor
-    )
-    return joined.select("pair", ari.alias("ari"))
+def summarise(cells: DataFrame) -> DataFrame:
+    """(pair, total, both, in_a, in_b, mi, h_a, h_b): all sums the scores need, in one pass.
 
+    With the margins beside each cell the sums over rows and columns are sums over
+    cells: a row's n_a(n_a - 1)/2 is the sum of n(n_a - 1)/2 over its cells, and
+    likewise its share of the entropy.
+    """
 
-def _entropy(cells: DataFrame, side: str) -> DataFrame:
-    share = F.col(f"n_{side}") / F.col("total")
-    return (
-        _margin(cells, side)
-        .join(F.broadcast(_totals(cells)), "pair")
-        .groupBy("pair")
-        .agg((-F.sum(share * F.log(share))).alias(f"h_{side}"))
+    def total_over(side: str) -> Column:
+        return F.sum("n").over(Window.partitionBy("pair", side)).cast("double")
+
+    placed = cells.select(
+        "pair",
+        F.col("n").cast("double").alias("n"),
+        total_over("a").alias("n_a"),
+        total_over("b").alias("n_b"),
+    ).join(F.broadcast(_totals(cells)), "pair")  # one row per pair of clusterings
+    n, n_a, n_b, total = (F.col(name) for name in ("n", "n_a", "n_b", "total"))
+    return placed.groupBy("pair").agg(
+        F.max(total).alias("total"),
+        F.sum(n * (n - 1) / 2).alias("both"),
+        F.sum(n * (n_a - 1) / 2).alias("in_a"),
+        F.sum(n * (n_b - 1) / 2).alias("in_b"),
+        F.sum(n / total * F.log(total * n / (n_a * n_b))).alias("mi"),
+        (-F.sum(n / total * F.log(n_a / total))).alias("h_a"),
+        (-F.sum(n / total * F.log(n_b / total))).alias("h_b"),
     )
 
 
-def information(cells: DataFrame) -> DataFrame:
-    """(pair, mi, h_a, h_b): mutual information and the two entropies, natural log."""
-    share = F.col("n") / F.col("total")
-    ratio = F.col("total").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
-    mutual = (
-        cells.join(_margin(cells, "a"), ["pair", "a"])
-        .join(_margin(cells, "b"), ["pair", "b"])
-        .join(F.broadcast(_totals(cells)), "pair")
-        .groupBy("pair")
-        .agg(F.sum(share * F.log(ratio)).alias("mi"))
+def _ari() -> Column:
+    total = F.col("total").cast("double")
+    expected = F.col("in_a") * F.col("in_b") / (total * (total - 1) / 2)
+    divisor = (F.col("in_a") + F.col("in_b")) / 2.0 - expected
+    return F.when(F.coalesce(divisor, F.lit(0.0)) == 0, 1.0).otherwise(
+        (F.col("both") - expected) / divisor
     )
-    return mutual.join(_entropy(cells, "a"), "pair").join(_entropy(cells, "b"), "pair")
 
 
 def _mean_entropy(average: str) -> Column:
@@ -231,15 +219,30 @@ def _mean_entropy(average: str) -> Column:
     }[average]
 
 
-def normalised_mutual_information(cells: DataFrame, average: str = "arithmetic") -> DataFrame:
-    """(pair, nmi); 1 when both entropies are 0."""
+def _both_trivial() -> Column:
+    return (F.col("h_a") == 0) & (F.col("h_b") == 0)
+
+
+def _nmi(average: str) -> Column:
     mean = _mean_entropy(average)
-    nmi = (
-        F.when((F.col("h_a") == 0) & (F.col("h_b") == 0), 1.0)
-        .when(mean == 0, 0.0)
-        .otherwise(F.col("mi") / mean)
+    return F.when(_both_trivial(), 1.0).when(mean == 0, 0.0).otherwise(F.col("mi") / mean)
+
+
+def _ami(average: str) -> Column:
+    return F.when(_both_trivial(), 1.0).otherwise(
+        (F.col("mi") - F.col("emi")) / (_mean_entropy(average) - F.col("emi"))
     )
-    return information(cells).select("pair", nmi.alias("nmi"))
+
+
+def adjusted_rand(cells: DataFrame) -> DataFrame:
+    """(pair, ari); 1 when the divisor is 0."""
+    return summarise(cells).select("pair", _ari().alias("ari"))
+
+
+def normalised_mutual_information(cells: DataFrame, average: str = "arithmetic") -> DataFrame:
+    """(pair, nmi); 1 when both entropies are 0. ``average`` is ``arithmetic``, ``geometric`` or
+    ``max``."""
+    return summarise(cells).select("pair", _nmi(average).alias("nmi"))
 
 
 def expected_information(cells: DataFrame, block: int = 1 << 14) -> DataFrame:
@@ -292,18 +295,13 @@ def expected_information(cells: DataFrame, block: int = 1 << 14) -> DataFrame:
 
 def adjusted_mutual_information(cells: DataFrame, average: str = "arithmetic") -> DataFrame:
     """(pair, ami); 1 when both clusterings are trivial and so equal."""
-    joined = information(cells).join(expected_information(cells), "pair")
-    divisor = _mean_entropy(average) - F.col("emi")
-    ami = F.when((F.col("h_a") == 0) & (F.col("h_b") == 0), 1.0).otherwise(
-        (F.col("mi") - F.col("emi")) / divisor
-    )
-    return joined.select("pair", ami.alias("ami"))
+    joined = summarise(cells).join(expected_information(cells), "pair")
+    return joined.select("pair", _ami(average).alias("ami"))
 
 
-def compare_clusterings(cells: DataFrame) -> DataFrame:
+def compare_clusterings(cells: DataFrame, average: str = "arithmetic") -> DataFrame:
     """(pair, ami, nmi, ari)."""
-    return (
-        adjusted_mutual_information(cells)
-        .join(normalised_mutual_information(cells), "pair")
-        .join(adjusted_rand(cells), "pair")
+    joined = summarise(cells).join(expected_information(cells), "pair")
+    return joined.select(
+        "pair", _ami(average).alias("ami"), _nmi(average).alias("nmi"), _ari().alias("ari")
     )

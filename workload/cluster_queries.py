@@ -267,14 +267,26 @@ def silhouette_rows(spark, sf):
     return E.silhouettes(sample).select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
-@R.add("squared_silhouette")
+@R.add(
+    "squared_silhouette",
+    f"{_rounds_sql(1)}, sizes AS (SELECT cluster, count(*) AS size FROM a0 GROUP BY cluster), "
+    "placed AS (SELECT vec_id, vec, cluster FROM emb JOIN a0 USING (vec_id)), "
+    "gaps AS (SELECT p.vec_id, p.cluster AS own, q.cluster AS other, sum(pow(list_distance(p.vec, q.vec), 2)) AS total "
+    "FROM placed p, placed q GROUP BY p.vec_id, p.cluster, q.cluster), "
+    "means AS (SELECT vec_id, own, other, CASE WHEN own = other THEN total / nullif(size - 1, 0) ELSE total / size END AS m "
+    "FROM gaps JOIN sizes ON other = cluster), "
+    "ab AS (SELECT vec_id, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM means GROUP BY vec_id) "
+    "SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS score, "
+    "count(*) AS n FROM ab",
+)
 def squared_silhouette(spark, sf):
+    """All rows, by squared distance, linear in the data."""
     from pyspark.ml.functions import array_to_vector
 
     points = C.embeddings(spark, sf).withColumn("features", array_to_vector("vec"))
     assigned = K.assign_nearest(points, _seeds(points))
     score = E.squared_silhouette(assigned)
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("score", F.lit(score))
+    return assigned.agg(F.round(F.lit(score), 6).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 # --- three clusterings of the vectors: one round, cosine, and the given label ---
