@@ -14,8 +14,3 @@ def hash_hex(seed: int | str, *keys: Column) -> Column:
 def hash_unit(seed: int | str, *keys: Column) -> Column:
     """A number in [0, 1) with 52 random bits."""
     return F.conv(F.substring(hash_hex(seed, *keys), 1, 13), 16, 10).cast("double") / float(2**52)
-
-
-def hash_slice(hex_digits: Column) -> Column:
-    """First three hex digits: 4,096 equal ranges of the hash order."""
-    return F.substring(hex_digits, 1, 3)

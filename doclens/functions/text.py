@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 NUMBER_RUN = r"(?:\p{Nd}+[.,]?)+"
 SENTENCE_END = r"[.?!]"
 OTHER_MARK = r"[^\p{L}\p{N}_ <>]"
-TERM = r"[\p{L}\p{N}_]{2,}"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 @lru_cache(maxsize=1)
@@ -86,8 +86,12 @@ def tokenise_chars(text: Column) -> Column:
 
 
 def word_terms(text: Column) -> Column:
-    """Lower-case runs of two or more word characters: the terms of library-style tf-idf."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
+    """Lower-case runs of two or more word characters: the terms of library-style tf-idf.
+
+    Replace and split: collecting regular-expression matches copies the text for every match.
+    """
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "), " ")
+    return F.filter(words, lambda word: F.length(word) > 1)
 
 
 # A level is a name or any Column -> Column function.

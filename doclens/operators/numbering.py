@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,9 +54,11 @@ def row_numbers(
 def hashed_row_numbers(
     df: DataFrame, hex_digits: str, tie: Sequence[str], keys: Sequence[str] = (), out: str = "row_no"
 ) -> DataFrame:
-    """Row numbers in the order of a hash column. Its leading digits already cut even slices,
-    so nothing is written."""
-    placed = df.withColumn(_SLICE, F.substring(hex_digits, 1, 3))
+    """Row numbers in the order of a hash column of hex digits. Its leading digits already cut even
+    slices, at least eight per shuffle partition, so nothing is written."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(2, math.ceil(math.log(8 * partitions, 16)))
+    placed = df.withColumn(_SLICE, F.substring(hex_digits, 1, digits))
     return _number_slices(placed, [F.col(hex_digits), *map(F.col, tie)], keys, out)
 
 

@@ -44,7 +44,7 @@ def text_and_labels(
     if split != "both":
         docs = docs.filter(F.col("split") == split)
     if ids is not None:
-        docs = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        docs = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
     return with_tokens(docs, level).select(
         "doc_id", joined(F.col("tokens")).alias("text"), "topics", "split"
     )

@@ -81,9 +81,10 @@ def shard_plan(docs: DataFrame, records_per: int = 500) -> DataFrame:
 
 
 def write_training_shards(docs: DataFrame, path: str, records_per: int = 500) -> None:
-    """One file per shard, shortest documents first, in a folder per split.
+    """One file per shard, shortest documents first, in a folder per split; ``shard`` is a column.
 
-    At scale ask for more records per shard: a shard is a file.
+    A task holds whole shards in order, and each but the last of a split is full, so
+    files cut after ``records_per`` records are the shards. At scale ask for more records.
     """
     plan = shard_plan(docs, records_per)
     (
@@ -91,7 +92,8 @@ def write_training_shards(docs: DataFrame, path: str, records_per: int = 500) ->
         .sortWithinPartitions("split", "shard", "_rn")
         .drop("_rn")
         .write.mode("overwrite")
-        .partitionBy("split", "shard")
+        .option("maxRecordsPerFile", records_per)
+        .partitionBy("split")
         .parquet(path)
     )
 

@@ -105,6 +105,10 @@ def test_shards_are_full_and_sorted_by_length(spark, tmp_path):
     assert {s: len(v) for s, v in shards.items()} == {0: 10, 1: 10, 2: 2}
     assert max(shards[0]) < min(shards[1]) and max(shards[1]) < min(shards[2])
     assert tables.read_training_shards(spark, path, False).count() == 3
+    held = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(
+        F.countDistinct("shard").alias("shards")
+    )
+    assert [r["shards"] for r in held.collect()] == [1] * 4
 
 
 def test_shared_folder_is_the_configured_one(spark):

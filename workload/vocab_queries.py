@@ -216,7 +216,7 @@ def shard_plan(spark, sf):
 
 @R.add(
     "training_shards",
-    f"{_SHARDS} SELECT doc_id, split, ((rn - 1) // 100)::INTEGER AS shard, array_to_string(ids, ' ') AS ids FROM numbered",
+    f"{_SHARDS} SELECT doc_id, split, (rn - 1) // 100 AS shard, array_to_string(ids, ' ') AS ids FROM numbered",
 )
 def training_shards(spark, sf):
     from doclens.session import scratch_path
