@@ -128,24 +128,29 @@ _LOG = (
 
 @R.add(
     "checkpoint_rollup",
-    f"{_LOG} SELECT checkpoint, round(loss, 6) AS loss, round(step_time, 6) AS step_time, "
+    f"{_LOG} SELECT checkpoint, round(loss, 9) AS loss, round(step_time, 6) AS step_time, "
     "round(CASE WHEN loss < 300 THEN exp(loss) ELSE 'inf'::DOUBLE END, 6) AS perplexity FROM ckpt",
 )
 def checkpoint_rollup(spark, sf):
     rolled = G.checkpoint_rollup(run_log(spark, sf))
-    return rolled.select("checkpoint", *[F.round(n, 6).alias(n) for n in ("loss", "step_time", "perplexity")])
+    # Means of 200 two-digit values over 100 are multiples of 5e-7: six digits would round halves.
+    return rolled.select(
+        "checkpoint",
+        F.round("loss", 9).alias("loss"),
+        *[F.round(n, 6).alias(n) for n in ("step_time", "perplexity")],
+    )
 
 
 @R.add(
     "plateau_drops",
     f"{_LOG}, marked AS (SELECT checkpoint, loss, (row_number() OVER w > 3 AND loss > max(loss) OVER "
     "(ORDER BY checkpoint ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))::INTEGER AS dropped FROM ckpt WINDOW w AS (ORDER BY checkpoint)) "
-    "SELECT checkpoint, round(loss, 6) AS loss, coalesce(dropped, 0)::INTEGER AS dropped, "
+    "SELECT checkpoint, round(loss, 9) AS loss, coalesce(dropped, 0)::INTEGER AS dropped, "
     "round(0.01 * pow(0.9, sum(coalesce(dropped, 0)) OVER (ORDER BY checkpoint)), 9) AS rate FROM marked",
 )
 def plateau_drops(spark, sf):
     drops = G.plateau_drops(G.checkpoint_rollup(run_log(spark, sf)))
-    return drops.select("checkpoint", F.round("loss", 6).alias("loss"), "dropped", F.round("rate", 9).alias("rate"))
+    return drops.select("checkpoint", F.round("loss", 9).alias("loss"), "dropped", F.round("rate", 9).alias("rate"))
 
 
 @R.add(
