@@ -15,12 +15,25 @@ from doclens.schemas import BUCKETS
 
 
 def fit_embedding(
-    docs: DataFrame, size: int = 64, tokens: str = "tokens", seed: int = 0, min_count: int = 5, partitions: int = 8
+    docs: DataFrame,
+    size: int = 64,
+    tokens: str = "tokens",
+    seed: int = 0,
+    min_count: int = 5,
+    partitions: int | None = None,
 ) -> Word2VecModel:
-    """Word vectors trained on the token arrays. Training keeps vocabulary x size numbers on
-    the driver, so replace rare symbols first (see ``capped_tokens``)."""
+    """Word vectors trained on the token arrays, by default on every core.
+
+    Training keeps vocabulary x size numbers on the driver, so replace rare symbols
+    first (see ``capped_tokens``).
+    """
     return Word2Vec(
-        vectorSize=size, seed=seed, minCount=min_count, numPartitions=partitions, inputCol=tokens, outputCol="features"
+        vectorSize=size,
+        seed=seed,
+        minCount=min_count,
+        numPartitions=partitions or docs.sparkSession.sparkContext.defaultParallelism,
+        inputCol=tokens,
+        outputCol="features",
     ).fit(docs)
 
 

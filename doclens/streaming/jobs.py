@@ -71,21 +71,20 @@ def stream_score(
 
 
 def stream_symbol_counts(stream: DataFrame, path: str, checkpoint: str, level="word") -> DataStreamWriter:
-    """Running symbol counts. Every batch writes the whole result to its own folder, so a batch
-    that is run again after a failure replaces itself. State is one row per symbol."""
+    """Running symbol counts. Every batch writes the symbols it changed to its own folder, so a
+    batch that is run again after a failure replaces itself. State is one row per symbol."""
 
-    def store(counts: DataFrame, batch: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return (
         symbol_counts(with_tokens(stream, level))
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(store)
     )
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The result of the newest batch; older batch folders are pruned."""
-    batches = spark.read.parquet(path)
-    return batches.filter(F.col("batch") == batches.agg(F.max("batch")).scalar()).drop("batch")
+    """(symbol, n) so far. Counts only grow, so the newest of a symbol is its largest."""
+    return spark.read.parquet(path).groupBy("symbol").agg(F.max("n").alias("n"))
