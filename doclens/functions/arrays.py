@@ -49,7 +49,7 @@ def run_lengths(values: Column) -> Column:
         )
 
     counted = let(
-        F.array_sort(values),
+        F.sort_array(values),
         lambda ordered: let(run_starts(ordered), lambda starts: count(ordered, starts)),
     )
     return F.when(F.size(values) > 0, counted).otherwise(F.slice(counted, 1, 0))
