@@ -1,8 +1,11 @@
 """Queries of the training-data operators over the given tables, and their SQL where SQL can say it."""
 
-from doclens.llm import sharding
+from doclens.llm import chat, sharding
 
 QUERIES = {
     "op8_hilbert_shards": sharding.query,
+    "op9_reply_trees": chat.query,
+}
+SQL: dict[str, str] = {
+    "op9_reply_trees": chat.SQL,
 }
-SQL: dict[str, str] = {}
