@@ -1,8 +1,11 @@
 """Queries of the training-data operators over the given tables, and their SQL where SQL can say it."""
 
-from doclens.llm import chat, sharding
+from doclens.llm import chat, decontaminate, language, sharding, toxicity
 
 QUERIES = {
+    "op4_containment_search": decontaminate.query,
+    "op5_byte_network": language.query,
+    "op6_ftrl_toxicity": toxicity.query,
     "op8_hilbert_shards": sharding.query,
     "op9_reply_trees": chat.query,
 }
