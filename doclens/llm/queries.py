@@ -1,8 +1,9 @@
 """Queries of the training-data operators over the given tables, and their SQL where SQL can say it."""
 
-from doclens.llm import chat, decontaminate, language, sharding, toxicity
+from doclens.llm import chat, decontaminate, language, sharding, simhash, toxicity
 
 QUERIES = {
+    "op3_positional_bytes": simhash.query,
     "op4_containment_search": decontaminate.query,
     "op5_byte_network": language.query,
     "op6_ftrl_toxicity": toxicity.query,
