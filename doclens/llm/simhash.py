@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from doclens.llm.common import read, ships
 from doclens.llm.components import components
@@ -17,173 +19,257 @@ from doclens.session import written
 
 ships(__name__)
 
-BYTES, DIFFERING = 8, 3
-# Each differing bit spoils one byte at most, so linked fingerprints agree in this many positions.
-GUARANTEED = BYTES - DIFFERING
 # Fingerprints of one index entry that meet in one task; longer entries are cut into such parts.
 PART = 2048
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64-bit SimHash: a bit is set where it is set in over half the XXH64 values of the shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+@dataclass(frozen=True)
+class Index:
+    """A positional-byte index: ``groups`` of positions, each keyed by all its sets of ``width`` bytes.
+
+    Pairs that share fewer than ``shared`` positional bytes are dropped; of the rest those are linked
+    whose fingerprints differ in at most ``differing`` bits.
+    """
+
+    groups: tuple[tuple[int, ...], ...]
+    width: int
+    shared: int
+    differing: int
+
+    def sets(self) -> list[tuple[int, ...]]:
+        return [s for group in self.groups for s in combinations(group, self.width)]
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """Majority of each bit over rows of hash bytes, as packed bytes."""
+    ones = np.zeros(8 * hashes.shape[1], np.int64)
+    for start in range(0, len(hashes), 1 << 15):
+        bits = np.unpackbits(hashes[start : start + (1 << 15)], axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little")
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """Runs between ASCII white space, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash: a bit is set where it is set in over half the XXH64 values of the shingles,
+    repeats included. Fewer words make one shingle, no words fingerprint zero."""
+    words = tokens(text)
     if not words:
         return 0
-    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
     n = max(1, len(words) - width + 1)
+    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
     hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, shingles), repeat(42)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for start in range(0, n, 1 << 15):
-        part = hashes[start : start + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, BYTES)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(_bits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of every row, from its whole text; ``fp`` as a signed long. No shuffle."""
-
-    @F.arrow_udf("bigint")
-    def simhash(texts: pa.Array) -> pa.Array:
-        values = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64)
-        return pa.array(values.view(np.int64), pa.int64())
-
-    return docs.select(F.col(key), simhash(F.col(text)).alias("fp"))
+def wide_fingerprints(text: str | None, width: int, size: int) -> tuple[bytes, bytes]:
+    """Two SimHashes of ``size`` bytes: of the distinct words, and of the distinct shingles."""
 
+    def simhash(parts: set[bytes]) -> bytes:
+        if not parts:
+            return bytes(size)
+        blocks = [
+            np.frombuffer(b"".join(map(xxh3_128_digest, parts, repeat(seed))), np.uint8).reshape(-1, 16)
+            for seed in range(-(-size // 16))
+        ]
+        return _bits(np.concatenate(blocks, axis=1)[:, :size]).tobytes()
 
-def index_keys(width: int) -> list[int]:
-    """Byte masks of the index: sets of ``width`` positions of which any ``GUARANTEED`` positions
-    contain one. For three bytes these are all triples within either half of the fingerprint, eight
-    sets (Turan's construction): of five agreeing positions three lie in one half. Other widths take
-    all sets of that size of the first positions that suffice."""
-    if width == 3:
-        sets = [s for half in (range(4), range(4, 8)) for s in combinations(half, 3)]
-    else:
-        sets = list(combinations(range(width + DIFFERING), width))
-    masks = [sum(0xFF << (8 * i) for i in s) for s in sets]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    words = tokens(text)
+    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words] if words else []
+    return simhash(set(words)), simhash(set(map(b" ".join, shingles)))
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Tally the positional bytes that two fingerprints share; verify those with enough of them."""
-    x = a ^ b
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=-1)
-    return (shared >= GUARANTEED) & (np.bitwise_count(x) <= DIFFERING)
+def _near(index: np.ndarray, verify: np.ndarray, i, j, rule: Index) -> np.ndarray:
+    """Tally the positional bytes two fingerprints share; verify those with enough of them."""
+    shared = (index[i] == index[j]).sum(axis=-1)
+    bits = np.bitwise_count(verify[i] ^ verify[j]).sum(axis=-1)
+    return (shared >= rule.shared) & (bits <= rule.differing)
 
 
-def links_in_entry(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_in_entry(index: np.ndarray, verify: np.ndarray, rule: Index) -> tuple[np.ndarray, np.ndarray]:
     """A star per connected group of one long index entry: as many links as fingerprints, not pairs."""
-    n = len(fps)
+    n = len(index)
     near = np.zeros((n, n), bool)
-    for start in range(0, n, 256):
-        near[start : start + 256] = _near(fps[start : start + 256, None], fps[None, :])
+    every = np.arange(n)[None, :]
+    for start in range(0, n, 64):
+        rows = np.arange(start, min(n, start + 64))[:, None]
+        near[start : start + 64] = _near(index, verify, rows, every, rule)
     label = np.arange(n)
     while True:
         lowest = label.copy()
         for start in range(0, n, 256):
             rows = np.where(near[start : start + 256], label[None, :], n)
-            lowest[start : start + 256] = rows.min(axis=1)
+            lowest[start : start + 256] = np.minimum(label[start : start + 256], rows.min(axis=1))
         lowest = lowest[lowest]
         if (lowest == label).all():
             break
         label = lowest
     at = np.flatnonzero(label != np.arange(n))
-    return fps[at], fps[label[at]]
+    return at, label[at]
 
 
-def links(entries: np.ndarray, fps: np.ndarray, short: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints with equal entry number; rows sorted by entry."""
-    starts = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]]) if len(entries) else np.zeros(0, int)
-    sizes = np.diff(np.r_[starts, len(entries)])
-    left, right = [], []
+def links(
+    entries: np.ndarray, index: np.ndarray, verify: np.ndarray, rule: Index, short: int = 16
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links among rows with equal entry number; rows sorted by entry."""
+    n = len(entries)
+    starts = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]]) if n else np.zeros(0, int)
+    sizes = np.diff(np.r_[starts, n])
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     here = np.flatnonzero(np.repeat(sizes <= short, sizes))
     for step in range(1, short):
-        here = here[here + step < len(entries)]
+        here = here[here + step < n]
         here = here[entries[here] == entries[here + step]]
-        if not len(here):
-            break
-        good = here[_near(fps[here], fps[here + step])]
-        left.append(fps[good])
-        right.append(fps[good + step])
+        good = here[_near(index, verify, here, here + step, rule)]
+        left.append(good)
+        right.append(good + step)
     for start, size in zip(starts[sizes > short], sizes[sizes > short]):
-        a, b = links_in_entry(fps[start : start + size])
-        left.append(a)
-        right.append(b)
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
-
-
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the entries of one partition, rows sorted by entry; an entry may span batches."""
-    kept = np.zeros((0, 5), np.int64)
-
-    def made(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)] if len(rows) else np.zeros(0, bool)
-        a, b = links(np.cumsum(new), rows[:, 4].view(np.uint64) if len(rows) else np.zeros(0, np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
-
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        rows = np.concatenate([kept, rows])
-        same = (rows[:, :4] == rows[-1, :4]).all(axis=1) if len(rows) else np.zeros(0, bool)
-        whole = len(rows) - int(same.sum())
-        yield made(np.ascontiguousarray(rows[:whole]))
-        kept = rows[whole:]
-    yield made(np.ascontiguousarray(kept))
-
-
-def near_links(distinct: DataFrame, part: int = PART) -> DataFrame:
-    """Links (u, v) that join all distinct fingerprints ``fp`` at most three bits apart.
-
-    An inverted index over positional bytes: two fingerprints that differ in three bits agree in five
-    of eight positions, hence in one of the index's position sets. An entry is one set and its byte
-    values; entries of three, four or five bytes, by the number of fingerprints, keep an entry of
-    random fingerprints near one row, and each width finds every link. In an entry the shared bytes
-    of a pair are tallied, pairs below the guaranteed five are dropped, the rest verified. Entries
-    of more than ``part`` fingerprints are cut into parts by hash and each pair of parts is one
-    task's work, so no task holds more than about two parts.
+        a, b = links_in_entry(index[start : start + size], verify[start : start + size], rule)
+        left.append(a + start)
+        right.append(b + start)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A binary column of equal lengths as rows of bytes."""
+    data = column.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    flat = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return flat.reshape(len(data), -1)
+
+
+def _linker(rule: Index):
+    """Links of the entries of one partition, rows (entry, node, index, verify) sorted by entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def made(rows: list[np.ndarray]) -> pa.RecordBatch:
+            i, j = links(rows[0], rows[2], rows[3], rule)
+            return pa.RecordBatch.from_arrays([pa.array(rows[1][i]), pa.array(rows[1][j])], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]] + [_bytes(c) for c in batch.columns[2:]]
+            if held is not None:
+                rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # an entry may go on in the next batch
+            if whole:
+                yield made([r[:whole] for r in rows])
+            held = [r[whole:] for r in rows]
+        if held is not None:
+            yield made(held)
+
+    return run
+
+
+def near_links(distinct: DataFrame, rule: Index, part: int = PART) -> DataFrame:
+    """Links (u, v) that join all nodes whose fingerprints share an index entry and pass the rule.
+
+    ``distinct`` has ``node`` (bigint) and the binary ``index`` and ``verify`` fingerprints. An entry
+    of the inverted index is one set of positions and its byte values. In an entry the shared bytes
+    of each pair are tallied, pairs below the minimum are dropped, the rest verified. Entries of more
+    than ``part`` fingerprints are cut into parts by hash, and each pair of parts is work of its own,
+    so no task holds more than about two parts at a time; they give stars, not pairs.
     """
-    count = distinct.count()
-    width = 3 if count <= 1 << 24 else 4 if count <= 1 << 32 else 5
-    masks = [F.lit(m).cast("bigint") for m in index_keys(width)]
-    sets = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(m).alias("value")) for i, m in enumerate(masks)])
-    postings = distinct.select("fp", F.inline(sets))
-    sizes = postings.groupBy("set", "value").agg(F.count(F.lit(1)).alias("_n"))
+    sets = [
+        F.struct(F.lit(i).alias("set"), F.concat(*[F.substring("index", p + 1, 1) for p in s]).alias("value"))
+        for i, s in enumerate(rule.sets())
+    ]
+    postings = distinct.select("node", "index", "verify", F.inline(F.array(*sets)))
+    sizes = distinct.select(F.inline(F.array(*sets))).groupBy("set", "value").agg(F.count(F.lit(1)).alias("_n"))
     long = sizes.filter(F.col("_n") > part).withColumn("_parts", F.ceil(F.col("_n") / part).cast("int"))
     dealt = postings.join(long.drop("_n"), ["set", "value"], "left")
     parts = F.coalesce("_parts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
     cells = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = cells.select("set", "value", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "fp")
-    where = ["set", "value", "a", "b"]
-    sorted_rows = rows.repartition(*where).sortWithinPartitions(*where)
-    return sorted_rows.mapInArrow(_link_batches, "u bigint, v bigint").distinct()
+    entry = F.xxhash64("set", "value", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    rows = cells.select(entry.alias("entry"), "node", "index", "verify")
+    sorted_rows = rows.repartition("entry").sortWithinPartitions("entry")
+    return sorted_rows.mapInArrow(_linker(rule), "u bigint, v bigint").distinct()
+
+
+def bits_index(count: int) -> Index:
+    """For 64-bit fingerprints that differ in three bits at most: these spoil three bytes at most, so
+    linked ones share five of eight positional bytes, and any five positions hold a set of the index.
+
+    Triples within either half do (of five positions three lie in one half). More fingerprints take
+    longer keys, which keeps entries of random fingerprints near one row; every width finds all links.
+    """
+    if count <= 1 << 24:
+        return Index((tuple(range(4)), tuple(range(4, 8))), 3, 5, 3)
+    return Index((tuple(range(7)),), 4, 5, 3) if count <= 1 << 32 else Index((tuple(range(8)),), 5, 5, 3)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component_id) of every row: fingerprints at most three bits apart are linked, and
-    ``component_id`` is the smallest key that links reach, the row's own included.
+    """(key, fp, component_id) of every row: 64-bit fingerprints at most three bits apart are linked,
+    and ``component_id`` is the smallest key that links reach, the row's own included.
 
     Copies share a fingerprint, so only distinct fingerprints are indexed. Null texts, and texts
     without a word, have fingerprint zero and are linked like others. Repeated rows give their rows.
     A null key gets the smallest key that is not null, null if there is none. Empty in, empty out.
     """
-    found = written(fingerprints(docs, width, key, text), "fingerprints")
+
+    @F.arrow_udf("bigint")
+    def simhash(texts: pa.Array) -> pa.Array:
+        values = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64)
+        return pa.array(values.view(np.int64), pa.int64())
+
+    found = written(docs.select(F.col(key), simhash(F.col(text)).alias("fp")), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min(key).alias("_first")), "distinct")
-    stars = components(near_links(distinct.select("fp")))
+    as_bytes = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    nodes = distinct.select(F.col("fp").alias("node"), as_bytes.alias("index"), as_bytes.alias("verify"))
+    stars = components(near_links(nodes, bits_index(distinct.count())))
     rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("_root")), "fp", "left")
     rooted = rooted.withColumn("_root", F.coalesce("_root", "fp"))
     lowest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    return found.join(rooted.select("fp", "_root").join(lowest, "_root").drop("_root"), "fp").select(key, "fp", "component_id")
+    roots = rooted.select("fp", "_root").join(lowest, "_root").drop("_root")
+    return found.join(roots, "fp").select(key, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest key of each component, all its columns; of rows with equal keys one.
+def similar_index(count: int, size: int, similarity: float) -> Index:
+    """For texts whose five-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Rows with a null key are kept: nothing tells which of them stands for its group.
+    The cosine of the shingle sets is then 2s / (1 + s) for equal sizes, and a bit differs with
+    probability arccos / pi; two deviations are allowed. The index is keyed by the fingerprint of the
+    words, of which an edit changes few: groups of width + 1 positions, all sets of ``width`` of them.
+    """
+    chance = acos(2 * similarity / (1 + similarity)) / pi
+    bits = 8 * size
+    differing = round(bits * chance + 2 * (bits * chance * (1 - chance)) ** 0.5)
+    width = 3 if count <= 1 << 24 else 4
+    groups = tuple(tuple(range(p, p + width + 1)) for p in range(0, size - width, width + 1))
+    return Index(groups, width, width + 1, differing)
+
+
+def one_of_each(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, size: int = 32, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The row of the smallest key of each group of near-duplicates, all columns; of rows with equal
+    keys one. Near: ``width``-word shingles of a similarity of ``similarity`` or more, as estimated
+    from SimHashes of ``size`` bytes.
+
+    Rows with a null key are kept: nothing tells which of them stands for its group. Null and empty
+    texts are one group. Empty in, empty out.
     """
-    found = near_duplicates(docs.filter(F.col(key).isNotNull()), width, key, text)
-    first = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.filter(F.col(key).isNotNull()).join(first, key, "left_semi").dropDuplicates([key])
+
+    @F.arrow_udf("struct<index: binary, verify: binary>")
+    def simhash(texts: pa.Array) -> pa.Array:
+        made = [wide_fingerprints(t.as_py(), width, size) for t in texts]
+        parts = [pa.array([m[k] for m in made], pa.binary()) for k in range(2)]
+        return pa.StructArray.from_arrays(parts, ["index", "verify"])
+
+    keyed = docs.filter(F.col(key).isNotNull())
+    marks = keyed.select(F.col(key), simhash(F.col(text)).alias("_fp")).groupBy("_fp").agg(F.min(key).alias("node"))
+    nodes = written(marks.select("node", "_fp.index", "_fp.verify"), "fingerprints")
+    stars = components(near_links(nodes, similar_index(nodes.count(), size, similarity)))
+    first = nodes.select(F.col("node").alias(key)).join(stars.select(F.col("u").alias(key)), key, "left_anti")
+    kept = keyed.join(first, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))
 
 
