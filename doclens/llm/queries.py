@@ -1,15 +1,19 @@
 """Queries of the training-data operators over the given tables, and their SQL where SQL can say it."""
 
-from doclens.llm import chat, decontaminate, language, sharding, simhash, toxicity
+from doclens.llm import boilerplate, chat, decontaminate, fingerprint, language, mixing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_temperature_mix": mixing.query,
+    "op2_site_lines": boilerplate.query,
     "op3_positional_bytes": simhash.query,
     "op4_containment_search": decontaminate.query,
     "op5_byte_network": language.query,
     "op6_ftrl_toxicity": toxicity.query,
+    "op7_paragraph_sketch": fingerprint.query,
     "op8_hilbert_shards": sharding.query,
     "op9_reply_trees": chat.query,
 }
 SQL: dict[str, str] = {
+    "op2_site_lines": boilerplate.SQL,
     "op9_reply_trees": chat.SQL,
 }
