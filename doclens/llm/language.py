@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm.common import crc_mod, read, ships
@@ -256,8 +256,6 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id",
     fetched. No more than ``WINDOWS_EACH`` windows' worth of a text is of use, so a text comes as its
     first 64 KB.
     """
-    from pyspark.sql import Window
-
     usable = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0))
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
     ids = usable.select(key, lang).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
@@ -288,7 +286,11 @@ def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "tex
 
 
 def accepted(docs: DataFrame, net: Network, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a pooled probability of ``least``."""
+    """The rows of ``docs``, all columns, whose language is known with a pooled probability of ``least``.
+
+    Where the network has learnt no language, only texts without a letter go."""
+    if not net.languages:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("boolean")

@@ -1,6 +1,6 @@
 """Queries of the training-data operators over the given tables, and their SQL where SQL can say it."""
 
-from doclens.llm import boilerplate, chat, decontaminate, fingerprint, language, mixing, sharding, simhash, toxicity
+from doclens.llm import boilerplate, chat, decontaminate, fingerprint, language, mixing, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_temperature_mix": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_paragraph_sketch": fingerprint.query,
     "op8_hilbert_shards": sharding.query,
     "op9_reply_trees": chat.query,
+    "op10_deep_shallow": suffixes.query,
 }
 SQL: dict[str, str] = {
     "op2_site_lines": boilerplate.SQL,
