@@ -28,12 +28,12 @@ def _fold_rules() -> tuple[dict[str, str], dict[str, str]]:
     return single, multiple
 
 
-def _covering_ranges(chars: list[str], gap: int = 256) -> str:
-    """A short character class that holds all of ``chars`` and maybe some between them."""
+def _class(chars: list[str]) -> str:
+    """A character class of exactly ``chars``."""
     codes = sorted(map(ord, chars))
     ranges = [[codes[0], codes[0]]]
     for code in codes[1:]:
-        if code - ranges[-1][1] <= gap:
+        if code == ranges[-1][1] + 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
@@ -52,7 +52,7 @@ def fold_case(text: Column, also: dict[str, str] | None = None) -> Column:
 
     ``lower`` and ``translate`` do nearly all of it. The roughly hundred letters
     that fold to several (ligatures, accented Greek) are rewritten one by one,
-    and only in texts with a letter near them.
+    and only in texts that hold one of them.
     """
     single, multiple = _fold_rules()
     multiple = dict(multiple)
@@ -64,7 +64,7 @@ def fold_case(text: Column, also: dict[str, str] | None = None) -> Column:
     rewritten = F.array_join(
         F.transform(F.split(text, ""), lambda char: F.coalesce(F.element_at(rare, char), char)), ""
     )
-    return F.when(text.rlike(_covering_ranges(list(multiple))), rewritten).otherwise(text)
+    return F.when(text.rlike(_class(list(multiple))), rewritten).otherwise(text)
 
 
 def tokenise_words(text: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,14 +18,32 @@ from pyspark.sql import functions as F
 from doclens.functions import vectors
 from doclens.functions.arrays import let, literal_array
 from doclens.operators.numbering import row_numbers
+from doclens.session import MAX_LITERAL_VALUES
+
+
+# Numbers a table of centroids may hold: it is on the driver and on every executor. 400 MB of doubles.
+MAX_CENTROID_VALUES = 50_000_000
+
+
+def checked(centroids: list[list[float]], limit: int = MAX_CENTROID_VALUES) -> list[list[float]]:
+    """The centroids, if they are small enough to be sent out."""
+    size = sum(len(c) for c in centroids)
+    if size > limit:
+        raise ValueError(f"{size} numbers in the centroids, at most {limit} are sent to every task")
+    return centroids
 
 
 def first_k(points: DataFrame, k: int, id_col: str = "doc_id", vec: str = "vec") -> list[list[float]]:
-    """The vectors of the ``k`` smallest ids: starting centroids, k x d numbers on the driver."""
-    rows = (
-        points.select(id_col, vectors.as_double(F.col(vec)).alias("_vec")).orderBy(id_col).limit(k)
+    """The vectors of the ``k`` smallest ids: starting centroids, k x d numbers on the driver.
+
+    The ids are picked first, so the vectors of other rows are never computed. Of rows that share an
+    id, all count.
+    """
+    ids = F.broadcast(points.select(id_col).orderBy(id_col).limit(k))  # k rows
+    rows = points.join(ids.distinct(), id_col, "left_semi").select(
+        id_col, vectors.as_double(F.col(vec)).alias("_vec")
     )
-    return [list(row["_vec"]) for row in rows.collect()]
+    return checked([list(row["_vec"]) for row in rows.orderBy(id_col).limit(k).collect()])
 
 
 def distances_to(
@@ -38,7 +58,7 @@ def distances_to(
     The centroids are a constant of the plan, so no row meets another row.
     """
     measure = vectors.distance_function(distance)
-    table = literal_array(centroids, "array<array<double>>")
+    table = literal_array(checked(centroids, MAX_LITERAL_VALUES), "array<array<double>>")
     found = let(
         vectors.as_double(F.col(vec)), lambda v: F.transform(table, lambda c: measure(v, c))
     )
@@ -54,33 +74,52 @@ def pair_distances(
     )
 
 
-def nearest_udf(spark, centroids: list[list[float]], distance: str):
-    """Nearest centroid of a batch of vectors, the lowest number on ties.
+def _nearest_rows(rows: np.ndarray, centers: np.ndarray, distance: str) -> np.ndarray:
+    """Nearest centroid of each row of a matrix, the lowest number on ties.
 
     One pass of array arithmetic per centroid; equal centroids give equal distances to the last bit.
-    The function names nothing of this package, so workers need no copy of it.
+    Rows are taken some at a time, so memory does not follow the number of centroids.
     """
-    table = spark.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
-
-    @F.arrow_udf("int")
-    def nearest(column: pa.Array) -> pa.Array:
-        if not len(column):
-            return pa.array([], pa.int32())
-        centers = table.value
-        rows = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
-        found = np.empty((len(centers), len(rows)))
+    result = np.empty(len(rows), np.int32)
+    step = max(1, 4_000_000 // max(1, len(centers)))
+    for start in range(0, len(rows), step):
+        part = rows[start : start + step]
+        found = np.empty((len(centers), len(part)))
         if distance == "euclidean":
             for number, center in enumerate(centers):
-                found[number] = ((rows - center) ** 2).sum(axis=1)
+                found[number] = ((part - center) ** 2).sum(axis=1)
         else:
-            lengths = np.sqrt((rows * rows).sum(axis=1))
+            lengths = np.sqrt((part * part).sum(axis=1))
             for number, center in enumerate(centers):
                 norms = lengths * np.sqrt((center * center).sum())
-                products = (rows * center).sum(axis=1)
-                found[number] = 1.0 - np.divide(
-                    products, norms, out=np.zeros_like(products), where=norms > 0
-                )
-        return pa.array(found.argmin(axis=0), pa.int32())
+                products = (part * center).sum(axis=1)
+                found[number] = 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
+        result[start : start + step] = found.argmin(axis=0)
+    return result
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that are not null, and their places."""
+    valid = np.flatnonzero(np.asarray(column.is_valid()))
+    if not len(valid):
+        return np.zeros((0, 0)), valid
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(valid), -1), valid
+
+
+# Sent to workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def nearest_udf(spark, centroids: list[list[float]], distance: str):
+    """Nearest centroid of a batch of vectors; null for a null vector."""
+    table = spark.sparkContext.broadcast(np.asarray(checked(centroids), dtype=np.float64))
+
+    @F.arrow_udf("int")
+    def nearest(column: pa.Array) -> pa.Array:
+        rows, valid = _matrix(column)
+        found = np.full(len(column), -1, np.int32)
+        found[valid] = _nearest_rows(rows, table.value, distance)
+        return pa.array(found, mask=found < 0)
 
     return nearest
 
@@ -92,11 +131,12 @@ def nearest(spark, centroids: list[list[float]], distance, vec: Column) -> Colum
     if isinstance(distance, str):
         return nearest_udf(spark, centroids, distance)(vectors.as_double(vec))
     measure = vectors.distance_function(distance)
-    table = literal_array(centroids, "array<array<double>>")
-    return let(
+    table = literal_array(checked(centroids, MAX_LITERAL_VALUES), "array<array<double>>")
+    found = let(
         vectors.as_double(vec),
         lambda v: vectors.argmin(F.transform(table, lambda c: measure(v, c))),
     )
+    return F.when(vec.isNotNull(), found)
 
 
 def assign_nearest(
@@ -145,13 +185,15 @@ def kmeans_lloyd(
     """K-means from the first ``k`` rows by id, until no row changes cluster.
 
     Every row starts in cluster 0, so a first round that leaves all rows there ends
-    the run. A round is one job: each task assigns its rows and sums them, and k
-    rows reach the driver. The previous assignment is not stored; it is found
-    again from the previous centroids. An empty cluster keeps its centroid. Points
-    that are not cached are for the length of the run, on disk where memory ends.
+    the run. A round is one job: each task assigns its rows and sums them in array arithmetic, the
+    sums of a cluster are added in the order of the tasks, and k rows reach the driver. Sums in a
+    fixed order repeat to the last bit, so a round that moves no row gives back its own centroids,
+    and nothing need be stored per row or computed twice. An empty cluster keeps its centroid. Null
+    vectors are in no cluster. Points that are not cached are for the length of the run, on disk
+    where memory ends.
     """
-    current = initial or first_k(points, k, id_col, vec)
-    rows = points.select(vectors.as_double(F.col(vec)).alias("_v"))
+    current = checked(initial or first_k(points, k, id_col, vec))
+    rows = points.select(vectors.as_double(F.col(vec)).alias("_v")).filter(F.col("_v").isNotNull())
     if points.storageLevel != StorageLevel.NONE:
         return _rounds(rows, current, max_iters, distance)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -161,29 +203,55 @@ def kmeans_lloyd(
         rows.unpersist()
 
 
-def _rounds(rows: DataFrame, current: list[list[float]], max_iters: int, distance) -> LloydModel:
+def _round_sums(rows: DataFrame, centroids: list[list[float]], distance) -> list:
+    """(cluster, n, total) of the rows nearest to each centroid."""
     spark = rows.sparkSession
+    named = isinstance(distance, str)
+    if not named:
+        rows = rows.select("_v", nearest(spark, centroids, distance, F.col("_v")).alias("_now"))
+    table = spark.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = table.value
+        totals, sizes = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+        for batch in batches:
+            points, _ = _matrix(batch.column(0))
+            if not len(points):
+                continue
+            now = _nearest_rows(points, centers, distance) if named else np.asarray(batch.column(1))
+            np.add.at(totals, now, points)
+            sizes += np.bincount(now, minlength=len(centers))
+        seen = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen), pa.array(sizes[seen]), pa.array(list(totals[seen]), pa.list_(pa.float64()))],
+            ["cluster", "n", "total"],
+        )
+
+    parts = rows.mapInArrow(partial, "cluster bigint, n bigint, total array<double>")
+    parts = parts.withColumn("_task", F.spark_partition_id())
+    ordered = parts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_task", "n", "total"))).alias("_parts"))
+    # one row per task and cluster, added up task by task
+    added = F.aggregate(
+        F.col("_parts.total"),
+        F.array_repeat(F.lit(0.0), len(centroids[0])),
+        lambda total, part: F.zip_with(total, part, lambda x, y: x + y),
+    )
+    n = F.aggregate(F.col("_parts.n"), F.lit(0).cast("bigint"), lambda total, part: total + part)
+    found = ordered.select("cluster", n.alias("n"), added.alias("total")).collect()
+    table.destroy()
+    return found
+
+
+def _rounds(rows: DataFrame, current: list[list[float]], max_iters: int, distance) -> LloydModel:
     previous: list[list[float]] | None = None
     for rounds in range(1, max_iters + 1):
-        before = F.lit(0) if previous is None else nearest(spark, previous, distance, F.col("_v"))
-        assigned = rows.select(
-            "_v",
-            nearest(spark, current, distance, F.col("_v")).alias("_now"),
-            before.alias("_before"),
-        )
-        stats = (
-            assigned.groupBy("_now")
-            .agg(
-                Summarizer.mean(array_to_vector("_v")).alias("_mean"),
-                F.count_if(F.col("_now") != F.col("_before")).alias("_changed"),
-            )
-            .collect()
-        )
         means = [list(center) for center in current]
-        for row in stats:
-            means[row["_now"]] = [float(x) for x in row["_mean"]]
+        found = _round_sums(rows, current, distance)
+        for row in found:
+            means[row["cluster"]] = [x / row["n"] for x in row["total"]]
+        still = means == current or (rounds == 1 and all(row["cluster"] == 0 for row in found))
         previous, current = current, means
-        if not sum(row["_changed"] for row in stats):
+        if still:
             return LloydModel(current, previous, rounds, True, distance)
     return LloydModel(current, previous or current, max_iters, False, distance)
 

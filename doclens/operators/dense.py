@@ -20,21 +20,28 @@ def fit_embedding(
     tokens: str = "tokens",
     seed: int = 0,
     min_count: int = 5,
-    partitions: int | None = None,
+    partitions: int = 8,
+    iterations: int = 1,
+    key: str = "doc_id",
 ) -> Word2VecModel:
-    """Word vectors trained on the token arrays, by default on every core.
+    """Word vectors trained on the token arrays.
 
-    Training keeps vocabulary x size numbers on the driver, so replace rare symbols
+    ``partitions`` models are trained side by side and averaged after each of the ``iterations``, so
+    both are part of the result and do not follow the cluster. Rows are dealt by ``key`` and sorted,
+    which makes the vectors independent of how the input was partitioned. More data per model asks for
+    more partitions, and those for more iterations. Symbols seen fewer than ``min_count`` times have
+    no vector. Training keeps vocabulary x size numbers on the driver, so replace rare symbols
     first (see ``capped_tokens``).
     """
     return Word2Vec(
         vectorSize=size,
         seed=seed,
         minCount=min_count,
-        numPartitions=partitions or docs.sparkSession.sparkContext.defaultParallelism,
+        numPartitions=partitions,
+        maxIter=iterations,
         inputCol=tokens,
         outputCol="features",
-    ).fit(docs)
+    ).fit(docs.select(key, tokens).repartition(partitions, key).sortWithinPartitions(key, tokens))
 
 
 def capped_tokens(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:

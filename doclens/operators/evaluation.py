@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doclens.functions import sampling, vectors
 from doclens.functions.maths import log_factorial
-from doclens.operators.lookup import unnest
+from doclens.operators.lookup import bounded_rows, unnest
 
 # --- one clustering against labels: rows hold ``cluster`` and ``topics`` ---
 
@@ -82,14 +82,19 @@ def silhouette_sample(
     return assigned.withColumn("_hex", digits).orderBy("_hex", id_col).limit(sample_size).drop("_hex")
 
 
-def silhouettes(sample: DataFrame, vec: str = "vec", cluster: str = "cluster") -> DataFrame:
-    """Add ``silhouette`` to each row of a sample of bounded size.
+def silhouettes(
+    sample: DataFrame, vec: str = "vec", cluster: str = "cluster", limit: int = 20_000
+) -> DataFrame:
+    """Add ``silhouette`` to each row of a sample of at most ``limit`` rows; null for a null vector.
 
     The sample (rows x dimensions) goes to every executor once; each task
     compares its own rows with it.
     """
     spark = sample.sparkSession
-    rows = sample.select(vectors.as_double(F.col(vec)).alias("v"), F.col(cluster).alias("c")).collect()
+    known = sample.filter(F.col(vec).isNotNull() & F.col(cluster).isNotNull())
+    rows = bounded_rows(known.select(vectors.as_double(F.col(vec)).alias("v"), F.col(cluster).alias("c")), limit)
+    if rows is None:
+        raise ValueError(f"a silhouette compares every two rows: draw a sample of at most {limit}")
     if not rows:
         return sample.withColumn("silhouette", F.lit(None).cast("double"))
     names, codes = np.unique([row["c"] for row in rows], return_inverse=True)
@@ -102,8 +107,9 @@ def silhouettes(sample: DataFrame, vec: str = "vec", cluster: str = "cluster") -
         table, names, codes = shared.value
         if not len(vecs):
             return pa.array([], pa.float64())
-        points = np.asarray(vecs.flatten(), dtype=np.float64).reshape(len(vecs), -1)
-        own = np.searchsorted(names, np.asarray(clusters))
+        valid = np.flatnonzero(np.asarray(vecs.is_valid()))
+        points = np.asarray(vecs.flatten(), dtype=np.float64).reshape(len(valid), -1)
+        own = np.searchsorted(names, np.asarray(clusters.take(pa.array(valid))))
         sizes = np.bincount(codes, minlength=len(names))
         result = np.zeros(len(points))
         for i, point in enumerate(points):
@@ -115,7 +121,9 @@ def silhouettes(sample: DataFrame, vec: str = "vec", cluster: str = "cluster") -
             outer = np.delete(totals / sizes, own[i]).min()
             largest = max(inner, outer)
             result[i] = (outer - inner) / largest if largest > 0 else 0.0
-        return pa.array(result)
+        scores = np.full(len(vecs), np.nan)
+        scores[valid] = result
+        return pa.array(scores, from_pandas=True)
 
     return sample.withColumn(
         "silhouette", score(vectors.as_double(F.col(vec)), F.col(cluster))
@@ -140,12 +148,15 @@ def squared_silhouette(assigned: DataFrame, features: str = "features", cluster:
 
 
 def pair_contingency(assignments: DataFrame, methods: list[str]) -> DataFrame:
-    """Joint counts for every two of the assignment columns, in one pass over the rows."""
+    """Joint counts for every two of the assignment columns, in one pass over the rows. Clusters keep
+    their type where the columns share one, and are named by text otherwise."""
+    kinds = {assignments.schema[name].dataType for name in methods}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
     pairs = F.array(*[
         F.struct(
             F.lit(f"{first}~{second}").alias("pair"),
-            F.col(first).cast("int").alias("a"),
-            F.col(second).cast("int").alias("b"),
+            F.col(first).cast(kind).alias("a"),
+            F.col(second).cast(kind).alias("b"),
         )
         for first, second in combinations(methods, 2)
     ])
@@ -203,10 +214,10 @@ def summarise(cells: DataFrame) -> DataFrame:
 
 def _ari() -> Column:
     total = F.col("total").cast("double")
-    expected = F.col("in_a") * F.col("in_b") / (total * (total - 1) / 2)
+    expected = F.try_divide(F.col("in_a") * F.col("in_b"), total * (total - 1) / 2)
     divisor = (F.col("in_a") + F.col("in_b")) / 2.0 - expected
     return F.when(F.coalesce(divisor, F.lit(0.0)) == 0, 1.0).otherwise(
-        (F.col("both") - expected) / divisor
+        F.try_divide(F.col("both") - expected, divisor)
     )
 
 
@@ -225,12 +236,12 @@ def _both_trivial() -> Column:
 
 def _nmi(average: str) -> Column:
     mean = _mean_entropy(average)
-    return F.when(_both_trivial(), 1.0).when(mean == 0, 0.0).otherwise(F.col("mi") / mean)
+    return F.when(_both_trivial(), 1.0).when(mean == 0, 0.0).otherwise(F.try_divide("mi", mean))
 
 
 def _ami(average: str) -> Column:
     return F.when(_both_trivial(), 1.0).otherwise(
-        (F.col("mi") - F.col("emi")) / (_mean_entropy(average) - F.col("emi"))
+        F.try_divide(F.col("mi") - F.col("emi"), _mean_entropy(average) - F.col("emi"))
     )
 
 
@@ -245,13 +256,14 @@ def normalised_mutual_information(cells: DataFrame, average: str = "arithmetic")
     return summarise(cells).select("pair", _nmi(average).alias("nmi"))
 
 
-def expected_information(cells: DataFrame, block: int = 1 << 14) -> DataFrame:
+def expected_information(cells: DataFrame, block: int = 1 << 14, deviations: float | None = 40.0) -> DataFrame:
     """(pair, emi): mutual information expected of random clusterings with the same sizes.
 
     Sums a hypergeometric law over every possible overlap of every two cluster sizes; equal sizes
     are computed once. Overlaps further than 40 deviations + 200 from the mean have a
     probability below e^-300, nothing in doubles, so the range follows the
-    deviation and not the cluster size. Ranges are cut into blocks and spread before they unfold.
+    deviation and not the cluster size; None sums all, for comparison. Ranges are cut into blocks and
+    spread before they unfold.
     """
 
     def sizes(side: str) -> DataFrame:
@@ -265,9 +277,11 @@ def expected_information(cells: DataFrame, block: int = 1 << 14) -> DataFrame:
     a, b, total = (F.col(name).cast("double") for name in ("a", "b", "total"))
     mean = a * b / total
     variance = mean * (total - a) / total * (total - b) / F.greatest(total - 1.0, F.lit(1.0))
-    reach = 40.0 * F.sqrt(variance) + 200.0
-    low = F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("total"), F.floor(mean - reach))
-    high = F.least(F.col("a"), F.col("b"), F.ceil(mean + reach))
+    low = F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("total"))
+    high = F.least(F.col("a"), F.col("b"))
+    if deviations is not None:
+        reach = deviations * F.sqrt(variance) + 200.0
+        low, high = F.greatest(low, F.floor(mean - reach)), F.least(high, F.ceil(mean + reach))
     ranged = grid.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
     blocks = ranged.withColumn(
         "_start", F.explode(F.sequence("_low", "_high", F.lit(block).cast("long")))

@@ -7,13 +7,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.session import MAX_BROADCAST_ROWS
+from doclens.session import MAX_BROADCAST_ROWS, written
 
 
 def bounded_rows(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
-    """The rows of a fitted table, or None when there are more than ``limit``."""
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    """The rows of a fitted table, or None when there are more than ``limit``. Counted first, so a
+    table that is too large never reaches the driver; pass a written table."""
+    return None if table.limit(limit + 1).count() > limit else table.collect()
+
+
+def with_row_number(df: DataFrame, out: str) -> DataFrame:
+    """Add a number that is unique per row, repeated rows included. Written, so that it cannot change
+    between two uses."""
+    return written(df.withColumn(out, F.monotonically_increasing_id()), "rows")
 
 
 def index_lookup(spark, symbols: list[str], ids: list[int], missing: int):

@@ -36,26 +36,24 @@ def plateau_drops(
     checkpoints: DataFrame, rate: float = 0.01, decay: float = 0.9, look_back: int = 3
 ) -> DataFrame:
     """(checkpoint, loss, dropped, rate): the learning rate falls when the loss is above the
-    largest of the last three, once there are three.
+    largest of the last three recorded, once there are three. Checkpoints may be missing.
 
     Each checkpoint sends its loss to the next three, so no window runs over the
     whole log. ``rate`` is the one in force after the checkpoint.
     """
+    placed = row_numbers(checkpoints, [F.col("checkpoint")], out="_position")
     ahead = F.sequence(F.lit(1), F.lit(look_back))
     earlier = (
-        checkpoints.select(
-            F.explode(F.transform(ahead, lambda i: F.col("checkpoint") + i)).alias("checkpoint"),
+        placed.select(
+            F.explode(F.transform(ahead, lambda i: F.col("_position") + i)).alias("_position"),
             F.col("loss").alias("_loss"),
         )
-        .groupBy("checkpoint")
+        .groupBy("_position")
         .agg(F.max("_loss").alias("_worst"), F.count(F.lit(1)).alias("_seen"))
     )
     dropped = (F.col("_seen") == look_back) & (F.col("loss") > F.col("_worst"))
-    marked = checkpoints.join(earlier, "checkpoint", "left").select(
-        "checkpoint",
-        "loss",
-        F.coalesce(dropped, F.lit(False)).cast("int").alias("dropped"),
-        (F.col("checkpoint") + 1).alias("_position"),
+    marked = placed.join(earlier, "_position", "left").select(
+        "checkpoint", "loss", F.coalesce(dropped, F.lit(False)).cast("int").alias("dropped"), "_position"
     )
     summed = running_sum(marked, "_position", "dropped", "_drops")
     return summed.select(

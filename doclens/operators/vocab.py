@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import arrays
 from doclens.functions.text import tokeniser
-from doclens.operators.lookup import bounded_rows, index_lookup, skew_safe_lookup, unnest
+from doclens.operators.lookup import (
+    bounded_rows,
+    index_lookup,
+    skew_safe_lookup,
+    unnest,
+    with_row_number,
+)
 from doclens.operators.numbering import row_numbers
 from doclens.schemas import FIRST_FREE_ID, SPECIAL_IDS, UNK
-from doclens.session import MAX_BROADCAST_ROWS
+from doclens.session import MAX_BROADCAST_ROWS, MAX_LITERAL_VALUES
 
 
 def with_tokens(
@@ -124,18 +133,38 @@ def encode(
     """Add the id array of a token array; symbols outside the vocabulary become UNK.
 
     A vocabulary of at most ``max_symbols`` is looked up inside each row. A
-    larger one is joined, see ``encode_by_join``. ``corpus_rule`` leaves out
+    larger one is joined, see ``encode_by_join``; both give the same rows, with any columns,
+    repeated rows and null arrays, which have no ids. ``corpus_rule`` leaves out
     reserved symbols that fell out of the cap; without it every symbol that has
     an id counts as known.
     """
     table = _lookup_table(vocab, corpus_rule)
     rows = bounded_rows(table, max_symbols)
+    if rows is None and docs.isStreaming:
+        return _encode_by_blocks(docs, table, tokens, out, max_symbols)
     if rows is None:
         return encode_by_join(docs, vocab, tokens, out, corpus_rule)
-    lookup = index_lookup(
-        docs.sparkSession, [r["symbol"] for r in rows], [r["id"] for r in rows], UNK
-    )
-    return docs.withColumn(out, lookup(F.coalesce(F.col(tokens), F.array().cast("array<string>"))))
+    return docs.withColumn(out, _in_row(docs, rows, tokens, UNK))
+
+
+def _in_row(docs: DataFrame, rows: list, tokens: str, missing: int) -> Column:
+    symbols, ids = [r["symbol"] for r in rows], [r["id"] for r in rows]
+    lookup = index_lookup(docs.sparkSession, symbols, ids, missing)
+    return lookup(F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+
+
+def _encode_by_blocks(docs: DataFrame, table: DataFrame, tokens: str, out: str, block: int) -> DataFrame:
+    """A stream cannot be joined and grouped by row, so each block of the vocabulary is looked up in
+    the row. Executors then hold the whole vocabulary, in pieces of ``block`` symbols."""
+    blocks = math.ceil(table.count() / block)
+    part = F.pmod(F.xxhash64("symbol"), F.lit(blocks))
+    names = [f"_block{number}" for number in range(blocks)]
+    for number, name in enumerate(names):
+        rows = table.filter(part == number).collect()
+        docs = docs.withColumn(name, _in_row(docs, rows, tokens, -1))
+    known = reduce(lambda a, b: F.zip_with(a, b, F.greatest), map(F.col, names))
+    ids = F.transform(known, lambda i: F.when(i < 0, F.lit(UNK)).otherwise(i))
+    return docs.withColumn(out, ids).drop(*names)
 
 
 def encode_by_join(
@@ -144,60 +173,64 @@ def encode_by_join(
     tokens: str = "tokens",
     out: str = "ids",
     corpus_rule: bool = True,
-    key: str = "doc_id",
     head: int = 100_000,
 ) -> DataFrame:
     """Same result as ``encode`` for a vocabulary too large to broadcast.
 
-    Common symbols are broadcast and the long tail is joined by shuffle. Position
-    and id travel as one long, eight bytes a token.
+    Rows are numbered and written once, so they need no key of their own. Common symbols are
+    broadcast and the long tail is joined by shuffle. Position and id travel as one long, eight
+    bytes a token.
     """
+    docs = with_row_number(docs, "_row")
     table = _lookup_table(vocab, corpus_rule)
     if "n" not in table.columns:
         table = table.withColumn("n", -F.col("id"))
-    flat = unnest(docs, [key], F.col(tokens), "pos", "symbol")
+    flat = unnest(docs, ["_row"], F.col(tokens), "pos", "symbol")
     found = skew_safe_lookup(flat, table, "symbol", "n", head)
     packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("id", F.lit(UNK))
-    ids = found.groupBy(key).agg(F.sort_array(F.collect_list(packed)).alias(out))
+    ids = found.groupBy("_row").agg(F.sort_array(F.collect_list(packed)).alias(out))
     ids = ids.withColumn(
         out, F.transform(out, lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     )
-    return docs.join(ids, key, "left").withColumn(
+    return docs.join(ids, "_row", "left").withColumn(
         out, F.coalesce(out, F.array().cast("array<int>"))
-    )
+    ).drop("_row")
 
 
 def tokenise_sentences(
-    sentences: DataFrame, vocab: DataFrame, text: str = "text"
+    sentences: DataFrame, vocab: DataFrame, text: str = "text", max_symbols: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Add the word ids of raw sentences and the sentence rewritten with unknown words replaced."""
-    encoded = encode(with_tokens(sentences, "word", text), vocab, corpus_rule=False)
+    encoded = encode(with_tokens(sentences, "word", text), vocab, corpus_rule=False, max_symbols=max_symbols)
     rewritten = F.zip_with(
         "tokens", "ids", lambda token, id_: F.when(id_ == UNK, F.lit("<UNK>")).otherwise(token)
     )
     return encoded.withColumn("sentence", F.array_join(rewritten, " "))
 
 
-def decode(docs: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
-    """Add the symbols of an id array, joined by blanks. Ids are places in a constant array."""
-    rows = bounded_rows(vocab.select("id", "symbol"))
+def decode(
+    docs: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text", max_symbols: int = MAX_LITERAL_VALUES
+) -> DataFrame:
+    """Add the symbols of an id array, joined by blanks; ids without a symbol are left out, and a null
+    array gives ``''``. Up to ``max_symbols`` ids are places in a constant array, more are joined."""
+    rows = bounded_rows(vocab.select("id", "symbol"), max_symbols)
     if rows is None:
         return decode_by_join(docs, vocab, ids, out)
     by_id = {row["id"]: row["symbol"] for row in rows}
     symbols = arrays.literal_array(
-        [by_id.get(i) for i in range(max(by_id) + 1)], "array<string>"
+        [by_id.get(i) for i in range(max(by_id, default=-1) + 1)], "array<string>"
     )
-    return docs.withColumn(out, F.array_join(F.transform(ids, lambda i: F.get(symbols, i)), " "))
+    text = F.array_join(F.transform(ids, lambda i: F.get(symbols, i)), " ")
+    return docs.withColumn(out, F.coalesce(text, F.lit("")))
 
 
-def decode_by_join(
-    docs: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text", key: str = "doc_id"
-) -> DataFrame:
+def decode_by_join(docs: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
     """Same result as ``decode`` for a vocabulary of any size."""
+    docs = with_row_number(docs, "_row")
     table = vocab.select("id", "symbol").withColumn("_weight", -F.col("id"))
-    flat = unnest(docs, [key], F.col(ids), "pos", "id")
+    flat = unnest(docs, ["_row"], F.col(ids), "pos", "id")
     found = skew_safe_lookup(flat, table, "id", "_weight")
-    text = found.groupBy(key).agg(
+    text = found.groupBy("_row").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda p: p["symbol"]
@@ -205,7 +238,7 @@ def decode_by_join(
             " ",
         ).alias(out)
     )
-    return docs.join(text, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    return docs.join(text, "_row", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_row")
 
 
 def vocab_summary(counts: DataFrame, vocab: DataFrame) -> DataFrame:

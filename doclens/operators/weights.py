@@ -11,9 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import arrays
-from doclens.operators.lookup import bounded_rows, index_lookup, skew_safe_lookup, unnest
+from doclens.operators.lookup import (
+    bounded_rows,
+    index_lookup,
+    skew_safe_lookup,
+    unnest,
+    with_row_number,
+)
 from doclens.operators.numbering import row_numbers
-from doclens.session import MAX_BROADCAST_ROWS, written
+from doclens.session import MAX_BROADCAST_ROWS, MAX_LITERAL_VALUES, written
 
 
 def term_counts(docs: DataFrame, values: str = "ids", name: str = "id", key: str = "doc_id") -> DataFrame:
@@ -74,6 +80,36 @@ def icf_tfidf(
     )
 
 
+def top_icf_terms(
+    docs: DataFrame, vocab: DataFrame, limit: int = 10, digits: int = 9, values: str = "ids", key: str = "doc_id"
+) -> DataFrame:
+    """(key, symbol, weight, rn): ``icf_tfidf`` and ``top_terms`` in one, over a vocabulary of at most
+    ``MAX_LITERAL_VALUES`` symbols. Weights are looked up and ranked inside the row, so nothing but the
+    corpus counts is shuffled."""
+    counts = written(corpus_counts(docs, values), "counts")
+    rows = bounded_rows(icf_weights(counts).join(vocab.select("id", "symbol"), "id"), MAX_LITERAL_VALUES)
+    if rows is None:
+        names = vocab.select("id", "symbol")
+        return top_terms(icf_tfidf(docs, values, counts=counts, key=key).join(names, "id").drop("id"), "symbol", limit, key, digits)
+    size, last = float(counts.count()), max((r["id"] for r in rows), default=-1)
+    weight, symbol = {r["id"]: r["icf"] for r in rows}, {r["id"]: r["symbol"] for r in rows}
+    icf = arrays.literal_array([weight.get(i) for i in range(last + 1)], "array<double>")
+    names = arrays.literal_array([symbol.get(i) for i in range(last + 1)], "array<string>")
+    ranked = F.array_sort(
+        F.transform(
+            arrays.run_lengths(F.col(values)),
+            lambda run: F.struct(
+                (-F.round(run["n"] / F.lit(size) * F.get(icf, run["value"]), digits)).alias("minus"),
+                F.get(names, run["value"]).alias("symbol"),
+            ),
+        )
+    )
+    best = F.filter(ranked, lambda t: t["symbol"].isNotNull())
+    return docs.select(key, F.posexplode(F.slice(best, 1, limit)).alias("_place", "_term")).select(
+        key, "_term.symbol", (-F.col("_term.minus")).alias("weight"), (F.col("_place") + 1).cast("long").alias("rn")
+    )
+
+
 def top_terms(weighted: DataFrame, name: str, limit: int = 10, key: str = "doc_id", digits: int = 9) -> DataFrame:
     """The heaviest terms of each document. A document is one row's worth, so its window is small."""
     rounded = weighted.withColumn("weight", F.round("weight", digits))
@@ -89,11 +125,14 @@ class TfidfModel:
 
     terms: DataFrame
     rows: list | None
+    in_row: int = MAX_LITERAL_VALUES
 
     def transform(self, docs: DataFrame, values: str = "terms", out: str = "weights", key: str = "doc_id") -> DataFrame:
-        """Add ``array<struct<idx, weight>>``, l2-normalised; terms not fitted are dropped."""
-        if self.rows is None:
-            return self._transform_by_join(docs, values, out, key)
+        """Add ``array<struct<idx, weight>>``, l2-normalised; terms not fitted are dropped.
+
+        Up to ``in_row`` terms are looked up in the row, more are joined; the rows are the same."""
+        if self.rows is None or len(self.rows) > self.in_row:
+            return self._transform_by_join(docs, values, out)
         if not self.rows:
             empty = F.array().cast("array<struct<idx:int,weight:double>>")
             return docs.withColumn(out, empty)
@@ -113,7 +152,8 @@ class TfidfModel:
         )
         return docs.withColumn("_idx", lookup(F.col(values))).withColumn(out, _unit(weighted)).drop("_idx")
 
-    def _transform_by_join(self, docs: DataFrame, values: str, out: str, key: str) -> DataFrame:
+    def _transform_by_join(self, docs: DataFrame, values: str, out: str) -> DataFrame:
+        docs, key = with_row_number(docs, "_row"), "_row"
         counted = term_counts(docs, values, "term", key).withColumnRenamed("n", "_tf")
         found = skew_safe_lookup(counted, self.terms, "term", "n").filter(F.col("idx").isNotNull())
         raw = found.groupBy(key).agg(
@@ -125,7 +165,7 @@ class TfidfModel:
         )
         scaled = raw.select(key, _unit(F.col("_raw")).alias(out))
         empty = F.array().cast("array<struct<idx:int,weight:double>>")
-        return docs.join(scaled, key, "left").withColumn(out, F.coalesce(out, empty))
+        return docs.join(scaled, key, "left").withColumn(out, F.coalesce(out, empty)).drop(key)
 
     def exploded(self, docs: DataFrame, values: str = "terms", key: str = "doc_id") -> DataFrame:
         """(doc, idx, weight) rows."""
@@ -134,14 +174,17 @@ class TfidfModel:
         )
 
     def to_ml(self, values: str = "terms", out: str = "features") -> PipelineModel:
-        """The same weights as ML stages giving sparse vectors, for the ML estimators."""
-        if not self.rows:
-            raise ValueError("needs between 1 and the broadcast limit of terms")
-        counter = CountVectorizerModel.from_vocabulary(
-            [r["term"] for r in self.rows], inputCol=values, outputCol="_counts"
-        )
+        """The same weights as ML stages giving sparse vectors, for the ML estimators.
+
+        Without terms the vectors have one place, always 0. The estimators hold dense rows of this
+        width on the driver, so more terms than can be broadcast are refused: lower ``max_features``.
+        """
+        if self.rows is None:
+            raise ValueError(f"ML vectors are limited to {MAX_BROADCAST_ROWS} terms: lower max_features")
+        terms = [r["term"] for r in self.rows] or ["\u0000"]
+        counter = CountVectorizerModel.from_vocabulary(terms, inputCol=values, outputCol="_counts")
         scale = ElementwiseProduct(
-            scalingVec=Vectors.dense([r["idf"] for r in self.rows]),
+            scalingVec=Vectors.dense([r["idf"] for r in self.rows] or [0.0]),
             inputCol="_counts",
             outputCol="_scaled",
         )
@@ -196,8 +239,11 @@ def fit_tfidf(
     if stop_words is not None:
         table = table.join(stop_words.select("term"), "term", "left_anti")
     bounded = max_features is not None and max_features <= MAX_BROADCAST_ROWS
-    if max_features is not None:
-        table = table.orderBy(F.col("n").desc(), F.col("term")).limit(max_features)
+    order = [F.col("n").desc(), F.col("term")]
+    if bounded:
+        table = table.orderBy(*order).limit(max_features)
+    elif max_features is not None:
+        table = row_numbers(table, order, out="_rank").filter(F.col("_rank") <= max_features).drop("_rank")
     added = {"smooth_plus_one": 1.0, "smooth": 0.0}[idf]
     table = table.withColumn(
         "idf", F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + added
@@ -205,10 +251,8 @@ def fit_tfidf(
     if bounded:
         place = F.row_number().over(Window.orderBy("term")) - 1
         numbered = table.withColumn("idx", place.cast("int"))
-        rows = bounded_rows(numbered.orderBy("idx"))
-        if rows:
-            numbered = train.sparkSession.createDataFrame(rows, numbered.schema)
-        return TfidfModel(numbered.select("term", "idx", "df", "n", "idf"), rows)
-    numbered = row_numbers(table, [F.col("term")], out="idx")
-    numbered = numbered.withColumn("idx", (F.col("idx") - 1).cast("int"))
-    return TfidfModel(numbered.select("term", "idx", "df", "n", "idf"), bounded_rows(numbered.orderBy("idx")))
+    else:
+        numbered = row_numbers(table, [F.col("term")], out="idx")
+        numbered = numbered.withColumn("idx", (F.col("idx") - 1).cast("int"))
+    numbered = written(numbered.select("term", "idx", "df", "n", "idf"), "terms")
+    return TfidfModel(numbered, bounded_rows(numbered.orderBy("idx")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions.text import joined, word_terms
@@ -31,7 +32,9 @@ class Report:
 
 
 def prepare(docs: DataFrame, max_len: int | None = 200) -> DataFrame:
-    """(doc_id, split, topics, tokens, terms), short documents only, tokenised once and written."""
+    """(doc_id, split, topics, tokens, terms), short documents only, tokenised once and written.
+
+    ``left_out`` tells how many documents were too long."""
     tokens = docs if "tokens" in docs.columns else with_tokens(docs)
     if max_len:
         tokens = filter_length(tokens, max_len)
@@ -39,6 +42,20 @@ def prepare(docs: DataFrame, max_len: int | None = 200) -> DataFrame:
     return written(kept.withColumn("terms", word_terms(joined(F.col("tokens")))), "prepared")
 
 
+def left_out(docs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(n_docs, n_kept, n_left_out): documents that ``prepare`` left out by length."""
+    kept = F.lit(prepared.count())
+    return docs.agg(F.count(F.lit(1)).alias("n_docs")).select(
+        "n_docs", kept.alias("n_kept"), (F.col("n_docs") - kept).alias("n_left_out")
+    )
+
+
+def english_stop_words(spark: SparkSession) -> DataFrame:
+    """(term): the English stop words that Spark ships."""
+    words = sorted({word.lower() for word in StopWordsRemover.loadDefaultStopWords("english")})
+    return spark.createDataFrame([(word,) for word in words], "term string")
+
+
 def tfidf_features(
     docs: DataFrame, max_features: int = 20_000, stop_words: DataFrame | None = None
 ) -> DataFrame:
@@ -68,23 +85,30 @@ def report(featured: DataFrame, k: int = 0, seed: int = 0) -> Report:
     fitted = model.transform(train).select("doc_id", "cluster", "topics", "features")
     guessed = model.transform(test).select("doc_id", "cluster", "topics")
     top = evaluation.top_labels(evaluation.cluster_label_counts(fitted))
-    purity = evaluation.pseudo_purity(fitted).withColumn("_one", F.lit(1))
-    hits = evaluation.top_label_hit_rate(guessed, top).withColumn("_one", F.lit(1))
-    scores = purity.join(hits, "_one").drop("_one")
+    dense = evaluation.silhouette_sample(fitted, seed=seed).withColumn("_dense", vector_to_array("features"))
+    spread = evaluation.silhouettes(dense, "_dense").agg(F.avg("silhouette").alias("silhouette"))
+    scores = evaluation.pseudo_purity(fitted).select(
+        "pseudo_purity",
+        evaluation.top_label_hit_rate(guessed, top).scalar().alias("hit_rate"),
+        spread.scalar().alias("silhouette"),
+    )
     return Report(model, fitted, guessed, top, scores)
 
 
 def cluster_labels(rep: Report) -> DataFrame:
-    """(cluster, size, rank, label, n): the printed summary of a clustering."""
-    return rep.top_labels.join(F.broadcast(evaluation.cluster_sizes(rep.train)), "cluster").select(
-        "cluster", "size", "rank", "label", "n"
-    )
+    """(cluster, size, rank, label, n): the printed summary of a clustering. Every cluster with
+    members is listed; one without labels has one row, whose rank, label and count are null."""
+    sizes = evaluation.cluster_sizes(rep.train)
+    return sizes.join(rep.top_labels, "cluster", "left").select("cluster", "size", "rank", "label", "n")
 
 
 def compare_all(
     docs: DataFrame, k: int = 0, max_features: int = 20_000, stop_words: DataFrame | None = None, seed: int = 0
 ) -> tuple[dict[str, Report], DataFrame]:
-    """Dense vectors, tf-idf, and small tf-idf without stop words; scores of each and of each pair."""
+    """Dense vectors, tf-idf, and small tf-idf without stop words, by default the English ones; scores
+    of each and of each pair."""
+    if stop_words is None:
+        stop_words = english_stop_words(docs.sparkSession)
     prepared = prepare(docs) if "terms" not in docs.columns else docs
     reports = {
         "dense": report(dense_features(prepared, seed=seed), k, seed),

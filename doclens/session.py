@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows a fitted table (vocabulary, weights, centroids) may have before it is no
 # longer collected or broadcast. 1M symbols are some tens of MB on each executor.
 MAX_BROADCAST_ROWS = 1_000_000
+# Values a constant of a query plan may hold; plans travel with every task.
+MAX_LITERAL_VALUES = 100_000
 
 
 def local_session(app: str = "doclens", cores: int | str = "*") -> SparkSession:

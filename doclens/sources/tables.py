@@ -54,13 +54,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_vectors(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The vectors at ``path``; built and written first when they are not there."""
+    """The vectors at ``path``; built and written first unless a finished write left its mark there."""
     try:
-        return read_vectors(spark, f"{path}")
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(1).count()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-    write_vectors(build(), path)
+        write_vectors(build(), path)
     return read_vectors(spark, path)
 
 
@@ -99,6 +99,6 @@ def write_training_shards(docs: DataFrame, path: str, records_per: int = 500) ->
 
 
 def read_training_shards(spark: SparkSession, path: str, train: bool) -> DataFrame:
-    """The shards of one split; the other split's folders are not listed."""
+    """The shards of one split; the other split's folders are pruned."""
     shards = spark.read.parquet(path)
     return shards.filter(F.col("split") == ("train" if train else "test"))

@@ -36,13 +36,14 @@ def tokenise_chars_query(spark, sf):
     "replace_unknown",
     f"WITH {C.TOKENS}, {C.FLAT}, {C.COUNTS}, {C.vocab_sql()} SELECT doc_id, array_to_string(list(CASE WHEN v.symbol IS NULL "
     "THEN '<UNK>' ELSE f.symbol END ORDER BY pos), ' ') AS text FROM flat f LEFT JOIN "
-    "(SELECT symbol FROM vocab WHERE kept) v USING (symbol) GROUP BY doc_id",
+    "(SELECT symbol FROM vocab WHERE kept) v USING (symbol) GROUP BY doc_id "
+    "UNION ALL SELECT doc_id, '' FROM tokens WHERE len(tokens) = 0",
 )
 def replace_unknown(spark, sf):
     from doclens.operators.dense import capped_tokens
 
     tokens = C.tokenised(spark, sf)
-    capped = capped_tokens(tokens, C.vocabulary(tokens)).filter(F.size("tokens") > 0)
+    capped = capped_tokens(tokens, C.vocabulary(tokens))
     return capped.select("doc_id", joined(F.col("tokens")).alias("text"))
 
 
@@ -59,12 +60,12 @@ _SENTENCES = (
 @R.add(
     "tokenise_sentence",
     f"WITH {C.TOKENS}, {C.FLAT}, {C.COUNTS}, {C.vocab_sql()}, {_SENTENCES} SELECT conv_id, turn, sentence, "
-    "array_to_string(ids, ' ') AS ids FROM coded",
+    "array_to_string(ids, ' ') AS ids FROM coded UNION ALL SELECT conv_id, turn, '', '' FROM sentences WHERE len(tokens) = 0",
 )
 def tokenise_sentence(spark, sf):
     vocab = C.vocabulary(C.tokenised(spark, sf))
     talk = C.spread(spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text"))
-    return V.tokenise_sentences(talk, vocab).filter(F.size("ids") > 0).select(
+    return V.tokenise_sentences(talk, vocab).select(
         "conv_id", "turn", "sentence", F.array_join("ids", " ").alias("ids")
     )
 
@@ -153,12 +154,12 @@ _array_query(
 @R.add(
     "detokenise",
     f"WITH {C.corpus_sql()} SELECT doc_id, array_to_string(list(v.symbol ORDER BY pos), ' ') AS text "
-    "FROM enc JOIN vocab v USING (id) GROUP BY doc_id",
+    "FROM enc JOIN vocab v USING (id) GROUP BY doc_id UNION ALL SELECT doc_id, '' FROM tokens WHERE len(tokens) = 0",
 )
 def detokenise(spark, sf):
     tokens = C.tokenised(spark, sf)
     vocab = C.vocabulary(tokens)
-    return V.decode(V.encode(tokens, vocab).filter(F.size("ids") > 0), vocab).select("doc_id", "text")
+    return V.decode(V.encode(tokens, vocab), vocab).select("doc_id", "text")
 
 
 @R.add(

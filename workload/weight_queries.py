@@ -89,10 +89,7 @@ TOP_TERMS_SQL = (
 def top_weighted_terms(spark, sf):
     """The ten heaviest terms of each document over a capped vocabulary."""
     docs, vocab = C.encoded(spark, sf)
-    weighted = W.icf_tfidf(docs, max_terms=DIMS)
-    # At most DIMS rows.
-    names = F.broadcast(vocab.select("id", "symbol"))
-    return W.top_terms(weighted.join(names, "id").drop("id"), "symbol")
+    return W.top_icf_terms(docs, vocab)
 
 
 def _tfidf_sql(features: int, smooth: int = 1, stop: str = "") -> str:
