@@ -100,8 +100,9 @@ def sample_batches(
     """(step, slot, bucket_id, ...row): per step a bucket by share, then ``batch_size`` rows of it
     with replacement.
 
-    Rows are numbered inside their bucket; a draw picks a number, so the rows meet
-    the draws in an equi-join on (bucket, number), which spreads evenly.
+    Rows are numbered inside their bucket by key alone; a draw picks a number, so the keys meet
+    the draws in an equi-join on (bucket, number), which spreads evenly. Only what was drawn is
+    fetched from ``bucketed``, whose ``key`` must be unique.
     """
     stats = bucket_stats(bucketed)
     steps_table = sample_buckets(stats, steps, seed)
@@ -114,9 +115,10 @@ def sample_batches(
     draws = draws.select(
         "step", "slot", "bucket_id", (F.floor(u * F.col("n")) + 1).alias("_rn")
     )
-    hashed = bucketed.withColumn("_hex", sampling.hash_hex(seed, F.col(key)))
+    hashed = bucketed.select("bucket_id", key, sampling.hash_hex(seed, F.col(key)).alias("_hex"))
     numbered = hashed_row_numbers(hashed, "_hex", [key], ["bucket_id"], "_rn").drop("_hex")
-    return draws.join(numbered, ["bucket_id", "_rn"]).drop("_rn")
+    drawn_keys = draws.join(numbered, ["bucket_id", "_rn"]).drop("_rn")
+    return drawn_keys.join(bucketed, ["bucket_id", key])
 
 
 def time_major(

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -124,6 +125,38 @@ def nearest_udf(spark, centroids: list[list[float]], distance: str):
     return nearest
 
 
+def nearest_by_terms(spark, terms: list[str], idf: list[float], centroids: list[list[float]], digits: int = 9):
+    """``array<string> -> int``: the centroid nearest to a row's tf-idf vector, the lowest number on ties.
+
+    Term counts times ``idf``, scaled to length 1, by euclidean distance rounded to ``digits``. Only
+    the terms that occur are touched: sparse rows against a dense table of centroids.
+    """
+    table = spark.sparkContext.broadcast(
+        (pa.array(terms, pa.string()), np.asarray(idf), np.asarray(checked(centroids), dtype=np.float64))
+    )
+
+    @F.arrow_udf("int")
+    def nearest(tokens: pa.Array) -> pa.Array:
+        known, weight, centers = table.value
+        n, size = len(tokens), max(1, len(known))
+        found = pc.index_in(tokens.flatten(), value_set=known)
+        row = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)))
+        valid = np.asarray(found.is_valid())
+        place = np.asarray(found.drop_null()).astype(np.int64)
+        cells, times = np.unique(row[valid] * size + place, return_counts=True)
+        row, place = cells // size, cells % size
+        values = times * weight[place]
+        values = values / np.sqrt(np.bincount(row, values**2, minlength=n))[row]
+        own = np.bincount(row, values**2, minlength=n)
+        gaps = np.empty((len(centers), n))
+        for number, center in enumerate(centers):
+            dots = np.bincount(row, values * center[place], minlength=n)
+            gaps[number] = np.sqrt(np.maximum(0.0, own + (center**2).sum() - 2.0 * dots))
+        return pa.array(np.round(gaps, digits).argmin(axis=0).astype(np.int32))
+
+    return nearest
+
+
 def nearest(spark, centroids: list[list[float]], distance, vec: Column) -> Column:
     """Number of the nearest centroid. Named distances run on whole Arrow batches, any other
     function as a column expression. Over a vector made from the ids of ``encode`` in the same

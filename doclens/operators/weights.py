@@ -167,6 +167,16 @@ class TfidfModel:
         empty = F.array().cast("array<struct<idx:int,weight:double>>")
         return docs.join(scaled, key, "left").withColumn(out, F.coalesce(out, empty)).drop(key)
 
+    def dense_rows(self, docs: DataFrame, values: str = "terms", key: str = "doc_id") -> list[list[float]]:
+        """The vectors of a few documents, in the order of ``key``, as starting centroids."""
+        width = len(self.rows or [])
+        rows = self.transform(docs, values, "_weights").select(key, "_weights").orderBy(key).collect()
+        table = [[0.0] * width for _ in rows]
+        for dense, row in zip(table, rows, strict=True):
+            for entry in row["_weights"]:
+                dense[entry["idx"]] = entry["weight"]
+        return table
+
     def exploded(self, docs: DataFrame, values: str = "terms", key: str = "doc_id") -> DataFrame:
         """(doc, idx, weight) rows."""
         return self.transform(docs, values, "_weights", key).select(

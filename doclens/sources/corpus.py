@@ -18,19 +18,10 @@ from doclens.operators.vocab import (
 from doclens.session import written
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when a scan gives fewer tasks than there are cores.
-
-    Happens with one small file; a scan of many files is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_documents(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A Parquet corpus, only the named columns, spread over the cores."""
+    """A Parquet corpus, only the named columns. ``spark.sql.files.maxPartitionBytes`` sets the tasks."""
     docs = spark.read.parquet(path)
-    return spread(docs.select(*columns) if columns else docs)
+    return docs.select(*columns) if columns else docs
 
 
 def text_and_labels(

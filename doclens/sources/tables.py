@@ -74,10 +74,14 @@ def label_lines(docs: DataFrame) -> DataFrame:
 
 
 def shard_plan(docs: DataFrame, records_per: int = 500) -> DataFrame:
-    """Add ``shard``: documents of a split by rising length, ``records_per`` to a shard."""
-    sized = docs.withColumn("_len", F.size("ids"))
-    numbered = row_numbers(sized, [F.col("_len"), F.col("doc_id")], ["split"], "_rn")
-    return numbered.withColumn("shard", F.floor((F.col("_rn") - 1) / records_per)).drop("_len")
+    """Add ``shard``: documents of a split by rising length, ``records_per`` to a shard.
+
+    Lengths and ids are numbered, not documents; these are fetched by (split, doc_id), which must be
+    unique."""
+    sized = docs.select("split", "doc_id", F.size("ids").alias("_len"))
+    numbered = row_numbers(sized, [F.col("_len"), F.col("doc_id")], ["split"], "_rn").drop("_len")
+    placed = numbered.withColumn("shard", F.floor((F.col("_rn") - 1) / records_per))
+    return docs.join(placed, ["split", "doc_id"]).select(*docs.columns, "_rn", "shard")
 
 
 def write_training_shards(docs: DataFrame, path: str, records_per: int = 500) -> None:

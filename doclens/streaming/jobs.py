@@ -2,49 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from doclens.functions import vectors
-from doclens.functions.arrays import let, literal_array, run_lengths
-from doclens.operators.clustering import assign_nearest
+from doclens.functions.text import joined, word_terms
+from doclens.operators.clustering import nearest_by_terms
 from doclens.operators.lengths import bucket_or_missing
-from doclens.operators.vocab import encode, symbol_counts, with_tokens
+from doclens.operators.vocab import symbol_counts, with_tokens
+from doclens.operators.weights import TfidfModel
 
 
-def count_vector(ids: Column, dims: int) -> Column:
-    """Share of each of the first ``dims`` vocabulary ids among a document's tokens."""
-    places = literal_array(list(range(dims)), "array<int>")
-
-    def shares(counts: Column, size: Column) -> Column:
-        return F.transform(
-            places, lambda i: F.coalesce(F.element_at(counts, i), F.lit(0)) / F.greatest(size, F.lit(1))
-        )
-
-    return let(
-        ids,
-        lambda held: let(
-            F.map_from_entries(run_lengths(held)), lambda counts: shares(counts, F.size(held))
-        ),
-    )
-
-
-def score_documents(
-    docs: DataFrame, vocab: DataFrame, centroids: list[list[float]], dims: int
-) -> DataFrame:
+def score_documents(docs: DataFrame, model: TfidfModel, centroids: list[list[float]]) -> DataFrame:
     """(doc_id, n_tokens, bucket_id, cluster) of raw documents, batch or stream.
 
-    Tokenising, encoding and assigning all work inside the row, so a stream keeps no state.
+    The cluster is that of the centroid nearest to the document's tf-idf vector over all fitted terms;
+    a document without any has the zero vector. Tokenising, weighting and assigning all work inside
+    the row, so a stream keeps no state.
     """
-    encoded = encode(with_tokens(docs), vocab, corpus_rule=False)
-    small = F.filter("ids", lambda i: i < dims)
-    scored = encoded.withColumn("vec", count_vector(small, dims))
-    return assign_nearest(scored, centroids, vectors.euclidean_distance).select(
+    if model.rows is None:
+        raise ValueError("a stream holds its terms in memory: fit fewer, see max_features")
+    tokenised = with_tokens(docs)
+    terms = [row["term"] for row in model.rows]
+    nearest = nearest_by_terms(docs.sparkSession, terms, [row["idf"] for row in model.rows], centroids)
+    return tokenised.select(
         "doc_id",
-        F.size("ids").alias("n_tokens"),
-        bucket_or_missing(F.size("ids")).alias("bucket_id"),
-        "cluster",
+        F.size("tokens").alias("n_tokens"),
+        bucket_or_missing(F.size("tokens")).alias("bucket_id"),
+        nearest(word_terms(joined(F.col("tokens")))).alias("cluster"),
     )
 
 
@@ -58,11 +43,11 @@ def read_document_stream(
 
 
 def stream_score(
-    stream: DataFrame, vocab: DataFrame, centroids: list[list[float]], dims: int, path: str, checkpoint: str
+    stream: DataFrame, model: TfidfModel, centroids: list[list[float]], path: str, checkpoint: str
 ) -> DataStreamWriter:
     """Scored documents appended to Parquet, each exactly once."""
     return (
-        score_documents(stream, vocab, centroids, dims)
+        score_documents(stream, model, centroids)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
@@ -70,12 +55,37 @@ def stream_score(
     )
 
 
+def _finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batch folders that were written to the end, in order."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    marks = files.globStatus(jvm.org.apache.hadoop.fs.Path(path, "batch=*/_SUCCESS"))
+    return sorted(int(mark.getPath().getParent().getName().partition("=")[2]) for mark in marks or [])
+
+
+def _drop_batch(spark: SparkSession, path: str, batch: int) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stream_symbol_counts(stream: DataFrame, path: str, checkpoint: str, level="word") -> DataStreamWriter:
-    """Running symbol counts. Every batch writes the symbols it changed to its own folder, so a
-    batch that is run again after a failure replaces itself. State is one row per symbol."""
+    """Running symbol counts. Every batch writes all counts so far to a folder of its own, from those of
+    the batch before it, so a batch that is run again after a failure replaces itself. The last two
+    folders stay. State is one row per symbol."""
 
     def store(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        spark = changed.sparkSession
+        done = [number for number in _finished_batches(spark, path) if number < batch]
+        counts = changed.select("symbol", "n")
+        if done:
+            before = spark.read.parquet(f"{path}/batch={done[-1]}")
+            counts = counts.unionByName(before).groupBy("symbol").agg(F.max("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        for number in done[:-1]:
+            _drop_batch(spark, path, number)
 
     return (
         symbol_counts(with_tokens(stream, level))
@@ -86,5 +96,8 @@ def stream_symbol_counts(stream: DataFrame, path: str, checkpoint: str, level="w
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, n) so far. Counts only grow, so the newest of a symbol is its largest."""
-    return spark.read.parquet(path).groupBy("symbol").agg(F.max("n").alias("n"))
+    """(symbol, n) so far: the folder of the newest finished batch."""
+    done = _finished_batches(spark, path)
+    if not done:
+        return spark.createDataFrame([], "symbol string, n bigint")
+    return spark.read.parquet(f"{path}/batch={done[-1]}")

@@ -14,7 +14,7 @@ _BASE = f"WITH {C.corpus_sql()}, {BUCKETED}"
 
 
 def bucketed(spark, sf):
-    return B.bucketed(C.encoded(spark, sf)[0])
+    return B.bucketed(C.encoded_short(spark, sf))
 
 
 def bucketed_lengths(spark, sf):

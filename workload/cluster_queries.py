@@ -1,5 +1,9 @@
 """Distance, clustering and evaluation queries."""
 
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclens.functions import vectors
@@ -126,23 +130,32 @@ def kmeans_lloyd_cosine(spark, sf):
     return model.assignments(points).select("vec_id", "cluster")
 
 
-@R.add("kmeans_lloyd_converged")
+def _settled(assigned, again):
+    """Rows in all, and those that one more assignment would move."""
+    return assigned.agg(
+        F.count("cluster").alias("points"), F.count_if(F.col(again) != F.col("cluster")).alias("moved")
+    )
+
+
+_SETTLED = "SELECT count(*) AS points, 0::BIGINT AS moved FROM embeddings"
+
+
+@R.add("kmeans_lloyd_converged", _SETTLED)
 def kmeans_lloyd_converged(spark, sf):
-    """Until no row moves: sizes of the clusters, none of them changed by one more assignment."""
+    """Until no row moves: every row is in a cluster, and one more assignment changes none."""
     points, model = fitted(spark, sf, 1000)
-    again = model.predict(model.assignments(points), out="again")
-    return again.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("again") != F.col("cluster")).alias("moved")
-    )
+    return _settled(model.predict(model.assignments(points), out="again"), "again")
 
 
-@R.add("kmeans_fit")
+@R.add("kmeans_fit", _SETTLED)
 def kmeans_fit(spark, sf):
+    """Library k-means: every row is in the cluster of its nearest centre."""
     from pyspark.ml.functions import array_to_vector
 
     points = C.embeddings(spark, sf).withColumn("features", array_to_vector("vec"))
     model = K.kmeans_fit(points, 10, seed=1)
-    return model.transform(points).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    centres = [list(map(float, centre)) for centre in model.clusterCenters()]
+    return _settled(K.assign_nearest(model.transform(points), centres, out="nearest"), "nearest")
 
 
 @R.add(
@@ -173,14 +186,16 @@ def cluster_members(spark, sf):
 
 
 def clustered(spark, sf):
-    """A clustering of the documents that both engines agree on: by length and language."""
-    docs = C.labelled(spark, sf, "n_chars")
-    return docs.withColumn("cluster", (F.col("n_chars") % 7).cast("int"))
+    """Documents that have a vector, each in the cluster of its nearest centroid; the centroids are the
+    first vectors, and test documents are predicted with them."""
+    points = C.embeddings(spark, sf)
+    assigned = K.assign_nearest(points, _seeds(points)).select(F.col("vec_id").alias("doc_id"), "cluster")
+    return C.labelled(spark, sf).join(assigned, "doc_id")
 
 
 _CLUSTERED = (
-    f"{C.LABELLED}, clustered AS (SELECT l.doc_id, l.split, l.topics, (d.n_chars % 7)::INTEGER AS cluster "
-    "FROM labelled l JOIN documents d USING (doc_id)), "
+    f"{_rounds_sql(1).removeprefix('WITH ')}, {C.LABELLED}, "
+    "clustered AS (SELECT l.doc_id, l.split, l.topics, a0.cluster FROM labelled l JOIN a0 ON l.doc_id = a0.vec_id), "
     "train AS (SELECT * FROM clustered WHERE split = 'train'), test AS (SELECT * FROM clustered WHERE split = 'test'), "
     "counts AS (SELECT cluster, label, count(*) AS n FROM (SELECT cluster, unnest(topics) AS label FROM train) GROUP BY cluster, label), "
     "top AS (SELECT * FROM (SELECT cluster, label, n, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS rank FROM counts) WHERE rank <= {limit}), "
@@ -368,9 +383,20 @@ def compare_all(spark, sf):
     return scores.select("pair", *[F.round(name, 6).alias(name) for name in ("ami", "nmi", "ari")])
 
 
-@R.add("compare_reports")
+@R.add(
+    "compare_reports",
+    "SELECT * FROM (VALUES ('dense~tfidf', true, true), ('dense~small_tfidf', true, true), "
+    "('tfidf~small_tfidf', true, true)) AS t(pair, same_scores, in_range)",
+)
 def compare_reports(spark, sf):
-    """The whole comparison: word vectors, tf-idf and small tf-idf, clustered and compared."""
+    """The whole comparison: word vectors, tf-idf and small tf-idf, clustered and compared. Each pair's
+    scores against those of its two assignments joined by document."""
     docs = C.labelled(spark, sf, "text")
-    _, scores = clustering_report.compare_all(docs, k=6, max_features=C.CAP)
-    return scores
+    reports, scores = clustering_report.compare_all(docs, k=6, max_features=C.CAP)
+    pairs = [pair.split("~") for pair in ("dense~tfidf", "dense~small_tfidf", "tfidf~small_tfidf")]
+    joint = [E.contingency(reports[a].train, reports[b].train, "doc_id", f"{a}~{b}") for a, b in pairs]
+    again = E.compare_clusterings(written(reduce(DataFrame.unionByName, joint), "cells"))
+    both = scores.join(again.select("pair", *[F.col(s).alias(f"_{s}") for s in ("ami", "nmi", "ari")]), "pair")
+    close = [F.abs(F.col(s) - F.col(f"_{s}")) < 1e-9 for s in ("ami", "nmi", "ari")]
+    ranged = [F.col(s).between(-1.0, 1.0 + 1e-9) for s in ("ami", "nmi", "ari")]
+    return both.select("pair", reduce(and_, close).alias("same_scores"), reduce(and_, ranged).alias("in_range"))

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.operators.vocab import build_vocab, encode, symbol_counts, with_tokens
+from doclens.schemas import BUCKETS
 from doclens.session import written
-from doclens.sources.corpus import read_documents, spread
+from doclens.sources.corpus import read_documents
 
 CAP = 2000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of the one-file test tables to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return read_documents(spark, f"{sf}/documents.parquet", list(columns) or None)
+    return spread(read_documents(spark, f"{sf}/documents.parquet", list(columns) or None))
 
 
 def split_of(key: str = "doc_id"):
@@ -58,6 +65,14 @@ def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return written(encode(tokens, vocab).select("doc_id", "ids"), "encoded"), vocab
 
 
+def encoded_short(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded documents that fit a bucket. An id array is as long as its tokens, so the others are
+    left out before they are encoded and written."""
+    tokens = tokenised(spark, sf)
+    short = tokens.filter(F.size("tokens") < BUCKETS[-1])
+    return written(encode(short, vocabulary(tokens)).select("doc_id", "ids"), "encoded")
+
+
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     table = spread(spark.read.parquet(f"{sf}/embeddings.parquet"))
     return table.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")

@@ -1,18 +1,21 @@
 """Records, vectors, run logs, dense vectors and streams."""
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from doclens.operators import batches as B
-from doclens.operators import clustering as K
 from doclens.operators import dense as D
 from doclens.operators import runlog as G
 from doclens.operators import vocab as V
+from doclens.operators.weights import fit_tfidf
+from doclens.plans import training_input
 from doclens.session import scratch_path
 from doclens.sources import corpus as S
 from doclens.sources import sgml, tables
 from doclens.streaming import jobs
 from workload import common as C
+from workload import weight_queries as W
 from workload.common import Registry
 from workload.text_queries import BUCKETED
 
@@ -78,6 +81,31 @@ def sgml_corpus_counts(spark, sf):
     return V.symbol_counts(V.with_tokens(docs))
 
 
+_CORPUS = f"{C.corpus_sql()}, placed AS (SELECT doc_id, {C.SPLIT} AS split, ids FROM ids)"
+
+
+@R.add("sgml_corpus", f"WITH {_CORPUS} SELECT doc_id, split, array_to_string(ids, ' ') AS ids FROM placed")
+def sgml_corpus(spark, sf):
+    """From marked-up records to the encoded corpus, both splits."""
+    corpus = S.corpus(sgml.read_sgml(spark, write_records(spark, sf), glob="*.txt"), most_common=C.CAP)
+    rows = corpus.train.unionByName(corpus.test)
+    return rows.select("doc_id", "split", F.array_join("ids", " ").alias("ids"))
+
+
+@R.add(
+    "training_input",
+    f"WITH {_CORPUS}, {BUCKETED.replace('FROM ids)', 'FROM placed WHERE split = ' + chr(39) + 'train' + chr(39) + ')')}, "
+    f"numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket_id ORDER BY {C.hex_sql(5, 'doc_id')}, doc_id) - 1 AS rn FROM bucketed) "
+    "SELECT doc_id, bucket_id, rn // 16 AS batch, (rn % 16)::INTEGER AS slot, "
+    "array_to_string(list_concat(list_resize([]::INTEGER[], size - n, 4), ids), ' ') AS encoder FROM numbered",
+)
+def training_input_query(spark, sf):
+    """From marked-up records to one epoch of padded training batches."""
+    corpus = S.corpus(sgml.read_sgml(spark, write_records(spark, sf), glob="*.txt"), most_common=C.CAP)
+    rows = training_input.epoch(corpus, 16, 5)
+    return rows.select("doc_id", "bucket_id", "batch", "slot", F.array_join("encoder", " ").alias("encoder"))
+
+
 @R.add(
     "vectors_round_trip",
     f"WITH {C.EMB} SELECT vec_id AS doc_id, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, "
@@ -141,6 +169,20 @@ def checkpoint_rollup(spark, sf):
     )
 
 
+@R.add(
+    "plateau_drops_after_gaps",
+    "WITH log AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS step, value / 100 AS loss FROM events), "
+    "ckpt AS (SELECT step // 200 AS checkpoint, avg(loss) AS loss FROM log WHERE step % 1000 <> 7 GROUP BY 1 HAVING count(*) = 200), "
+    "marked AS (SELECT checkpoint, loss, (row_number() OVER w > 3 AND loss > max(loss) OVER "
+    "(ORDER BY checkpoint ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))::INTEGER AS dropped FROM ckpt WINDOW w AS (ORDER BY checkpoint)) "
+    "SELECT checkpoint, coalesce(dropped, 0) AS dropped FROM marked",
+)
+def plateau_drops_after_gaps(spark, sf):
+    """A log that lost a step in every fifth checkpoint, which then is none."""
+    log = run_log(spark, sf).filter(F.col("step") % 1000 != 7)
+    return G.plateau_drops(G.checkpoint_rollup(log)).select("checkpoint", "dropped")
+
+
 @R.add(
     "plateau_drops",
     f"{_LOG}, marked AS (SELECT checkpoint, loss, (row_number() OVER w > 3 AND loss > max(loss) OVER "
@@ -166,14 +208,25 @@ def nan_abort(spark, sf):
 # --- dense vectors ---
 
 
-@R.add("embed_documents")
+@R.add("embed_documents", "SELECT doc_id, 32 AS dims, true AS is_mean FROM documents")
 def embed_documents(spark, sf):
+    """Document vectors against the mean of their words' vectors, joined word by word."""
     tokens = C.tokenised(spark, sf)
     vocab = C.vocabulary(tokens)
     capped = D.capped_tokens(tokens, vocab)
     model = D.fit_embedding(capped, 32, seed=1)
-    return D.embed_documents(capped, model).select(
-        "doc_id", F.size("vec").alias("dims"), F.exists("vec", F.isnan).alias("broken")
+    words = model.getVectors().select(F.col("word"), vector_to_array("vector").alias("_v"))
+    said = capped.select("doc_id", F.size("tokens").alias("_n"), F.explode("tokens").alias("word"))
+    sums = said.join(words, "word").select("doc_id", "_n", F.posexplode("_v").alias("_at", "_x"))
+    means = sums.groupBy("doc_id", "_at").agg((F.sum("_x") / F.first("_n")).alias("_mean"))
+    wanted = means.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_mean"))).alias("_wanted"))
+    found = D.embed_documents(capped, model).join(wanted, "doc_id", "left")
+    near = F.forall(
+        F.zip_with("vec", "_wanted", lambda x, w: F.abs(x - F.coalesce(w["_mean"], F.lit(0.0))) < 1e-6), lambda ok: ok
+    )
+    zero = F.forall("vec", lambda x: x == 0)
+    return found.select(
+        "doc_id", F.size("vec").alias("dims"), F.when(F.col("_wanted").isNull(), zero).otherwise(near).alias("is_mean")
     )
 
 
@@ -192,8 +245,7 @@ def score_model(spark, sf):
 
         return predict
 
-    encoded, _ = C.encoded(spark, sf)
-    padded = B.inference_rows(B.bucketed(encoded)).select("doc_id", "bucket_id", "encoder")
+    padded = B.inference_rows(B.bucketed(C.encoded_short(spark, sf))).select("doc_id", "bucket_id", "encoder")
     # Stored by bucket, so that each bucket's branch reads its own files.
     path = scratch_path(spark, "padded")
     padded.write.partitionBy("bucket_id").parquet(path)
@@ -209,8 +261,6 @@ def score_model(spark, sf):
 
 # --- streams ---
 
-DIMS = 32
-
 
 def _stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
@@ -230,31 +280,33 @@ def stream_symbol_counts(spark, sf):
 
 
 _STREAM = (
-    f"WITH {C.corpus_sql()}, shares AS (SELECT doc_id, ids, len(ids)::INTEGER AS n_tokens, list_transform(range({DIMS}), "
-    f"lambda i: len(list_filter(ids, lambda x: x = i))::DOUBLE / greatest(len(list_filter(ids, lambda x: x < {DIMS})), 1)) AS vec FROM ids), "
-    "c AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INTEGER AS cluster, vec AS center FROM shares ORDER BY doc_id LIMIT 8), "
-    "d AS (SELECT s.doc_id, c.cluster, round(list_distance(s.vec, c.center), 12) AS d FROM shares s, c), "
-    "best AS (SELECT doc_id, arg_min(cluster, (d, cluster)) AS cluster FROM d GROUP BY doc_id) "
+    f"{W.tfidf_sql(C.CAP)}, c AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INTEGER AS cluster FROM documents "
+    "ORDER BY doc_id LIMIT 8), cw AS (SELECT cluster, idx, w FROM c JOIN unit USING (doc_id)), "
+    "own AS (SELECT doc_id, sum(w * w) AS s FROM unit GROUP BY doc_id), center AS (SELECT cluster, sum(w * w) AS s FROM cw GROUP BY cluster), "
+    "dots AS (SELECT u.doc_id, cw.cluster, sum(u.w * cw.w) AS dot FROM unit u JOIN cw USING (idx) GROUP BY u.doc_id, cw.cluster), "
+    "d AS (SELECT t.doc_id, c.cluster, round(sqrt(greatest(0, coalesce(own.s, 0) + coalesce(center.s, 0) - 2 * coalesce(dot, 0))), 9) AS d "
+    "FROM tokens t CROSS JOIN c LEFT JOIN own ON own.doc_id = t.doc_id LEFT JOIN center ON center.cluster = c.cluster "
+    "LEFT JOIN dots ON dots.doc_id = t.doc_id AND dots.cluster = c.cluster), "
+    "best AS (SELECT doc_id, arg_min(cluster, (d, cluster)) AS cluster FROM d GROUP BY doc_id), "
+    "sized AS (SELECT doc_id, len(tokens)::INTEGER AS n_tokens FROM tokens) "
     "SELECT doc_id, n_tokens, (CASE WHEN n_tokens < 10 THEN 0 WHEN n_tokens < 25 THEN 1 WHEN n_tokens < 50 THEN 2 "
-    "WHEN n_tokens < 100 THEN 3 WHEN n_tokens < 200 THEN 4 ELSE -1 END)::INTEGER AS bucket_id, cluster FROM shares JOIN best USING (doc_id)"
+    "WHEN n_tokens < 100 THEN 3 WHEN n_tokens < 200 THEN 4 ELSE -1 END)::INTEGER AS bucket_id, cluster FROM sized JOIN best USING (doc_id)"
 )
 
 
 @R.add("stream_score", _STREAM)
 def stream_score(spark, sf):
-    """Documents as a stream, assigned to the first eight documents' count vectors."""
-    tokens = C.tokenised(spark, sf)
-    vocab = C.vocabulary(tokens)
-    small = F.filter("ids", lambda i: i < DIMS)
-    encoded = V.encode(tokens, vocab).withColumn("vec", jobs.count_vector(small, DIMS))
-    seeds = K.first_k(encoded, 8)
+    """Documents as a stream, assigned to the tf-idf vectors of the first eight documents."""
+    terms = W.terms(spark, sf)
+    train, _ = V.split_train_test(terms)
+    model = fit_tfidf(train, max_features=C.CAP)
+    first = C.documents(spark, sf, "doc_id").orderBy("doc_id").limit(8)
+    seeds = model.dense_rows(terms.join(F.broadcast(first), "doc_id", "left_semi"))
     path = scratch_path(spark, "stream-score")
     query = (
-        jobs.stream_score(_stream(spark, sf), vocab, seeds, DIMS, f"{path}/out", f"{path}/checkpoint")
+        jobs.stream_score(_stream(spark, sf), model, seeds, f"{path}/out", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "n_tokens", "bucket_id", "cluster")
-
-

@@ -106,7 +106,7 @@ BUCKETED = (
 def _bucketed(spark, sf):
     from doclens.operators.batches import bucketed
 
-    return bucketed(C.encoded(spark, sf)[0])
+    return bucketed(C.encoded_short(spark, sf))
 
 
 def _array_query(name, column, expression):

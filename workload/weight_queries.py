@@ -92,7 +92,7 @@ def top_weighted_terms(spark, sf):
     return W.top_icf_terms(docs, vocab)
 
 
-def _tfidf_sql(features: int, smooth: int = 1, stop: str = "") -> str:
+def tfidf_sql(features: int, smooth: int = 1, stop: str = "") -> str:
     return (
         f"WITH {C.TOKENS}, terms AS (SELECT doc_id, {C.SPLIT} AS split, unnest(regexp_extract_all(lower(array_to_string(tokens, ' ')), "
         r"'[\p{L}\p{N}_]{2,}')) AS term FROM tokens), "
@@ -117,7 +117,7 @@ def terms(spark, sf):
     )
 
 
-@R.add("tfidf_fit", f"{_tfidf_sql(2000)} SELECT term, idx, df, n, round(idf, 6) AS idf FROM fitted")
+@R.add("tfidf_fit", f"{tfidf_sql(2000)} SELECT term, idx, df, n, round(idf, 6) AS idf FROM fitted")
 def tfidf_fit(spark, sf):
     train, _ = V.split_train_test(terms(spark, sf))
     return W.fit_tfidf(train, max_features=2000).terms.withColumn("idf", F.round("idf", 6))
@@ -125,7 +125,7 @@ def tfidf_fit(spark, sf):
 
 @R.add(
     "tfidf_fit_uncapped",
-    f"{_tfidf_sql(10**9)} SELECT term, idx, df, n, round(idf, 6) AS idf FROM fitted",
+    f"{tfidf_sql(10**9)} SELECT term, idx, df, n, round(idf, 6) AS idf FROM fitted",
 )
 def tfidf_fit_uncapped(spark, sf):
     train, _ = V.split_train_test(terms(spark, sf))
@@ -134,7 +134,7 @@ def tfidf_fit_uncapped(spark, sf):
 
 @R.add(
     "tfidf_transform",
-    f"{_tfidf_sql(2000)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit WHERE split = 'test'",
+    f"{tfidf_sql(2000)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit WHERE split = 'test'",
 )
 def tfidf_transform(spark, sf):
     train, test = V.split_train_test(terms(spark, sf))
@@ -144,7 +144,7 @@ def tfidf_transform(spark, sf):
 
 @R.add(
     "tfidf_smooth",
-    f"{_tfidf_sql(2000, 0)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit WHERE split = 'train'",
+    f"{tfidf_sql(2000, 0)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit WHERE split = 'train'",
 )
 def tfidf_smooth(spark, sf):
     train, _ = V.split_train_test(terms(spark, sf))
@@ -157,7 +157,7 @@ _STOP = "AND term NOT IN (SELECT DISTINCT lower(b) FROM (SELECT unnest(regexp_ex
 
 @R.add(
     "tfidf_small_stop",
-    f"{_tfidf_sql(200, 1, _STOP)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit",
+    f"{tfidf_sql(200, 1, _STOP)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit",
 )
 def tfidf_small_stop(spark, sf):
     """A tenth of the features, without the words of the benchmark texts."""
@@ -172,7 +172,7 @@ def tfidf_small_stop(spark, sf):
 
 @R.add(
     "tfidf_sparse_vectors",
-    f"{_tfidf_sql(2000)} SELECT doc_id, count(idx) AS entries, round(coalesce(sum(w), 0), 6) AS total "
+    f"{tfidf_sql(2000)} SELECT doc_id, count(idx) AS entries, round(coalesce(sum(w), 0), 6) AS total "
     "FROM (SELECT doc_id FROM documents) LEFT JOIN unit USING (doc_id) GROUP BY doc_id",
 )
 def tfidf_sparse_vectors(spark, sf):
@@ -199,3 +199,31 @@ def tfidf_cluster_report(spark, sf):
     return clustering_report.cluster_labels(rep)
 
 
+@R.add(
+    "tfidf_report_totals",
+    f"WITH {C.TOKENS}, short AS (SELECT doc_id, {C.SPLIT} AS split FROM tokens WHERE len(tokens) < 200) "
+    "SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM short) AS n_kept, "
+    "(SELECT count(*) FROM tokens WHERE len(tokens) >= 200) AS n_left_out, "
+    "(SELECT count(*) FROM short WHERE split = 'train') AS clustered, 0::BIGINT AS missing, 0::BIGINT AS too_large, true AS scored",
+)
+def tfidf_report_totals(spark, sf):
+    """What must hold of the flagship report whatever the clusters: their sizes make up the training
+    documents, each is listed, no label counts more than its cluster, and the scores are in range."""
+    docs = C.labelled(spark, sf, "text")
+    prepared = clustering_report.prepare(docs)
+    rep = clustering_report.report(clustering_report.tfidf_features(prepared, C.CAP), k=8)
+    listed = written(clustering_report.cluster_labels(rep), "listed")
+    sizes = listed.select("cluster", "size").distinct().agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c"))
+    found = rep.train.select("cluster").distinct().agg(F.count(F.lit(1))).scalar()
+    inside = [F.col("pseudo_purity").between(0, 1), F.col("hit_rate").between(0, 1), F.col("silhouette").between(-1, 1)]
+    return clustering_report.left_out(docs, prepared).select(
+        "n_docs",
+        F.col("n_kept").cast("long").alias("n_kept"),
+        F.col("n_left_out").cast("long").alias("n_left_out"),
+        sizes.select("s").scalar().alias("clustered"),
+        (found - sizes.select("c").scalar()).alias("missing"),
+        listed.agg(F.count_if(F.col("n") > F.col("size"))).scalar().alias("too_large"),
+        rep.scores.select(inside[0] & inside[1] & inside[2]).scalar().alias("scored"),
+    )
+
+
