@@ -27,9 +27,9 @@ def fit_embedding(
     """Word vectors trained on the token arrays.
 
     ``partitions`` models are trained side by side and averaged after each of the ``iterations``, so
-    both are part of the result and do not follow the cluster. Rows are dealt by ``key`` and sorted,
-    which makes the vectors independent of how the input was partitioned. More data per model asks for
-    more partitions, and those for more iterations. Symbols seen fewer than ``min_count`` times have
+    both are part of the result and do not follow the cluster. Rows are dealt by ``key`` and sorted.
+    Runs still differ where symbols have equal counts: the library numbers those as they arrive. More
+    data asks for more partitions, and those for more iterations. Symbols seen fewer than ``min_count`` times have
     no vector. Training keeps vocabulary x size numbers on the driver, so replace rare symbols
     first (see ``capped_tokens``).
     """

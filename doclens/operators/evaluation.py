@@ -108,6 +108,8 @@ def silhouettes(
         if not len(vecs):
             return pa.array([], pa.float64())
         valid = np.flatnonzero(np.asarray(vecs.is_valid()))
+        if not len(valid):
+            return pa.nulls(len(vecs), pa.float64())
         points = np.asarray(vecs.flatten(), dtype=np.float64).reshape(len(valid), -1)
         own = np.searchsorted(names, np.asarray(clusters.take(pa.array(valid))))
         sizes = np.bincount(codes, minlength=len(names))

@@ -162,7 +162,7 @@ def _encode_by_blocks(docs: DataFrame, table: DataFrame, tokens: str, out: str,
     for number, name in enumerate(names):
         rows = table.filter(part == number).collect()
         docs = docs.withColumn(name, _in_row(docs, rows, tokens, -1))
-    known = reduce(lambda a, b: F.zip_with(a, b, F.greatest), map(F.col, names))
+    known = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), map(F.col, names))
     ids = F.transform(known, lambda i: F.when(i < 0, F.lit(UNK)).otherwise(i))
     return docs.withColumn(out, ids).drop(*names)
 

@@ -41,20 +41,22 @@ def read_sgml(
     The closing tag is the line separator, so large files are split and each row is
     one record, parsed once. The text is the body, else the text that leads the
     text element, else empty. ``everything=False`` keeps only records marked as
-    having topics. A record that cannot be parsed fails the read, unless ``mode`` is ``PERMISSIVE``.
+    having topics. A record that cannot be parsed fails the read; in ``mode`` ``PERMISSIVE`` it is a row
+    without id, text or topics, so bad records can be counted.
     """
     end = f"</{RECORD_TAG}>"
     lines = spark.read.option("lineSep", end).option("pathGlobFilter", glob).text(path)
     records = lines.select(scrub(F.col("value")).alias("record")).filter(F.col("record") != "")
     schema = (
         "_NEWID string, _TOPICS string, _CGISPLIT string, "
-        "TOPICS struct<D: array<string>>, TEXT struct<BODY: string>"
+        "TOPICS struct<D: array<string>>, TEXT struct<BODY: string>, _bad string"
     )
     options = {
         "rowTag": RECORD_TAG,
         "ignoreSurroundingSpaces": "false",
         "nullValue": "\u0000",
         "mode": mode,
+        "columnNameOfCorruptRecord": "_bad",
     }
     parsed = records.select(
         "record",
@@ -62,14 +64,15 @@ def read_sgml(
     )
     if not everything:
         parsed = parsed.filter(F.col("r._TOPICS") == WITH_TOPICS)
-    # Evaluated only for the records without a body.
+    # Evaluated only for the records that were parsed and have no body.
+    bodiless = F.col("r.TEXT.BODY").isNull() & F.col("r._bad").isNull()
     leading = F.xpath_string(
         F.concat("record", F.lit(end)), F.lit(f"/{RECORD_TAG}/TEXT/node()[1][self::text()]")
     )
     return parsed.select(
         F.col("r._NEWID").cast("long").alias("doc_id"),
         F.coalesce(
-            F.when(F.col("r.TEXT.BODY").isNull(), leading).otherwise(F.col("r.TEXT.BODY")), F.lit("")
+            F.when(bodiless, leading).otherwise(F.col("r.TEXT.BODY")), F.lit("")
         ).alias("text"),
         F.coalesce(F.col("r.TOPICS.D"), F.array().cast("array<string>")).alias("topics"),
         derive_split(F.col("r._CGISPLIT")).alias("split"),

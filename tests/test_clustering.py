@@ -210,3 +210,60 @@ def test_log_factorial(spark):
     found = {r["n"]: r["x"] for r in rows.select("n", log_factorial(F.col("n")).alias("x")).collect()}
     for v in values:
         assert found[v] == pytest.approx(math.lgamma(v + 1), rel=1e-12, abs=1e-12)
+
+
+def test_many_clusters(spark):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(2000, 3))
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "doc_id long, vec array<double>")
+    model = K.kmeans_lloyd(rows, 300, 200)
+    assert model.converged
+    centers = points[:300].copy()
+    for _ in range(model.rounds):
+        now = ((points[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for c in np.unique(now):
+            centers[c] = points[now == c].mean(axis=0)
+    assert np.allclose(centers, model.centroids)
+
+
+def test_null_vectors_are_in_no_cluster(spark):
+    rows = spark.createDataFrame([(0, [0.0]), (1, None), (2, [9.0]), (3, None)], "doc_id long, vec array<double>")
+    for distance in ("euclidean", vectors.euclidean_distance):
+        found = {r["doc_id"]: r["cluster"] for r in K.assign_nearest(rows, [[0.0], [10.0]], distance).collect()}
+        assert found == {0: 0, 1: None, 2: 1, 3: None}
+    assert K.kmeans_lloyd(rows, 1).centroids == [[4.5]]
+    scored = E.silhouettes(rows.withColumn("cluster", (F.col("doc_id") / 2).cast("int"))).collect()
+    assert [r["silhouette"] is None for r in sorted(scored)] == [False, True, False, True]
+
+
+def test_too_large_a_table_of_centroids(spark, blobs):
+    with pytest.raises(ValueError, match="centroids"):
+        K.checked([[0.0] * 10] * 10, 99)
+    with pytest.raises(ValueError, match="sample"):
+        E.silhouettes(blobs.withColumn("cluster", F.lit(1)), limit=10)
+
+
+def test_first_k_reads_the_ids_first(spark, blobs):
+    assert K.first_k(blobs, 3) == [list(r["vec"]) for r in blobs.orderBy("doc_id").limit(3).collect()]
+
+
+def test_one_document(spark):
+    cells = spark.createDataFrame([("p", 0, 0, 1)], "pair string, a int, b int, n long")
+    row = E.compare_clusterings(cells).first()
+    assert (row["ami"], row["nmi"], row["ari"]) == (1.0, 1.0, 1.0)
+    assert E.adjusted_rand(cells).first()["ari"] == 1.0
+
+
+def test_clusters_keep_their_names(spark):
+    rows = spark.createDataFrame([("x", "y", 1), ("x", "z", 2)], "one string, two string, three int")
+    assert {(r["a"], r["b"]) for r in E.pair_contingency(rows, ["one", "two"]).collect()} == {("x", "y"), ("x", "z")}
+    assert E.pair_contingency(rows, ["one", "three"]).count() == 2
+
+
+def test_far_overlaps_add_nothing(spark):
+    cells = [("p", i % 7, i % 5, 900 + 37 * i) for i in range(35)] + [("q", 0, 0, 30_000), ("q", 0, 1, 5), ("q", 1, 1, 20_000)]
+    table = spark.createDataFrame(cells, "pair string, a int, b int, n long")
+    cut, whole = (
+        {r["pair"]: r["emi"] for r in E.expected_information(table, deviations=d).collect()} for d in (40.0, None)
+    )
+    assert cut == pytest.approx(whole, rel=1e-12)

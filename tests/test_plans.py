@@ -54,3 +54,23 @@ def test_training_input(spark):
     sentences = spark.sql("SELECT 'Cat, dog.' AS text")
     row = T.sentence_input(sentences, parts.vocab).first()
     assert (row["bucket_len"], row["decoder"]) == (10, [0] * 10)
+
+
+def test_report_lists_every_cluster(spark):
+    plain = themed(spark).withColumn("topics", F.when(F.array_contains("topics", "goods"), F.col("topics")).otherwise(F.array().cast("array<string>")))
+    rep = P.report(P.tfidf_features(P.prepare(plain), 100), k=2, seed=1)
+    listed = P.cluster_labels(rep).collect()
+    assert {r["cluster"] for r in listed} == {0, 1} and sum({r["cluster"]: r["size"] for r in listed}.values()) == 48
+    assert any(r["label"] is None for r in listed)
+    assert -1 <= rep.scores.first()["silhouette"] <= 1
+
+
+def test_left_out_by_length(spark):
+    docs = themed(spark)
+    row = P.left_out(docs, P.prepare(docs, 5)).first()
+    assert (row["n_docs"], row["n_kept"], row["n_left_out"]) == (60, 0, 60)
+
+
+def test_stop_words_by_default(spark):
+    words = {r["term"] for r in P.english_stop_words(spark).collect()}
+    assert {"the", "of", "i"} <= words

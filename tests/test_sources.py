@@ -1,8 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from doclens.functions.text import joined, word_terms
+from doclens.operators.weights import fit_tfidf
 from doclens.operators import dense as D
+from doclens.operators import runlog as G
 from doclens.operators import vocab as V
+from doclens.schemas import VECTORS
 from doclens.session import scratch_path, shared_dir
 from doclens.sources import corpus as S
 from doclens.sources import sgml, tables
@@ -155,22 +159,77 @@ def stream_folder(spark, docs, tmp_path):
     return path
 
 
+def _terms_and_seeds(docs):
+    terms = V.with_tokens(docs).withColumn("terms", word_terms(joined(F.col("tokens"))))
+    model = fit_tfidf(terms, min_df=1, max_df=1.0)
+    return model, model.dense_rows(terms.filter("doc_id in (1, 2, 5)"))
+
+
+def test_scores_use_every_term(spark, docs):
+    model, centers = _terms_and_seeds(docs)
+    assert len(centers[0]) == len(model.rows) > 15
+    found = {r["doc_id"]: r["cluster"] for r in jobs.score_documents(docs, model, centers).collect()}
+    assert (found[1], found[2], found[5]) == (0, 1, 2)
+    # rare words alone decide
+    odd = docs.limit(1).select(F.lit(99).cast("long").alias("doc_id"), F.lit("tonnes fell").alias("text"))
+    assert jobs.score_documents(odd, model, centers).first()["cluster"] == 1
+
+
 def test_stream_counts_equal_batch_counts(spark, docs, stream_folder, tmp_path):
     stream = jobs.read_document_stream(spark, stream_folder, docs.schema, files_per_batch=1)
     out = str(tmp_path / "out")
     jobs.stream_symbol_counts(stream, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = V.symbol_counts(V.with_tokens(docs))
     assert dict(map(tuple, jobs.latest_counts(spark, out).collect())) == dict(map(tuple, batch.collect()))
+    assert len(list((tmp_path / "out").iterdir())) == 2
 
 
-def test_stream_scores_equal_batch_scores(spark, docs, stream_folder, tmp_path):
+def test_latest_counts_of_nothing(spark, tmp_path):
+    assert jobs.latest_counts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_encodes_beyond_the_limit(spark, docs, stream_folder, tmp_path):
     vocab = V.build_vocab(V.symbol_counts(V.with_tokens(docs)), most_common=20)
-    centers = [[0.0] * 12, [0.0] * 5 + [1.0] + [0.0] * 6, [0.0] * 6 + [1.0] + [0.0] * 5]
+    stream = jobs.read_document_stream(spark, stream_folder, docs.schema)
+    out = str(tmp_path / "out")
+    encoded = V.encode(V.with_tokens(stream), vocab, max_symbols=6).select("doc_id", "ids")
+    writer = encoded.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    wanted = V.encode(V.with_tokens(docs), vocab).select("doc_id", "ids")
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_stream_scores_equal_batch_scores(spark, docs, stream_folder, tmp_path):
+    model, centers = _terms_and_seeds(docs)
     stream = jobs.read_document_stream(spark, stream_folder, docs.schema, files_per_batch=1)
     out = str(tmp_path / "out")
     for _ in range(2):  # a restart adds nothing
-        query = jobs.stream_score(stream, vocab, centers, 12, out, str(tmp_path / "cp"))
+        query = jobs.stream_score(stream, model, centers, out, str(tmp_path / "cp"))
         query.trigger(availableNow=True).start().awaitTermination()
     found = sorted(map(tuple, spark.read.parquet(out).collect()))
-    assert found == sorted(map(tuple, jobs.score_documents(docs, vocab, centers, 12).collect()))
+    assert found == sorted(map(tuple, jobs.score_documents(docs, model, centers).collect()))
     assert len(found) == 6
+
+
+def test_unreadable_records_are_rows(spark, tmp_path):
+    good = '<REUTERS TOPICS="YES" CGISPLIT="TRAINING-SET" NEWID="1"><TEXT>led</TEXT></REUTERS>'
+    (tmp_path / "a.sgm").write_text(good + "\n<REUTERS NEWID=\"2\"><TEXT><BODY>x</TEXT></REUTERS>\n")
+    rows = sgml.read_sgml(spark, str(tmp_path), mode="PERMISSIVE").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in rows) == [(0, ""), (1, "led")]
+    with pytest.raises(Exception):  # noqa: B017
+        sgml.read_sgml(spark, str(tmp_path)).collect()
+
+
+def test_vectors_are_built_again_after_a_failed_write(spark, tmp_path):
+    path = tmp_path / "vectors"
+    path.mkdir()
+    made = spark.createDataFrame([(1, "train", [1.0])], VECTORS)
+    assert tables.cached_vectors(spark, str(path), lambda: made).count() == 1
+    assert tables.cached_vectors(spark, str(path), lambda: made.limit(0)).count() == 1
+
+
+def test_drops_look_back_over_recorded_checkpoints(spark):
+    rows = [(0, 1.0), (1, 1.0), (2, 1.0), (4, 9.0), (7, 1.0)]
+    found = G.plateau_drops(spark.createDataFrame(rows, "checkpoint long, loss double")).orderBy("checkpoint").collect()
+    assert [r["dropped"] for r in found] == [0, 0, 0, 1, 0]
+    assert found[-1]["rate"] == pytest.approx(0.009)

@@ -100,3 +100,24 @@ def test_transpose(spark):
         arrays.transpose(F.col("rows"), F.lit(3)).alias("x")
     )
     assert row.first()["x"] == [[1, 4], [2, 5], [3, 6]]
+
+
+@pytest.mark.parametrize(
+    "text", ["Příliš žluťoučký kůň", "İstanbul ığdır ŞĞÜ", "Tiếng Việt Ệ Ữ", "Ελληνικά ΐ ΰ ᾳ ᾲ", "ﬁ ﬀ ŉ ǰ ẖ Straße", "ﬃx"]
+)
+def test_folding_of_other_alphabets(spark, text):
+    from doclens.functions.text import fold_case
+
+    found = spark.createDataFrame([(text,)], "t string").select(fold_case(F.col("t")).alias("f")).first()["f"]
+    assert found.replace("i̇", "i") == text.casefold().replace("i̇", "i")
+
+
+def test_rare_letters_are_an_exact_class():
+    import re
+
+    from doclens.functions import text as T
+
+    multiple = [c for c in T._fold_rules()[1] if c != "ß"]
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), T._class(multiple)))
+    assert all(pattern.match(c) for c in multiple)
+    assert not any(pattern.match(c) for c in "šžřěůğşıİệữάέήßab")

@@ -152,3 +152,27 @@ def test_skew_safe_lookup_is_a_left_join(spark):
     assert sorted(map(str, plain.select("id", "key", "twice").collect())) == sorted(
         map(str, safe.select("id", "key", "twice").collect())
     )
+
+
+ODD = [(1, None), (1, None), (1, ["a", "b"]), (1, ["a", "b"]), (2, []), (None, ["b", "zz"])]
+
+
+def test_encode_and_decode_alike_on_odd_rows(spark):
+    rows = spark.createDataFrame(ODD, "doc_id long, tokens array<string>")
+    vocab = V.build_vocab(V.symbol_counts(rows), most_common=None)
+    inside, beyond = (V.encode(rows, vocab, max_symbols=n) for n in (1000, 1))
+    assert inside.columns == beyond.columns
+    key = lambda r: repr(tuple(r))
+    assert sorted(inside.collect(), key=key) == sorted(beyond.collect(), key=key)
+    ids = inside.drop("tokens").unionByName(inside.select("doc_id", F.lit(None).cast("array<int>").alias("ids")).limit(1))
+    one, two = (V.decode(ids, vocab, max_symbols=n) for n in (1000, 1))
+    assert sorted(one.collect(), key=key) == sorted(two.collect(), key=key)
+    assert {r["text"] for r in one.filter("ids is null").collect()} == {""}
+
+
+def test_sentences_without_a_key_beyond_the_limit(spark, docs):
+    vocab = V.build_vocab(V.symbol_counts(V.with_tokens(docs)), most_common=None)
+    talk = spark.createDataFrame([(1, 0, "The cat"), (1, 0, "The cat"), (2, 1, "")], "conv_id long, turn long, text string")
+    one, two = (V.tokenise_sentences(talk, vocab, max_symbols=n) for n in (1000, 1))
+    key = lambda r: repr(tuple(r))
+    assert sorted(one.collect(), key=key) == sorted(two.collect(), key=key)

@@ -95,3 +95,31 @@ def test_encoding_then_weighting_needs_no_corpus_shuffle(spark, docs):
     vocab = V.build_vocab(V.symbol_counts(tokens), most_common=10)
     counted = W.term_counts(V.encode(tokens, vocab))
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transform_alike_beyond_the_limit(spark, rows):
+    model = fitted(rows)
+    twice = rows.unionByName(rows).drop("doc_id")
+    small = W.TfidfModel(model.terms, model.rows, in_row=1)
+
+    def found(m):
+        made = m.transform(twice, "tokens", "w").collect()
+        return sorted((tuple(r["tokens"] or ()), [(w["idx"], round(w["weight"], 12)) for w in r["w"]]) for r in made)
+
+    assert found(model) == found(small)
+
+
+def test_ml_vectors_without_terms(spark, rows):
+    found = fitted(rows, min_df=99).to_ml("tokens").transform(rows).collect()
+    assert all(r["features"].size == 1 and not r["features"].indices.size for r in found)
+
+
+def test_top_terms_in_the_row(spark, docs):
+    tokens = V.with_tokens(docs)
+    vocab = V.build_vocab(V.symbol_counts(tokens), most_common=8)
+    encoded = V.encode(tokens, vocab).select("doc_id", "ids")
+    names = vocab.select("id", "symbol")
+    wanted = W.top_terms(W.icf_tfidf(encoded).join(names, "id").drop("id"), "symbol", 3)
+    found = W.top_icf_terms(encoded, vocab, 3)
+    row = lambda r: (r["doc_id"], r["rn"], r["symbol"], r["weight"])
+    assert sorted(map(row, found.collect())) == sorted(map(row, wanted.collect()))
