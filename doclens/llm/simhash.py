@@ -66,10 +66,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(_bits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)).view("<u8")[0])
 
 
-def wide_fingerprints(text: str | None, width: int, size: int) -> tuple[bytes, bytes]:
-    """Two SimHashes of ``size`` bytes: of the distinct words, and of the distinct shingles."""
+def wide_fingerprints(text: str | None, width: int, size: int, verify: int) -> tuple[bytes, bytes]:
+    """Two SimHashes: of the distinct words in ``size`` bytes, of the distinct shingles in ``verify``."""
 
-    def simhash(parts: set[bytes]) -> bytes:
+    def simhash(parts: set[bytes], size: int) -> bytes:
         if not parts:
             return bytes(size)
         blocks = [
@@ -80,7 +80,7 @@ def wide_fingerprints(text: str | None, width: int, size: int) -> tuple[bytes, b
 
     words = tokens(text)
     shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words] if words else []
-    return simhash(set(words)), simhash(set(map(b" ".join, shingles)))
+    return simhash(set(words), size), simhash(set(map(b" ".join, shingles)), verify)
 
 
 def _near(index: np.ndarray, verify: np.ndarray, i, j, rule: Index) -> np.ndarray:
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     return found.join(roots, "fp").select(key, "fp", "component_id")
 
 
-def similar_index(count: int, size: int, similarity: float) -> Index:
+def similar_index(count: int, size: int, verify: int, similarity: float) -> Index:
     """For texts whose five-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     The cosine of the shingle sets is then 2s / (1 + s) for equal sizes, and a bit differs with
@@ -240,7 +240,7 @@ def similar_index(count: int, size: int, similarity: float) -> Index:
     words, of which an edit changes few: groups of width + 1 positions, all sets of ``width`` of them.
     """
     chance = acos(2 * similarity / (1 + similarity)) / pi
-    bits = 8 * size
+    bits = 8 * verify
     differing = round(bits * chance + 2 * (bits * chance * (1 - chance)) ** 0.5)
     width = 3 if count <= 1 << 24 else 4
     groups = tuple(tuple(range(p, p + width + 1)) for p in range(0, size - width, width + 1))
@@ -248,11 +248,18 @@ def similar_index(count: int, size: int, similarity: float) -> Index:
 
 
 def one_of_each(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, size: int = 32, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    width: int = 5,
+    similarity: float = 0.8,
+    size: int = 32,
+    verify: int = 64,
+    key: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """The row of the smallest key of each group of near-duplicates, all columns; of rows with equal
     keys one. Near: ``width``-word shingles of a similarity of ``similarity`` or more, as estimated
-    from SimHashes of ``size`` bytes.
+    from SimHashes: of the words in ``size`` bytes, which find, and of the shingles in ``verify`` bytes,
+    which decide.
 
     Rows with a null key are kept: nothing tells which of them stands for its group. Null and empty
     texts are one group. Empty in, empty out.
@@ -260,14 +267,14 @@ def one_of_each(
 
     @F.arrow_udf("struct<index: binary, verify: binary>")
     def simhash(texts: pa.Array) -> pa.Array:
-        made = [wide_fingerprints(t.as_py(), width, size) for t in texts]
+        made = [wide_fingerprints(t.as_py(), width, size, verify) for t in texts]
         parts = [pa.array([m[k] for m in made], pa.binary()) for k in range(2)]
         return pa.StructArray.from_arrays(parts, ["index", "verify"])
 
     keyed = docs.filter(F.col(key).isNotNull())
     marks = keyed.select(F.col(key), simhash(F.col(text)).alias("_fp")).groupBy("_fp").agg(F.min(key).alias("node"))
     nodes = written(marks.select("node", "_fp.index", "_fp.verify"), "fingerprints")
-    stars = components(near_links(nodes, similar_index(nodes.count(), size, similarity)))
+    stars = components(near_links(nodes, similar_index(nodes.count(), size, verify, similarity)))
     first = nodes.select(F.col("node").alias(key)).join(stars.select(F.col("u").alias(key)), key, "left_anti")
     kept = keyed.join(first, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))
