@@ -184,3 +184,20 @@ def _clean(index):
 def query(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text")
     return contained_items(docs, read(spark, sf, "benchmark", "item_id", "text"))
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    """Distinct shingles of a table's texts, as text."""
+    return rf"""SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {WIDTH - 2}),
+    lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS s
+  FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM {table})"""
+
+
+SQL = f"""
+WITH doc AS ({_shingle_sql('documents', 'doc_id')}),
+item AS ({_shingle_sql('benchmark', 'item_id')}),
+sized AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS shared FROM doc JOIN item USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared::INTEGER AS shared, n::INTEGER AS shingles, shared::DOUBLE / n AS containment
+FROM hits JOIN sized USING (item_id) WHERE shared >= 0.8 * n - 1e-9
+"""

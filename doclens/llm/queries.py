@@ -16,5 +16,6 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op2_site_lines": boilerplate.SQL,
+    "op4_containment_search": decontaminate.SQL,
     "op9_reply_trees": chat.SQL,
 }
