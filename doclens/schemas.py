@@ -2,20 +2,6 @@
 
 from pyspark.sql import types as T
 
-DOCUMENT = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("topics", T.ArrayType(T.StringType())),
-    T.StructField("split", T.StringType()),
-])
-
-TOKENISED = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("tokens", T.ArrayType(T.StringType())),
-    T.StructField("topics", T.ArrayType(T.StringType())),
-    T.StructField("split", T.StringType()),
-])
-
 VOCABULARY = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("id", T.IntegerType()),
