@@ -24,7 +24,7 @@ ships(__name__)
 
 GRAM = 20
 # Bytes hashed at a time; longer texts go in overlapping pieces. Places in a piece fit 24 bits.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Bytes compared by multikey quicksort before a group goes to a blind trie; groups of so few rows are
@@ -211,9 +211,18 @@ def _pack(place: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
     return (place << 16) | (most << 8) | least
 
 
+def _squeeze(data: bytes) -> bytes:
+    """Length and compressed bytes: places and windows repeat, and are shuffled."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def _expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True) if data else b""
+
+
 def _binary(rows: list[dict], names: list[str], key: str) -> pa.RecordBatch:
     columns = [pa.array([r[key] for r in rows], pa.int32())]
-    columns += [pa.array([r[name] for r in rows], pa.binary()) for name in names]
+    columns += [pa.array([_squeeze(r[name]) for r in rows], pa.binary()) for name in names]
     return pa.RecordBatch.from_arrays(columns, [key, *names])
 
 
@@ -256,7 +265,7 @@ def _joined(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for batch in batches:
         for k, kind in enumerate(kinds):
-            parts[k].extend(np.frombuffer(v.as_py(), kind) for v in batch.column(k + 1))
+            parts[k].extend(np.frombuffer(_expand(v.as_py()), kind) for v in batch.column(k + 1))
     return [np.concatenate([np.zeros(0, kind), *p]) for p, kind in zip(parts, kinds, strict=True)]
 
 
