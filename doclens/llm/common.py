@@ -18,7 +18,8 @@ def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
 
 
 def ships(module: str) -> None:
-    """Send a module's functions to Python workers by value: executors need no copy of it."""
+    """Send a module's functions, and what they hold, to Python workers by value: executors need no copy
+    of it. Spark broadcasts a function that is large, such as one that holds a fitted model."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 

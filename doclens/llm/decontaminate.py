@@ -107,14 +107,13 @@ def contained_items(
     document. Candidates come from the MinHash index, then all shingles of the item are looked up.
     Word numbers stand for words, so a shingle code is exact up to a collision of 64 bits.
 
-    Documents are not shuffled. The index of ``block`` items is broadcast, some tens of MB; a
+    Documents are not shuffled. The index of ``block`` items is sent out once, some tens of MB; a
     larger benchmark is cut into blocks by a hash of its key, one pass over the documents for each.
 
     Null and empty texts contain nothing and, like items of fewer than ``width`` words, are found
     nowhere: a shorter run of words stands in clean documents too. A null item key is kept.
     Repeated documents and items each give their rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     sides = items.select(F.col(item_key), F.col(text))
     blocks = max(1, ceil(sides.count() / block))
     placed = sides.withColumn("_block", F.pmod(F.xxhash64(F.col(item_key), F.col(text)), F.lit(blocks)))
@@ -124,13 +123,13 @@ def contained_items(
     found = None
     for number in range(blocks):
         rows = [(r[0], r[1]) for r in placed.filter(F.col("_block") == number).collect()]
-        index = spark.sparkContext.broadcast(Index(rows, threshold, width))
+        index = Index(rows, threshold, width)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names, at, hits = index.value.names, [], []
+                names, at, hits = index.names, [], []
                 for place, body in enumerate(batch.column(1)):
-                    for hit in index.value.search(body.as_py()):
+                    for hit in index.search(body.as_py()):
                         at.append(place)
                         hits.append(hit)
                 shared = [h[1] for h in hits]
@@ -160,23 +159,21 @@ def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
     Decided inside the row, so it takes one pass for each block and no shuffle.
     """
-    spark, text = docs.sparkSession, options.get("text", "text")
+    text = options.get("text", "text")
     threshold, width = options.get("threshold", 0.8), options.get("width", WIDTH)
     sides = items.select(F.col(options.get("item_key", "item_id")), F.col(text))
     blocks = max(1, ceil(sides.count() / options.get("block", BLOCK)))
     placed = sides.withColumn("_block", F.pmod(F.xxhash64(*sides.columns), F.lit(blocks)))
     for number in range(blocks):
         rows = [(r[0], r[1]) for r in placed.filter(F.col("_block") == number).collect()]
-        index = spark.sparkContext.broadcast(Index(rows, threshold, width))
-
-        docs = docs.filter(_clean(index)(F.col(text)))
+        docs = docs.filter(_clean(Index(rows, threshold, width))(F.col(text)))
     return docs
 
 
 def _clean(index):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([not index.value.search(body.as_py()) for body in texts], pa.bool_())
+        return pa.array([not index.search(body.as_py()) for body in texts], pa.bool_())
 
     return clean
 

@@ -271,11 +271,10 @@ def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "tex
     null key is kept, other columns are not read.
     """
     narrow = docs.select(F.col(key), F.col(text))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = pooled(shared.value, batch.column(1))
+            names, scores = pooled(net, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 [key, "lang_pred", "score"],
@@ -291,11 +290,10 @@ def accepted(docs: DataFrame, net: Network, least: float = 0.5, text: str = "tex
     Where the network has learnt no language, only texts without a letter go."""
     if not net.languages:
         return docs.filter(F.col(text).rlike(r"\p{L}"))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
-        names, scores = pooled(shared.value, texts)
+        names, scores = pooled(net, texts)
         return pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_())
 
     return docs.filter(known(F.col(text)))

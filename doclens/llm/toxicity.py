@@ -120,14 +120,12 @@ def labelled_sample(
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row, from its whole text alone, in one pass without a shuffle.
 
-    Only the non-zero weights are broadcast. Null and empty texts have no features and score the
+    Only the non-zero weights are sent out. Null and empty texts have no features and score the
     bias. Repeated rows score alike; a null key is kept; other columns are not read.
     """
     narrow = docs.select(F.col(key), F.col(text))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         table = model.dense()
         for batch in batches:
             sums = [float(table[features(body.as_py(), model.bits)].sum()) for body in batch.column(1)]
