@@ -9,9 +9,10 @@ from doclens.session import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network can tell. Texts without a letter go; a low score alone
-    rejects none, because repeated phrases and quoted passages lower it in sound documents too."""
-    return language.accepted(docs, language.fit(language.labelled_sample(docs)), least=0.0)
+    """Documents in a language that the byte network has learnt. Texts without a letter go, and those it
+    finds more like junk than like the labelled texts; repeated and quoted passages reject none."""
+    net, least = language.fit_with_rejects(language.labelled_sample(docs, sample=language.SAMPLE * 5 // 4))
+    return language.accepted(docs, net, least=least)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

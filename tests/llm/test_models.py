@@ -1,7 +1,9 @@
 """Language network, toxicity model and benchmark search."""
 
+import base64
 import random
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -87,6 +89,28 @@ def test_no_labelled_rows(spark):
     assert [r.doc_id for r in language.accepted(docs, empty).collect()] == [1]
 
 
+def test_junk_is_rejected_and_sound_texts_are_not(spark):
+    """Planted junk with letters goes; clean texts with repeated or quoted passages stay."""
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 500")
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(120).collect() if r["text"]]
+    junk = [base64.b64encode(rng.randbytes(rng.randint(60, 3000))).decode() for _ in range(20)]
+    junk += [rng.randbytes(rng.randint(60, 3000)).hex(" ") for _ in range(20)]
+    junk += ["".join(f'<td class="c{rng.randrange(9)}">{rng.randrange(999)}</td>' for _ in range(30)) for _ in range(20)]
+    junk += ["\n".join(f"x{i},{rng.random():.4f},{rng.random():.6f}" for i in range(40)) for _ in range(20)]
+    junk += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200)) for _ in range(20)]
+    junk += ["".join(rng.choice("оеаинтсрвлкмдпуяыьг ") for _ in range(300)) for _ in range(20)]
+    sound = [t[:300] + " " + (" ".join(t.split()[2:6]) + " ") * 60 for t in texts]
+    sound += [a[:400] + "\n" + b[:400] for a, b in zip(texts, reversed(texts), strict=True)]
+    planted = [(10_000 + i, t) for i, t in enumerate(junk)] + [(20_000 + i, t) for i, t in enumerate(sound)]
+    extra = spark.createDataFrame(planted, "doc_id long, text string")
+    rows = docs.unionByName(extra, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, rows, "").select("doc_id").collect()}
+    assert sum(10_000 <= k < 20_000 for k in kept) <= 0.02 * len(junk)
+    assert sum(k >= 20_000 for k in kept) >= 0.98 * len(sound)
+    assert sum(k < 10_000 for k in kept) >= 0.998 * docs.count()
+
+
 def test_held_out_languages(spark):
     found = language.query(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
