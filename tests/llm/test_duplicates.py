@@ -104,6 +104,40 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def _five_word_similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_with_added_and_cut_blocks(spark):
+    """Copies with a block appended, inserted or cut, just above and just below a similarity of 0.8."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20_000)]
+    rows, near, far = [], set(), set()
+    for i in range(600):
+        base, block = rng.choices(words, k=200), rng.choices(words, k=rng.choice([30, 40, 46, 60, 70]))
+        at = rng.randrange(20, 180)
+        copy = [base + block, base[:at] + block + base[at:], base[len(block) * 4 // 5 :]][i % 3]
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(copy))]
+        (near if _five_word_similarity(base, copy) >= 0.8 else far).add(1000 + i)
+    assert len(near) > 200 and len(far) > 200
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near - kept) >= 0.98 * len(near)
+    assert far <= kept and set(range(600)) <= kept
+
+
+def test_large_group_of_near_copies(spark):
+    """More near copies than a short index entry holds."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        at = rng.randrange(290)
+        rows.append((i, " ".join(base[:at] + [f"x{i}"] + base[at:])))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
 def test_versions_brute_force(spark):
     rng = random.Random(3)
     lines = [f"line {i} é𝄞" for i in range(40)]
