@@ -104,6 +104,20 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_similar_pairs_share_a_set_whatever_their_number():
+    """Drawn by the law of the bytes, at 0.8: some set is shared and the tally passes, for 998 of 1,000.
+
+    No part of the rule depends on the number of fingerprints."""
+    rule = simhash.similar_index(0.8)
+    size = 1 + max(p for group in rule.groups for p in group)
+    same = np.random.default_rng(14).random((20_000, size)) < 0.8
+    hit = np.zeros(len(same), bool)
+    for s in rule.sets():
+        hit |= same[:, list(s)].all(axis=1)
+    assert (hit & (same.sum(axis=1) >= rule.shared)).mean() > 0.998
+    assert rule.width >= 5  # 40 bits: unlike texts seldom meet, however many
+
+
 def _five_word_similarity(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
     return len(a & b) / len(a | b)
