@@ -21,9 +21,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, those of fewer than five words as a whole; items of one
+    or two words are not looked for, see ``op4_containment_search``, which lists them."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.without_items(docs, items)
+    return decontaminate.without_items(docs, items, short=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

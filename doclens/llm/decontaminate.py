@@ -10,23 +10,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclens.llm.common import read, ships
 
 ships(__name__)
 
-WORDS = re.compile(r"[^\W_]+")
+# Scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+_UNSPACED += "\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+WORDS = re.compile(rf"[^\W_{_UNSPACED}]+|(?=[^\W_])[{_UNSPACED}]")
+_CHARACTER = re.compile(f"[{_UNSPACED}]")
 WIDTH = 5
+# Words of the shortest item that is looked for as a whole; a character of an unspaced script is half a word.
+LEAST = 3
 # Items in one broadcast index; more items are searched in blocks, each one pass over the documents.
 BLOCK = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case."""
+    """Runs of letters and digits, in lower case; of scripts without spaces each character."""
     return WORDS.findall((text or "").lower())
 
 
+def searched(found: list[str], width: int, short: bool) -> int:
+    """Words in a shingle of an item with these words: ``width``, with ``short`` all words of a shorter
+    item; 0 for an item that is not looked for, as clean documents hold it too."""
+    if len(found) >= width:
+        return width
+    weight = sum(0.5 if _CHARACTER.match(word) else 1.0 for word in found)
+    return len(found) if short and weight >= LEAST else 0
+
+
 def shingle_codes(ids: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit code for each run of ``width`` word numbers."""
     n = max(0, len(ids) - width + 1)
@@ -47,15 +63,19 @@ class Index:
     largest item in it: large enough for each member, and no true item is missed.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, width: int):
-        self.width, self.threshold = width, threshold
+    def __init__(self, items: list[tuple[int, str]], threshold: float, width: int, short: bool = False):
+        self.threshold = threshold
+        self.widths: set[int] = set()
         self.vocabulary: dict[str, int] = {}
         self.items: dict[int, np.ndarray] = {}
         classes: dict[int, list[int]] = {}
         for place, (_, text) in enumerate(items):
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            codes = np.unique(shingle_codes(np.array(numbers, np.int64), width))
-            if len(codes):
+            said = words(text)
+            run = searched(said, width, short)
+            if run:
+                self.widths.add(run)
+                numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in said]
+                codes = np.unique(shingle_codes(np.array(numbers, np.int64), run))
                 self.items[place] = codes
                 classes.setdefault(len(codes).bit_length(), []).append(place)
         self.names = [key for key, _ in items]
@@ -74,9 +94,12 @@ class Index:
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words(text)], np.int64)
         known = ids > 0
-        # Only runs of benchmark words can make a shingle of an item.
-        together = np.convolve(known, np.ones(self.width, np.int8), "valid") if len(ids) >= self.width else []
-        codes = shingle_codes(ids, self.width)[np.asarray(together) == self.width]
+        made = [np.zeros(0, np.uint64)]
+        for width in self.widths:
+            # Only runs of benchmark words can make a shingle of an item.
+            together = np.convolve(known, np.ones(width, np.int8), "valid") if len(ids) >= width else []
+            made.append(shingle_codes(ids, width)[np.asarray(together) == width])
+        codes = np.concatenate(made)
         if not len(codes) or not len(self.keys):
             return []
         codes = np.unique(codes)
@@ -100,6 +123,7 @@ def contained_items(
     item_key: str = "item_id",
     text: str = "text",
     block: int = BLOCK,
+    short: bool = False,
 ) -> DataFrame:
     """(key, item_key, shared, shingles, containment) of each item that a document contains.
 
@@ -110,8 +134,10 @@ def contained_items(
     Documents are not shuffled. The index of ``block`` items is sent out once, some tens of MB; a
     larger benchmark is cut into blocks by a hash of its key, one pass over the documents for each.
 
-    Null and empty texts contain nothing and, like items of fewer than ``width`` words, are found
-    nowhere: a shorter run of words stands in clean documents too. A null item key is kept.
+    Null and empty texts contain nothing and are found nowhere. Items of fewer than ``width`` words are
+    not looked for, unless with ``short``: then all words of such an item are its one shingle, and items
+    that are still not looked for (under ``LEAST`` words, which stand in clean documents too) give a row
+    each with null key and null containment. A null item key is kept.
     Repeated documents and items each give their rows. Other columns are not read.
     """
     sides = items.select(F.col(item_key), F.col(text))
@@ -123,7 +149,7 @@ def contained_items(
     found = None
     for number in range(blocks):
         rows = [(r[0], r[1]) for r in placed.filter(F.col("_block") == number).collect()]
-        index = Index(rows, threshold, width)
+        index = Index(rows, threshold, width, short)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -147,7 +173,25 @@ def contained_items(
 
         part = narrow.mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
-    return found
+    return found.unionByName(_unmatched(sides, width, schema)) if short else found
+
+
+def _unmatched(items: DataFrame, width: int, schema: str) -> DataFrame:
+    """The (item key, text) rows that ``short`` does not look for, as rows of that schema."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [not searched(words(text.as_py()), width, True) for text in batch.column(1)]
+            names = batch.column(0).filter(pa.array(left, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([names], [item_key])
+
+    item_key = items.columns[0]
+    kind = items.schema[0].dataType.simpleString()
+    names = items.mapInArrow(rows, f"`{item_key}` {kind}")
+    zero, nothing = F.lit(0), F.lit(None)
+    made = {"shared": zero, "shingles": zero, "containment": nothing, item_key: F.col(item_key)}
+    fields = T._parse_datatype_string(schema).fields
+    return names.select([made.get(f.name, nothing).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def names_type(names: list) -> pa.DataType:
@@ -166,7 +210,7 @@ def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     placed = sides.withColumn("_block", F.pmod(F.xxhash64(*sides.columns), F.lit(blocks)))
     for number in range(blocks):
         rows = [(r[0], r[1]) for r in placed.filter(F.col("_block") == number).collect()]
-        docs = docs.filter(_clean(Index(rows, threshold, width))(F.col(text)))
+        docs = docs.filter(_clean(Index(rows, threshold, width, options.get("short", False)))(F.col(text)))
     return docs
 
 
@@ -180,7 +224,7 @@ def _clean(index):
 
 def query(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text")
-    return contained_items(docs, read(spark, sf, "benchmark", "item_id", "text"))
+    return contained_items(docs, read(spark, sf, "benchmark", "item_id", "text"), short=True)
 
 
 def _shingle_sql(table: str, key: str) -> str:

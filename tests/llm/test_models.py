@@ -191,3 +191,20 @@ def test_containment_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, _ in docs if (k if k is not None else -1) not in hit)
     assert decontaminate.contained_items(d, b.limit(0)).count() == 0
     assert decontaminate.contained_items(d.limit(0), b).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    """Whole items of three and four words, and items of characters; shorter ones are listed as unmatched."""
+    items = [(1, "Name the capital"), (2, "who wrote Don Quixote"), (3, "Paris"), (4, "two words"), (5, None)]
+    items += [(6, "日本の首都はどこですか"), (7, "中国"), (8, "เมืองหลวงของไทยคือ"), (9, "one two three four five six")]
+    docs = [(1, "Please name the capital!"), (2, "He asked WHO wrote Don Quixote then"), (3, "Paris is two words")]
+    docs += [(4, "name the big capital"), (5, "問題、日本の首都はどこですか。東京です"), (6, "中国は日本の隣"), (7, "ก เมืองหลวงของไทยคือ กรุงเทพ")]
+    docs += [(8, "say one two three four five six now"), (9, "日本の首都"), (10, None), (11, "wrote Don Quixote")]
+    d, b = (spark.createDataFrame(rows, f"{key} long, text string") for rows, key in ((docs, "doc_id"), (items, "item_id")))
+    for block in (1000, 2):
+        found = decontaminate.contained_items(d, b, short=True, block=block).collect()
+        hits = {(r.doc_id, r.item_id) for r in found if r.containment is not None}
+        assert hits == {(1, 1), (2, 2), (5, 6), (7, 8), (8, 9)}
+        assert sorted(r.item_id for r in found if r.containment is None and r.doc_id is None) == [3, 4, 5, 7]
+        kept = {r.doc_id for r in decontaminate.without_items(d, b, short=True, block=block).collect()}
+        assert kept == {3, 4, 6, 9, 10, 11}
