@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
 from doclens.llm.common import read, ships
 from doclens.llm.components import components
@@ -21,8 +20,6 @@ ships(__name__)
 
 # Fingerprints of one index entry that meet in one task; longer entries are cut into such parts.
 PART = 2048
-# Candidates of one document that an entry of more than 16 fingerprints gives, and all such entries together.
-NEAREST = 8
 
 
 @dataclass(frozen=True)
@@ -30,14 +27,13 @@ class Index:
     """A positional-byte index: ``groups`` of positions, each keyed by all its sets of ``width`` bytes.
 
     Pairs that share fewer than ``shared`` positional bytes are dropped; of the rest those are linked
-    whose fingerprints differ in at most ``differing`` bits. Without ``differing`` the links are
-    candidates, which come with their tally and are still to be verified.
+    whose fingerprints differ in at most ``differing`` bits.
     """
 
     groups: tuple[tuple[int, ...], ...]
     width: int
     shared: int
-    differing: int | None
+    differing: int
 
     def sets(self) -> list[tuple[int, ...]]:
         return [s for group in self.groups for s in combinations(group, self.width)]
@@ -69,33 +65,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(_bits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)).view("<u8")[0])
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; fewer words make one shingle, no words none."""
-    words = tokens(text)
-    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words] if words else []
-    return np.unique(np.fromiter(map(xxh3_64_intdigest, map(b" ".join, shingles)), np.uint64))
-
-
-def minhash_bytes(hashes: np.ndarray, size: int) -> bytes:
-    """A byte for each of ``size`` orders of the hashes, of the smallest in that order: two sets of
-    similarity s have each positional byte in common with probability s + (1 - s) / 256."""
-    if not len(hashes):
-        return bytes(size)
-    odd = np.random.default_rng(42).integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
-    lowest = np.full(size, np.iinfo(np.uint64).max)
-    mixed = hashes ^ (hashes >> np.uint64(31))
-    with np.errstate(over="ignore"):
-        for start in range(0, len(mixed), 1 << 14):
-            part = odd[:, None] * mixed[None, start : start + (1 << 14)]
-            lowest = np.minimum(lowest, part.min(axis=1))
-    return (lowest >> np.uint64(24)).astype(np.uint8).tobytes()
-
-
 def _near(index: np.ndarray, verify: np.ndarray, i, j, rule: Index) -> np.ndarray:
     """Tally the positional bytes two fingerprints share; verify those with enough of them."""
     shared = (index[i] == index[j]).sum(axis=-1)
-    if rule.differing is None:
-        return shared >= rule.shared
     bits = np.bitwise_count(verify[i] ^ verify[j]).sum(axis=-1)
     return (shared >= rule.shared) & (bits <= rule.differing)
 
@@ -122,31 +94,11 @@ def links_in_entry(index: np.ndarray, verify: np.ndarray, rule: Index) -> tuple[
     return at, label[at]
 
 
-def nearest_in_entry(index: np.ndarray, nodes: np.ndarray, rule: Index) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint of one long entry, the ``NEAREST`` of smaller key that share most bytes.
-
-    Equal tallies go by a hash of both keys, so that links spread and are the same in each entry."""
-    n = len(index)
-    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    mixed = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for start in range(0, n, 64):
-        rows = np.arange(start, min(n, start + 64))
-        shared = (index[rows][:, None, :] == index[None, :, :]).sum(axis=-1)
-        fit = (shared >= rule.shared) & (nodes[None, :] < nodes[rows][:, None])
-        noise = ((mixed[rows][:, None] ^ (mixed[None, :] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-        rank = np.where(fit, shared.astype(np.int64) << 24 | noise.astype(np.int64), -1)
-        best = np.argpartition(-rank, min(NEAREST, n) - 1, axis=1)[:, :NEAREST]
-        good = np.take_along_axis(rank, best, axis=1) >= 0
-        left.append(np.repeat(rows, good.sum(axis=1)))
-        right.append(best[good])
-    return np.concatenate(left), np.concatenate(right)
-
-
 def links(
-    entries: np.ndarray, nodes: np.ndarray, index: np.ndarray, verify: np.ndarray, rule: Index, short: int = 16
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of links among rows with equal entry number, and whether from an entry of more than
-    ``short``; rows sorted by entry."""
+    entries: np.ndarray, index: np.ndarray, verify: np.ndarray, rule: Index, short: int = 16
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links among rows with equal entry number; rows sorted by entry. Entries of more
+    than ``short`` rows give stars."""
     n = len(entries)
     starts = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]]) if n else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, n])
@@ -158,17 +110,12 @@ def links(
         good = here[_near(index, verify, here, here + step, rule)]
         left.append(good)
         right.append(good + step)
-    few = sum(map(len, left))
     for start, size in zip(starts[sizes > short], sizes[sizes > short]):
         whole = slice(start, start + size)
-        if rule.differing is None:
-            a, b = nearest_in_entry(index[whole], nodes[whole], rule)
-        else:
-            a, b = links_in_entry(index[whole], verify[whole], rule)
+        a, b = links_in_entry(index[whole], verify[whole], rule)
         left.append(a + start)
         right.append(b + start)
-    i, j = np.concatenate(left), np.concatenate(right)
-    return i, j, np.arange(len(i)) >= few
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -180,20 +127,14 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 
 def _linker(rule: Index):
-    """Links of the entries of one partition, rows (entry, node, index, verify) sorted by entry; the
-    last is missing, and links have their tally and whether their entry was long, for candidates."""
+    """Links of the entries of one partition, rows (entry, node, index, verify) sorted by entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-            i, j, long = links(rows[0], rows[1], rows[2], rows[-1], rule)
-            u, v = rows[1][i], rows[1][j]
-            if rule.differing is not None:
-                return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-            tally = (rows[2][i] == rows[2][j]).sum(axis=-1).astype(np.int32)
-            columns = [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(tally), pa.array(long)]
-            return pa.RecordBatch.from_arrays(columns, ["u", "v", "tally", "long"])
+            i, j = links(rows[0], *rows[2:], rule)
+            return pa.RecordBatch.from_arrays([pa.array(rows[1][i]), pa.array(rows[1][j])], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -219,11 +160,8 @@ def near_links(distinct: DataFrame, rule: Index, part: int = PART) -> DataFrame:
     of each pair are tallied, pairs below the minimum are dropped, the rest verified. Entries of more
     than ``part`` fingerprints are cut into parts by hash, and each pair of parts is work of its own,
     so no task holds more than about two parts at a time; they give stars, not pairs.
-
-    A rule without ``differing`` needs no ``verify`` and gives candidates (u, v, tally, long), u > v:
-    each pair once, ``long`` if only entries of more than 16 fingerprints hold it.
     """
-    marks = ["index"] if rule.differing is None else ["index", "verify"]
+    marks = ["index", "verify"]
     sets = [
         F.struct(F.lit(i).alias("set"), F.concat(*[F.substring("index", p + 1, 1) for p in s]).alias("value"))
         for i, s in enumerate(rule.sets())
@@ -238,9 +176,6 @@ def near_links(distinct: DataFrame, rule: Index, part: int = PART) -> DataFrame:
     entry = F.xxhash64("set", "value", F.least("_own", "_other"), F.greatest("_own", "_other"))
     rows = cells.select(entry.alias("entry"), "node", *marks)
     sorted_rows = rows.repartition("entry").sortWithinPartitions("entry")
-    if rule.differing is None:
-        found = sorted_rows.mapInArrow(_linker(rule), "u bigint, v bigint, tally int, long boolean")
-        return found.filter("u != v").groupBy("u", "v").agg(F.max("tally").alias("tally"), F.min("long").alias("long"))
     return sorted_rows.mapInArrow(_linker(rule), "u bigint, v bigint").distinct()
 
 
@@ -282,78 +217,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, key: str = "doc_id", text:
     return found.join(roots, "fp").select(key, "fp", "component_id")
 
 
-def similar_index(similarity: float, groups: int = 7, width: int = 5) -> Index:
-    """For sets whose Jaccard similarity is ``similarity`` or more, by their ``minhash_bytes``.
-
-    Groups of width + 1 positions, all sets of ``width`` of them. A pair of similarity s has a byte in
-    common with probability s at least, so a group holds a common set with s^6 + 6 s^5 (1 - s), at 0.8
-    with 0.655, and one of seven groups with 0.9994, whatever the number of fingerprints and whichever
-    words differ. Keys of 40 bits keep entries of unlike texts near one row up to 2^40 fingerprints.
-    The minimum tally over all positions is the largest that a pair at ``similarity`` misses less than once in 1,000.
-    """
-    size = groups * (width + 1)
-    below, shared = 0.0, 0
-    while (below := below + comb(size, shared) * similarity**shared * (1 - similarity) ** (size - shared)) < 1e-3:
-        shared += 1
-    positions = tuple(tuple(range(p, p + width + 1)) for p in range(0, size, width + 1))
-    return Index(positions, width, max(width, shared), None)
-
-
-def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidates (u, v) whose shingle sets (``node``, ``hashes``) have that Jaccard similarity.
-
-    Of candidates that only long entries hold, the ``NEAREST`` of largest tally of each u are looked at:
-    u goes as soon as one text of smaller key is near, and the most alike are the first to be so."""
-    order = Window.partitionBy("u", "long").orderBy(F.desc("tally"), F.xxhash64("u", "v"), "v")
-    ranked = candidates.withColumn("_rank", F.row_number().over(order))
-    pairs = ranked.filter(~F.col("long") | (F.col("_rank") <= NEAREST)).select("u", "v")
-    first = sets.select(F.col("node").alias("u"), F.col("hashes").alias("_a"))
-    second = sets.select(F.col("node").alias("v"), F.col("hashes").alias("_b"))
-    both = pairs.join(first, "u").join(second, "v")
-    common = F.size(F.array_intersect("_a", "_b"))
-    both = both.withColumn("_common", common).withColumn("_all", F.size("_a") + F.size("_b") - F.col("_common"))
-    return both.filter(F.col("_common") >= F.col("_all") * similarity - 1e-9).select("u", "v").distinct()
-
-
-def one_of_each(
-    docs: DataFrame,
-    width: int = 5,
-    similarity: float = 0.8,
-    key: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """The row of the smallest key of each group of near-duplicates, all columns; of rows with equal
-    keys one. Near: ``width``-word shingles of a similarity of ``similarity`` or more. The positional
-    bytes of MinHash values find candidates, see ``similar_index``; the shingle sets themselves, joined
-    by key, decide, exact up to a collision of 64 bits. Where a key has several texts any may decide.
-
-    Rows with a null key are kept: nothing tells which of them stands for its group. Null and empty
-    texts are one group. Empty in, empty out.
-    """
-    rule = similar_index(similarity)
-    size = 1 + max(p for group in rule.groups for p in group)
-
-    @F.arrow_udf("struct<index: binary, whole: binary>")
-    def marked(texts: pa.Array) -> pa.Array:
-        made = [shingle_hashes(t.as_py(), width) for t in texts]
-        index = pa.array([minhash_bytes(hashes, size) for hashes in made], pa.binary())
-        whole = pa.array([xxh3_128_digest(hashes.tobytes()) for hashes in made], pa.binary())
-        return pa.StructArray.from_arrays([index, whole], ["index", "whole"])
-
-    @F.arrow_udf("array<bigint>")
-    def hashed(texts: pa.Array) -> pa.Array:
-        made = [shingle_hashes(t.as_py(), width).view(np.int64) for t in texts]
-        return pa.array(made, pa.list_(pa.int64()))
+def one_of_each(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of the smallest key of each group of ``near_duplicates``, all columns; of rows with equal
+    keys, which are taken for one document, one.
 
+    Rows with a null key are kept: nothing tells which of them stands for its group. Null texts and
+    texts without a word are one group. Empty in, empty out."""
     keyed = docs.filter(F.col(key).isNotNull())
-    marks = keyed.select(F.col(key), marked(F.col(text)).alias("_fp")).groupBy("_fp").agg(F.min(key).alias("node"))
-    nodes = written(marks.select("node", "_fp.index"), "fingerprints")
-    candidates = written(near_links(nodes, rule), "candidates")
-    wanted = candidates.select(F.explode(F.array("u", "v")).alias(key)).distinct()
-    members = keyed.join(wanted, key, "left_semi")
-    sets = written(members.select(F.col(key).alias("node"), hashed(F.col(text)).alias("hashes")), "sets")
-    stars = components(verified(candidates, sets, similarity))
-    first = nodes.select(F.col("node").alias(key)).join(stars.select(F.col("u").alias(key)), key, "left_anti")
+    groups = near_duplicates(keyed, width, key, text)
+    first = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
     kept = keyed.join(first, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))
 
