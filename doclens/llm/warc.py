@@ -144,24 +144,28 @@ def unpack(stream) -> Iterator[bytes]:
 
 
 def with_first(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """(row, key, url, payload, digest, first): of rows with equal payloads of ``least`` bytes or more,
+    """(row, key, url, digest, packed, first): of rows with equal payloads of ``least`` bytes or more,
     ``first`` is (key, row) of the one with the largest key, null in that row and where there is no other.
 
-    Rows are numbered and written, with their digests, so equal keys and repeated rows stay apart: of
-    those one is the first. Digests are looked up without their payloads; the commonest are broadcast."""
+    Rows are numbered and written, with their digests and compressed payloads, so equal keys and repeated
+    rows stay apart: of those one is the first. Digests are looked up without their payloads; the
+    commonest are broadcast."""
 
-    @F.arrow_udf("string")
-    def digest(payloads: pa.Array) -> pa.Array:
-        return pa.array([payload_digest(p.as_py()) for p in payloads], pa.string())
+    @F.arrow_udf("struct<digest: string, size: bigint, packed: binary>")
+    def read_once(payloads: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        bodies = [p.as_py() for p in payloads]
+        parts = [pa.array(map(payload_digest, bodies), pa.string()), pa.array(map(len, bodies), pa.int64())]
+        return pa.StructArray.from_arrays([*parts, pa.array(map(squeeze.compress, bodies), pa.binary())], ["digest", "size", "packed"])
 
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-    rows = with_row_number(rows.withColumn("digest", digest(F.col("payload"))), "row")
-    facts = rows.filter(F.length("payload") >= least).select("row", "key", "digest")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), read_once(body).alias("_read"))
+    rows = with_row_number(rows.select("key", "url", "_read.*"), "row")
+    facts = rows.filter(F.col("size") >= least).select("row", "key", "digest")
     largest = facts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("key", "row")).alias("first"))
     found = skew_safe_lookup(facts.select("row", "digest"), largest.filter("n > 1"), "digest", "n")
     later = found.filter(F.col("first.row") != F.col("row")).select("row", "first")
-    return rows.join(later, "row", "left")
+    return rows.drop("size").join(later, "row", "left")
 
 
 def write_archives(
@@ -199,11 +203,11 @@ def write_archives(
             values = [[name], [len(held)], [len(data)], [raw]]
             return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["archive", "records", "bytes", "raw_bytes"])
 
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            columns = [c if n == "payload" else c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            for row, name, address, body, digest, first in zip(*columns, strict=True):
+            for row, name, address, digest, packed, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 before = None if first is None else (first["key"], first["row"])
-                held.append(page_record(name, row, address, body.as_py(), digest, before, date))
+                held.append(page_record(name, row, address, expand.decompress(packed), digest, before, date))
                 raw += len(held[-1])
                 if raw >= size:
                     yield made()
@@ -213,7 +217,7 @@ def write_archives(
 
     rows = with_first(pages, key, url, payload, least)
     first = F.when(F.col("first").isNotNull(), F.struct(F.col("first.key").cast("string").alias("key"), F.col("first.row").alias("row")))
-    rows = rows.select("row", F.col("key").cast("string").alias("key"), "url", "payload", "digest", first.alias("first"))
+    rows = rows.select("row", F.col("key").cast("string").alias("key"), "url", "digest", "packed", first.alias("first"))
     made = rows.mapInArrow(run, "archive string, records bigint, bytes bigint, raw_bytes bigint")
     made.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
