@@ -13,8 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from doclens.llm.common import read, ships
 from doclens.session import written
@@ -22,8 +25,9 @@ from doclens.session import written
 ships(__name__)
 
 SCALE = 1_000_000_000
-# Entries a task counts before it hands them on, and source pairs it compares at a time.
-HELD, PAIRS = 200_000, 1 << 18
+# Entries a task counts before it hands them on, bytes of distinct texts it holds, source pairs it compares
+# at a time.
+HELD, TEXTS, PAIRS = 400_000, 16 << 20, 1 << 18
 # Bytes of a term are ASCII letters, in lower case, and all bytes of other characters; the rest are blanks.
 _TERM = bytes(
     b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -34,47 +38,150 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERM).split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted counts and document frequencies per language, source and term, added up in the task.
+def _lists(sizes: list[int] | np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
 
-    A text is tokenised once, whatever its number of sources."""
-    counts: dict[tuple, Counter] = defaultdict(Counter)
-    found: dict[tuple, Counter] = defaultdict(Counter)
+
+def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task with their number per source, each text once as long as it is held; compressed."""
+    held: dict[tuple, Counter] = {}
+    size, names = 0, ["lang", "digest", "body", "sources", "times"]
+    squeeze = zstandard.ZstdCompressor(level=1)
 
     def made() -> pa.RecordBatch:
-        groups = [(group, counter) for group, counter in counts.items() if counter]
-        sizes = [len(counter) for _, counter in groups]
-        lang = pa.array([group[0] for group, _ in groups], pa.string()).take(pa.array(np.repeat(np.arange(len(groups)), sizes)))
-        source = pa.array([group[1] for group, _ in groups], pa.string()).take(pa.array(np.repeat(np.arange(len(groups)), sizes)))
-        term = pa.array([t for _, counter in groups for t in counter], pa.binary()).cast(pa.string())
-        n = pa.array([n for _, counter in groups for n in counter.values()], pa.int64())
-        df = pa.array([found[group][t] for group, counter in groups for t in counter], pa.int64())
-        counts.clear()
-        found.clear()
-        return pa.RecordBatch.from_arrays([lang, source, term, n, df], ["lang", "source", "term", "n", "df"])
+        sizes = [len(c) for c in held.values()]
+        columns = [
+            pa.array([lang for lang, _ in held], pa.string()),
+            pa.array([xxh3_128_digest(text) for _, text in held], pa.binary()),
+            pa.array([squeeze.compress(text) for _, text in held], pa.binary()),
+            _lists(sizes, pa.array([s for c in held.values() for s in c], pa.string())),
+            _lists(sizes, pa.array([n for c in held.values() for n in c.values()], pa.int64())),
+        ]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    held = 0
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for lang, text, sources in zip(batch.column(0).to_pylist(), texts, batch.column(2), strict=True):
-            words = Counter(terms(text.as_py()))
-            for entry in sources.as_py():
-                group, times = (lang, entry["source"]), entry["times"]
-                before = len(counts[group])
-                if times == 1:
-                    counts[group].update(words)
-                    found[group].update(words.keys())
-                else:
-                    counts[group].update({t: n * times for t, n in words.items()})
-                    found[group].update(dict.fromkeys(words, times))
-                held += len(counts[group]) - before
-                if held >= HELD:
-                    yield made()
-                    held = 0
+        texts = batch.column(2).cast(pa.binary())
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns[:2]), texts, strict=True):
+            body = text.as_py()
+            if (lang, body) not in held:
+                held[lang, body] = Counter()
+                size += len(body) + 100
+            held[lang, body][source] += 1
+            if size >= TEXTS:
+                yield made()
+                size = 0
     if held:
         yield made()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, df, sources, ns): weighted counts of the terms of a task. Equal texts follow each other;
+    their numbers per source are added, then the text is tokenised, once."""
+    counts: dict[tuple, Counter] = defaultdict(Counter)
+    found: dict[str, Counter] = defaultdict(Counter)
+    expand = zstandard.ZstdDecompressor()
+    held = 0
+
+    def add(lang: str, body: bytes, sources: Counter) -> None:
+        nonlocal held
+        words = Counter(terms(expand.decompress(body)))
+        weight = sources.total()
+        found[lang].update(dict.fromkeys(words, weight))
+        for source, times in sources.items():
+            counter = counts[lang, source]
+            before = len(counter)
+            counter.update(words if times == 1 else {t: n * times for t, n in words.items()})
+            held += len(counter) - before
+
+    def made() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        for lang, documents in found.items():
+            groups = [(source, counter) for (of, source), counter in counts.items() if of == lang and counter]
+            if not groups:
+                continue
+            every = pa.array([t for _, counter in groups for t in counter], pa.binary()).dictionary_encode()
+            codes = every.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            source = np.repeat(np.arange(len(groups)), [len(counter) for _, counter in groups])[order]
+            n = np.fromiter((n for _, counter in groups for n in counter.values()), np.int64, len(codes))[order]
+            words = every.dictionary.to_pylist()
+            sizes = np.bincount(codes, minlength=len(words))
+            names = pa.array([s for s, _ in groups], pa.string()).take(pa.array(source))
+            columns = [
+                pa.array([lang], pa.string()).take(pa.array(np.zeros(len(words), np.int32))), every.dictionary.cast(pa.string()),
+                pa.array([documents[t] for t in words], pa.int64()), _lists(sizes, names), _lists(sizes, pa.array(n)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "df", "sources", "ns"])
+        counts.clear()
+        found.clear()
+        held = 0
+
+    now, sources = None, Counter()
+    for batch in batches:
+        for lang, body, names, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (lang, body) != now:
+                if now is not None:
+                    add(*now, sources)
+                    if held >= HELD:
+                        yield from made()
+                now, sources = (lang, body), Counter()
+            sources.update(dict(zip(names, times, strict=True)))
+    if now is not None:
+        add(*now, sources)
+    yield from made()
+
+
+def _merged(rows: pa.Table, run: np.ndarray) -> pa.Table:
+    """Rows of one term and language added up; ``run`` numbers them, in order, from 0."""
+    firsts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    lists, ns = rows["sources"].combine_chunks(), rows["ns"].combine_chunks()
+    every = lists.flatten().dictionary_encode()
+    names = max(1, len(every.dictionary))
+    sizes = pc.list_value_length(lists).to_numpy()
+    key = np.repeat(run, sizes) * names + every.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.add.reduceat(ns.flatten().to_numpy()[order], starts)
+    lengths = np.bincount(key[starts] // names, minlength=len(firsts))
+    sources = every.dictionary.take(pa.array(key[starts] % names))
+    df = np.add.reduceat(rows["df"].to_numpy(), firsts)
+    at = pa.array(firsts)
+    return pa.table([
+        rows["lang"].combine_chunks().take(at), rows["term"].combine_chunks().take(at), pa.array(df),
+        _lists(lengths, sources), _lists(lengths, pa.array(n)),
+    ], ["lang", "term", "df", "sources", "ns"])
+
+
+def _kept(least: int):
+    """The terms of at least so many documents, from rows in order of language and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if last is None else pa.concat_tables([last, rows])
+            lang, term = rows["lang"].combine_chunks(), rows["term"].combine_chunks()
+            differ = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+            number = np.cumsum(np.r_[0, differ.to_numpy(zero_copy_only=False)])
+            # The last term may go on in the next batch; it is one row until then.
+            cut = int(np.searchsorted(number, number[-1]))
+            last = _merged(rows.slice(cut), number[cut:] - number[-1])
+            if cut:
+                total = np.add.reduceat(rows["df"].to_numpy()[:cut], np.flatnonzero(np.diff(number[:cut], prepend=-1)))
+                chosen = np.flatnonzero((total >= least)[number[:cut]])
+                if len(chosen):
+                    runs = np.unique(number[chosen], return_inverse=True)[1]
+                    yield from _merged(rows.take(pa.array(chosen)), runs).to_batches()
+        if last is not None and last["df"][0].as_py() >= least:
+            yield from last.to_batches()
+
+    return run
+
+
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE (count + 2) / (total + 2 kept)), exact for any counts; null without kept terms."""
     up = F.lit(SCALE).cast("decimal(10,0)") * (count + 2).cast("decimal(19,0)")
@@ -140,12 +247,20 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(now, *added(np.concatenate(keys), np.concatenate(values)))
 
 
-def collapsed(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, text, sources): each distinct text of a language once, with its number per source. A text on
-    a third of all rows is one row per task before it is shuffled. Nulls are ''."""
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    times = rows.groupBy("lang", "text", "source").agg(F.count(F.lit(1)).alias("times"))
-    return times.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "times")).alias("sources"))
+def term_counts(docs: DataFrame, least: int = 10, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """(lang, term, df, sources, ns) of the terms in ``least`` documents of a language, with their number
+    per source in two lists.
+
+    Texts are shuffled once, by a hash of language and text, after equal ones of a task became one; a
+    text on a third of all rows is a few rows per task. Terms are shuffled once, by term, after those of
+    a task were added up; a term is added up in one task, from a row per task."""
+    names = ((lang, "lang"), (source, "source"), (text, "text"))
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in names])
+    schema = "lang string, digest binary, body binary, sources array<string>, times array<bigint>"
+    texts = rows.mapInArrow(_collapse, schema).repartition("lang", "digest").sortWithinPartitions("lang", "digest", "body")
+    counted = texts.drop("digest").mapInArrow(_count, "lang string, term string, df bigint, sources array<string>, ns array<bigint>")
+    by_term = counted.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return by_term.mapInArrow(_kept(least), counted.schema)
 
 
 def divergence(
@@ -159,20 +274,17 @@ def divergence(
     where there are none. Part ``term``: the ``top`` kept terms of the source whose share is above the
     language's, by gap. Rank 1 is the largest value, equal ones by item in UTF-8 order.
 
-    Counts are spread over terms, not over languages. The sources of a term, and their histogram of
-    shares, are lists in one row: they are as long as there are sources, or different counts. Pairs
-    are dealt over tasks by both sources. Null text, language and source are ''. Repeated rows count
+    Counts are spread over terms, not over languages, see ``term_counts``. The sources of a term, and the
+    histogram of a source's shares, are lists in one row: as long as there are sources, or different
+    counts. Pairs are dealt over tasks by their first source. Null text, language and source are ''. Repeated rows count
     each. Empty in, empty out; other columns are not read.
     """
     spark = docs.sparkSession
-    texts = collapsed(docs, lang, source, text)
-    blocks = written(texts.mapInArrow(_count, "lang string, source string, term string, n bigint, df bigint"), "terms")
-    counts = blocks.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    counts = written(counts, "counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("whole"))
-    kept = written(kept.filter(F.col("df") >= least).select("lang", "term", "whole"), "kept")
+    kept = term_counts(docs, least, lang, source, text).withColumn("t", F.monotonically_increasing_id())
+    whole = F.aggregate("ns", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    kept = written(kept.withColumn("whole", whole), "kept")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("whole").alias("all"))
-    inside = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "whole")
+    inside = kept.select("lang", "t", "term", "whole", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("ns").alias("n"))))
     totals = inside.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
     groups = docs.select(*names).distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
@@ -185,16 +297,15 @@ def divergence(
     groups = written(groups, "groups")
 
     shares = inside.join(groups, ["lang", "source"]).select(
-        "lang", "source", "id", "none", "term", "n", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
+        "lang", "source", "id", "none", "t", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
         share(F.col("whole"), F.col("all"), F.col("kept")).alias("q"),
     )
-    shares = written(shares, "shares")
     above = shares.filter(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     words = above.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top)
 
     lists = F.sort_array(F.collect_list(F.struct("id", "p", "none"))).alias("_at")
-    by_term = shares.groupBy("lang", "term").agg(lists).filter(F.size("_at") > 1)
+    by_term = shares.groupBy("lang", "t").agg(lists).filter(F.size("_at") > 1)
     by_term = by_term.select("lang", "_at.id", "_at.p", "_at.none").sortWithinPartitions("lang")
     both = by_term.mapInArrow(_common, "lang string, a bigint, b bigint, value bigint")
     both = both.groupBy("lang", "a", "b").agg(F.sum("value").alias("both"))

@@ -60,7 +60,12 @@ def test_pairs_at_a_time(spark, monkeypatch):
     rows = random_rows(120, 2)
     monkeypatch.setattr(divergence, "PAIRS", 4)
     monkeypatch.setattr(divergence, "HELD", 7)
-    assert found(spark, rows, least=2, top=3) == brute(rows, 2, 3)
+    monkeypatch.setattr(divergence, "TEXTS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert found(spark, rows, least=2, top=3) == brute(rows, 2, 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_one_text_from_many_sources_and_a_long_one(spark):
