@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -218,12 +219,12 @@ def kmeans_lloyd(
     """K-means from the first ``k`` rows by id, until no row changes cluster.
 
     Every row starts in cluster 0, so a first round that leaves all rows there ends
-    the run. A round is one job: each task assigns its rows and sums them in array arithmetic, the
-    sums of a cluster are added in the order of the tasks, and k rows reach the driver. Sums in a
-    fixed order repeat to the last bit, so a round that moves no row gives back its own centroids,
-    and nothing need be stored per row or computed twice. An empty cluster keeps its centroid. Null
-    vectors are in no cluster. Points that are not cached are for the length of the run, on disk
-    where memory ends.
+    the run. A round is one job: each task assigns its rows and sums them in array arithmetic, see
+    ``_round_sums``, and k rows reach the driver. Sums are exact, so they are the same bits for any
+    number of tasks, and a round that moves no row gives back its own centroids: nothing need be stored
+    per row or computed twice. An empty cluster keeps its centroid. Null vectors are in no cluster;
+    infinite numbers and NaN are an error. Points that are not cached are for the length of the run, on
+    disk where memory ends.
     """
     current = checked(initial or first_k(points, k, id_col, vec))
     rows = points.select(vectors.as_double(F.col(vec)).alias("_v")).filter(F.col("_v").isNotNull())
@@ -236,8 +237,68 @@ def kmeans_lloyd(
         rows.unpersist()
 
 
-def _round_sums(rows: DataFrame, centroids: list[list[float]], distance) -> list:
-    """(cluster, n, total) of the rows nearest to each centroid."""
+# A sum is a number in base 2^40: three limbs, of which the lowest two are below 2^40 and the top one has the
+# sign. Rows are cut into limbs of a common unit and added in whole numbers, so no order changes a bit.
+_LIMB = 40
+_ROWS = 1 << 20  # rows added before limbs are carried: 2^20 numbers of 2^40 fit a long
+_TASKS = 64  # tasks whose sums are added in one step
+
+
+def _limbs(points: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^40 units as whole units and parts of 2^-40; what is less is cut off, as it would
+    be whatever else is added."""
+    scaled = points / unit
+    whole = np.floor(scaled)
+    return whole.astype(np.int64), np.floor((scaled - whole) * float(1 << _LIMB)).astype(np.int64)
+
+
+def _carried(limbs: np.ndarray) -> np.ndarray:
+    """Limbs (lowest first along the first axis) brought into range."""
+    for low in (0, 1):
+        limbs[low + 1] += limbs[low] >> _LIMB
+        limbs[low] &= (1 << _LIMB) - 1
+    return limbs
+
+
+def _total(limbs: np.ndarray, unit: float) -> np.ndarray:
+    """The sums as doubles, by the same steps from the same whole numbers."""
+    high = limbs[2].astype(np.float64) * float(1 << _LIMB) + limbs[1].astype(np.float64)
+    return (high + limbs[0].astype(np.float64) / float(1 << _LIMB)) * unit
+
+
+def sum_unit(rows: DataFrame, vec: str = "_v") -> float:
+    """The unit of exact sums over all vectors: a power of two, 2^-39 of the largest number at least."""
+    top = rows.agg(F.max(F.array_max(F.transform(vec, F.abs))).alias("m")).first()["m"]
+    if top is not None and not math.isfinite(top):
+        raise ValueError("vectors hold infinite numbers or NaN")
+    return math.ldexp(1.0, math.frexp(top)[1] - _LIMB + 1) if top else 1.0
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums (cluster, n, limbs) in order of cluster, added: one centroid is held."""
+    now, n, total = None, 0, None
+
+    def made() -> pa.RecordBatch:
+        values = [pa.array([now]), pa.array([n]), pa.array([total.ravel().tolist()], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(values, ["cluster", "n", "limbs"])
+
+    for batch in batches:
+        for i, (cluster, count) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True)):
+            limbs = np.asarray(batch.column(2)[i].values).reshape(3, -1)
+            if cluster != now:
+                if now is not None:
+                    yield made()
+                now, n, total = cluster, 0, np.zeros_like(limbs)
+            n, total = n + count, _carried(total + limbs)
+    if now is not None:
+        yield made()
+
+
+def _round_sums(rows: DataFrame, centroids: list[list[float]], distance, unit: float) -> list:
+    """(cluster, n, limbs) of the rows nearest to each centroid.
+
+    Sums are whole numbers in three limbs. Those of many tasks are first added some at a time, the square
+    root of their number; a merge holds one sum of one cluster."""
     spark = rows.sparkSession
     named = isinstance(distance, str)
     if not named:
@@ -246,42 +307,51 @@ def _round_sums(rows: DataFrame, centroids: list[list[float]], distance) -> list
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = table.value
-        totals, sizes = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+        totals, sizes = np.zeros((len(centers), 3, centers.shape[1]), np.int64), np.zeros(len(centers), np.int64)
         for batch in batches:
             points, _ = _matrix(batch.column(0))
             if not len(points):
                 continue
             now = _nearest_rows(points, centers, distance) if named else np.asarray(batch.column(1))
-            np.add.at(totals, now, points)
+            for start in range(0, len(points), _ROWS):
+                part = slice(start, start + _ROWS)
+                whole, below = _limbs(points[part], unit)
+                np.add.at(totals[:, 1], now[part], whole)
+                np.add.at(totals[:, 0], now[part], below)
+                totals = np.stack([_carried(t) for t in totals])
             sizes += np.bincount(now, minlength=len(centers))
         seen = np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array(sizes[seen]), pa.array(list(totals[seen]), pa.list_(pa.float64()))],
-            ["cluster", "n", "total"],
+            [pa.array(seen), pa.array(sizes[seen]), pa.array([t.ravel() for t in totals[seen]], pa.list_(pa.int64()))],
+            ["cluster", "n", "limbs"],
         )
 
-    parts = rows.mapInArrow(partial, "cluster bigint, n bigint, total array<double>")
-    parts = parts.withColumn("_task", F.spark_partition_id())
-    ordered = parts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_task", "n", "total"))).alias("_parts"))
-    # one row per task and cluster, added up task by task
-    added = F.aggregate(
-        F.col("_parts.total"),
-        F.array_repeat(F.lit(0.0), len(centroids[0])),
-        lambda total, part: F.zip_with(total, part, lambda x, y: x + y),
-    )
-    n = F.aggregate(F.col("_parts.n"), F.lit(0).cast("bigint"), lambda total, part: total + part)
-    found = ordered.select("cluster", n.alias("n"), added.alias("total")).collect()
+    schema = "cluster bigint, n bigint, limbs array<bigint>"
+    parts = rows.mapInArrow(partial, schema)
+    tasks = rows.rdd.getNumPartitions()
+    if tasks > _TASKS:
+        parts = parts.withColumn("_branch", F.spark_partition_id() % math.isqrt(tasks))
+        ordered = parts.repartition("cluster", "_branch").sortWithinPartitions("cluster", "_branch")
+        parts = ordered.select("cluster", "n", "limbs").mapInArrow(_added, schema)
+    # number by number, then one centroid to a group; limbs are below 2^40, so millions of tasks add up in a long
+    numbers = parts.select("cluster", F.posexplode(F.concat("limbs", F.array("n"))).alias("pos", "x"))
+    sums = numbers.groupBy("cluster", "pos").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"].alias("_sums"))
+    size = F.size("_sums")
+    found = whole.select("cluster", F.get("_sums", size - 1).alias("n"), F.slice("_sums", 1, size - 1).alias("limbs")).collect()
     table.destroy()
     return found
 
 
 def _rounds(rows: DataFrame, current: list[list[float]], max_iters: int, distance) -> LloydModel:
     previous: list[list[float]] | None = None
+    unit = sum_unit(rows)
     for rounds in range(1, max_iters + 1):
         means = [list(center) for center in current]
-        found = _round_sums(rows, current, distance)
+        found = _round_sums(rows, current, distance, unit)
         for row in found:
-            means[row["cluster"]] = [x / row["n"] for x in row["total"]]
+            total = _total(np.array(row["limbs"]).reshape(3, -1), unit)
+            means[row["cluster"]] = (total / row["n"]).tolist()
         still = means == current or (rounds == 1 and all(row["cluster"] == 0 for row in found))
         previous, current = current, means
         if still:

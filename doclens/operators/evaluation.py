@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from doclens.functions import sampling, vectors
 from doclens.functions.maths import log_factorial
+from doclens.operators.clustering import MAX_CENTROID_VALUES
 from doclens.operators.lookup import bounded_rows, unnest
 
 # --- one clustering against labels: rows hold ``cluster`` and ``topics`` ---
@@ -88,10 +89,14 @@ def silhouettes(
     """Add ``silhouette`` to each row of a sample of at most ``limit`` rows; null for a null vector.
 
     The sample (rows x dimensions) goes to every executor once; each task
-    compares its own rows with it.
+    compares its own rows with it. It has at most ``MAX_CENTROID_VALUES`` numbers: wide sparse rows
+    have ``sparse.silhouettes``.
     """
     spark = sample.sparkSession
     known = sample.filter(F.col(vec).isNotNull() & F.col(cluster).isNotNull())
+    numbers = known.limit(limit + 1).agg(F.sum(F.size(vec))).first()[0] or 0
+    if numbers > MAX_CENTROID_VALUES:
+        raise ValueError(f"{numbers} numbers in the sample, at most {MAX_CENTROID_VALUES} are sent to every task: use sparse rows")
     rows = bounded_rows(known.select(vectors.as_double(F.col(vec)).alias("v"), F.col(cluster).alias("c")), limit)
     if rows is None:
         raise ValueError(f"a silhouette compares every two rows: draw a sample of at most {limit}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -47,20 +50,60 @@ def index_lookup(spark, symbols: list[str], ids: list[int], missing: int):
     return lookup.asNondeterministic()
 
 
-def skew_safe_lookup(
-    facts: DataFrame, table: DataFrame, key: str, weight: str, head: int = 100_000
-) -> DataFrame:
+def frequent_keys(facts: DataFrame, key: str, capacity: int = 10_000) -> DataFrame:
+    """(key, at_least): every key on more than 2 / ``capacity`` of the rows, and at most ``capacity`` keys.
+
+    A counter summary by Misra and Gries: each task keeps at most ``capacity`` counters and lowers all
+    when there are more, which takes at most 1 / ``capacity`` of its rows off any key; the summaries are
+    added. So ``at_least`` is never above the true count, and memory follows the capacity, not the keys.
+    Null keys are left out.
+    """
+    kind = facts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, rows = None, np.zeros(0, np.int64), 0
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            rows += len(column)
+            if keys is not None:
+                column, more = pa.concat_arrays([keys, column]), np.r_[counts, np.ones(len(column), np.int64)]
+            else:
+                more = np.ones(len(column), np.int64)
+            coded = column.dictionary_encode()
+            keys = coded.dictionary
+            counts = np.bincount(coded.indices.to_numpy(), more, minlength=len(keys)).astype(np.int64)
+            if len(keys) > capacity:
+                counts = counts - np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+                left = np.flatnonzero(counts > 0)
+                keys, counts = keys.take(pa.array(left)), counts[left]
+        if keys is not None:
+            yield pa.RecordBatch.from_arrays([keys, pa.array(counts)], ["_key", "_n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, keys.type), pa.array([rows])], ["_key", "_n"])
+
+    summaries = facts.select(key).mapInArrow(run, f"_key {kind}, _n bigint").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    added = written(summaries, "frequent")
+    total = added.filter(F.col("_key").isNull()).select("_n").scalar()
+    return added.filter(F.col("_key").isNotNull() & (F.col("_n") > total / capacity)).select(
+        F.col("_key").alias(key), F.col("_n").alias("at_least")
+    )
+
+
+def skew_safe_lookup(facts: DataFrame, table: DataFrame, key: str, capacity: int = 10_000) -> DataFrame:
     """Left join of skewed facts to a table with one row per ``key``, of any size.
 
-    The ``head`` keys of most ``weight`` are broadcast. What they do not match is
-    spread thinly over the rest, and is joined by shuffle.
+    The keys that are frequent among the facts, whether the table has them or not, are looked up in a
+    broadcast of at most ``capacity`` rows; their rows are not shuffled. Of the others none is on more than
+    2 / ``capacity`` of the rows, and those are joined by shuffle. Facts are read three times; null keys
+    match nothing and stay with the broadcast.
     """
-    hot = table.orderBy(F.col(weight).desc(), F.col(key)).limit(head).withColumn("_hot", F.lit(True))
-    cold = table.join(F.broadcast(hot.select(key)), key, "left_anti")
+    frequent = written(frequent_keys(facts, key, capacity).select(key), "hot")
+    hot = frequent.join(table, key, "left").withColumn("_hot", F.lit(True))
+    cold = table.join(F.broadcast(frequent), key, "left_anti")
     marked = facts.join(F.broadcast(hot), key, "left")
-    matched = marked.filter(F.col("_hot")).drop("_hot")
-    rest = marked.filter(F.col("_hot").isNull()).select(*facts.columns)
-    return matched.unionByName(rest.join(cold, key, "left"))
+    here = F.col("_hot").isNotNull() | F.col(key).isNull()
+    matched = marked.filter(here).drop("_hot")
+    rest = marked.filter(~here).select(*facts.columns)
+    return matched.select(*facts.columns, *[c for c in table.columns if c != key]).unionByName(rest.join(cold, key, "left"))
 
 
 def unnest(df: DataFrame, keep: list[str], values: Column, *names: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import arrays
 from doclens.functions.text import tokeniser
+from doclens.operators.blockfile import BLOCK, write_blocks
 from doclens.operators.lookup import (
     bounded_rows,
     index_lookup,
@@ -29,6 +30,18 @@ def with_tokens(
     return docs.withColumn(out, tokeniser(level)(F.col(text)))
 
 
+def short_documents(
+    docs: DataFrame, max_len: int, level="word", text: str = "text", out: str = "tokens"
+) -> DataFrame:
+    """``with_tokens`` for documents of fewer than ``max_len`` tokens; null texts go.
+
+    The tokens come out of a generator of one row, which the optimiser neither repeats nor filters below:
+    a plain filter on their number is pushed under the projection and tokenises every text twice."""
+    once = F.explode_outer(F.array(tokeniser(level)(F.col(text))))
+    kept = [c for c in docs.columns if c != out]
+    return docs.select(*kept, once.alias(out)).filter(F.size(out) < max_len)
+
+
 def symbol_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(symbol, n) over all documents. Partial sums absorb the very common symbols."""
     return (
@@ -141,7 +154,7 @@ def encode(
     table = _lookup_table(vocab, corpus_rule)
     rows = bounded_rows(table, max_symbols)
     if rows is None and docs.isStreaming:
-        return _encode_by_blocks(docs, table, tokens, out, max_symbols)
+        return _encode_by_blocks(docs, table, tokens, out)
     if rows is None:
         return encode_by_join(docs, vocab, tokens, out, corpus_rule)
     return docs.withColumn(out, _in_row(docs, rows, tokens, UNK))
@@ -153,18 +166,36 @@ def _in_row(docs: DataFrame, rows: list, tokens: str, missing: int) -> Column:
     return lookup(F.coalesce(F.col(tokens), F.array().cast("array<string>")))
 
 
-def _encode_by_blocks(docs: DataFrame, table: DataFrame, tokens: str, out: str, block: int) -> DataFrame:
-    """A stream cannot be joined and grouped by row, so each block of the vocabulary is looked up in
-    the row. Executors then hold the whole vocabulary, in pieces of ``block`` symbols."""
-    blocks = math.ceil(table.count() / block)
-    part = F.pmod(F.xxhash64("symbol"), F.lit(blocks))
-    names = [f"_block{number}" for number in range(blocks)]
-    for number, name in enumerate(names):
-        rows = table.filter(part == number).collect()
-        docs = docs.withColumn(name, _in_row(docs, rows, tokens, -1))
-    known = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), map(F.col, names))
-    ids = F.transform(known, lambda i: F.when(i < 0, F.lit(UNK)).otherwise(i))
-    return docs.withColumn(out, ids).drop(*names)
+def _encode_by_blocks(
+    docs: DataFrame, table: DataFrame, tokens: str, out: str, head: int = MAX_LITERAL_VALUES, block: int = BLOCK
+) -> DataFrame:
+    """A stream cannot be joined and grouped by row, so the vocabulary is looked up inside the row: its
+    ``head`` most frequent symbols in a broadcast, the others in a sorted file on shared storage, of which
+    a task holds some blocks. Executors hold as much at ten million symbols as at a hundred million."""
+    order = [F.col("n").desc()] if "n" in table.columns else []
+    common = table.orderBy(*order, "id").limit(head).collect()
+    known = docs.sparkSession.sparkContext.broadcast(
+        (pa.array([r["symbol"] for r in common], pa.string()), pa.array([r["id"] for r in common], pa.int32()))
+    )
+    file = write_blocks(table.select("symbol", "id"), "symbol", block)
+
+    @F.arrow_udf("array<int>")
+    def lookup(lists: pa.Array) -> pa.Array:
+        symbols, ids = known.value
+        flat = lists.flatten().dictionary_encode()
+        distinct = flat.dictionary
+        found = pc.take(ids, pc.index_in(distinct, value_set=symbols))
+        rare = np.flatnonzero(np.asarray(found.is_null()))
+        if len(rare):
+            rest = file.reader().values(distinct.take(pa.array(rare)), "id").cast(pa.int32())
+            at = np.full(len(distinct), -1)
+            at[rare] = np.arange(len(rare))
+            found = pc.coalesce(found, rest.take(pa.array(at, mask=at < 0)))
+        values = pc.fill_null(found, UNK).take(flat.indices)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values.cast(pa.int32()))
+
+    return docs.withColumn(out, lookup.asNondeterministic()(F.coalesce(F.col(tokens), F.array().cast("array<string>"))))
 
 
 def encode_by_join(
@@ -173,20 +204,18 @@ def encode_by_join(
     tokens: str = "tokens",
     out: str = "ids",
     corpus_rule: bool = True,
-    head: int = 100_000,
+    capacity: int = 10_000,
 ) -> DataFrame:
     """Same result as ``encode`` for a vocabulary too large to broadcast.
 
-    Rows are numbered and written once, so they need no key of their own. Common symbols are
-    broadcast and the long tail is joined by shuffle. Position and id travel as one long, eight
-    bytes a token.
+    Rows are numbered and written once, so they need no key of their own. Symbols that are frequent in
+    the documents, known or not, are looked up in a broadcast; the others are joined by shuffle. Position
+    and id travel as one long, eight bytes a token.
     """
     docs = with_row_number(docs, "_row")
-    table = _lookup_table(vocab, corpus_rule)
-    if "n" not in table.columns:
-        table = table.withColumn("n", -F.col("id"))
+    table = _lookup_table(vocab, corpus_rule).select("symbol", "id")
     flat = unnest(docs, ["_row"], F.col(tokens), "pos", "symbol")
-    found = skew_safe_lookup(flat, table, "symbol", "n", head)
+    found = skew_safe_lookup(flat, table, "symbol", capacity)
     packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("id", F.lit(UNK))
     ids = found.groupBy("_row").agg(F.sort_array(F.collect_list(packed)).alias(out))
     ids = ids.withColumn(
@@ -227,9 +256,8 @@ def decode(
 def decode_by_join(docs: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
     """Same result as ``decode`` for a vocabulary of any size."""
     docs = with_row_number(docs, "_row")
-    table = vocab.select("id", "symbol").withColumn("_weight", -F.col("id"))
     flat = unnest(docs, ["_row"], F.col(ids), "pos", "id")
-    found = skew_safe_lookup(flat, table, "id", "_weight")
+    found = skew_safe_lookup(flat, vocab.select("id", "symbol"), "id")
     text = found.groupBy("_row").agg(
         F.array_join(
             F.transform(

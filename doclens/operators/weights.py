@@ -62,7 +62,7 @@ def icf_tfidf(
     documents when absent; a term without counts weighs 0. ``dims`` is the vocabulary
     size, the number of counted terms when absent. ``max_terms`` states the proven
     size of the vocabulary: up to the broadcast limit the weights are broadcast,
-    otherwise only the common ones are.
+    otherwise only those of terms that are frequent among the rows are.
     """
     if counts is None:
         # Read more than once below; one vocabulary-sized table instead of several corpus passes.
@@ -70,11 +70,11 @@ def icf_tfidf(
     weights = icf_weights(counts, name)
     size = F.lit(float(dims)) if dims else counts.agg(F.count(F.lit(1)).cast("double")).scalar()
     freqs = term_counts(docs, values, name, key)
-    table = weights.select(name, F.col("n").alias("_corpus_n"), "icf")
+    table = weights.select(name, "icf")
     if max_terms is not None and max_terms <= MAX_BROADCAST_ROWS:
         joined = freqs.join(F.broadcast(table), name, "left")
     else:
-        joined = skew_safe_lookup(freqs, table, name, "_corpus_n")
+        joined = skew_safe_lookup(freqs, table, name)
     return joined.select(
         key, name, (F.col("n") / size * F.coalesce("icf", F.lit(0.0))).alias("weight")
     )
@@ -155,7 +155,7 @@ class TfidfModel:
     def _transform_by_join(self, docs: DataFrame, values: str, out: str) -> DataFrame:
         docs, key = with_row_number(docs, "_row"), "_row"
         counted = term_counts(docs, values, "term", key).withColumnRenamed("n", "_tf")
-        found = skew_safe_lookup(counted, self.terms, "term", "n").filter(F.col("idx").isNotNull())
+        found = skew_safe_lookup(counted, self.terms, "term").filter(F.col("idx").isNotNull())
         raw = found.groupBy(key).agg(
             F.array_sort(
                 F.collect_list(

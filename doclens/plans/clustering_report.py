@@ -6,16 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions.text import joined, word_terms
-from doclens.operators import evaluation
+from doclens.operators import evaluation, sparse
 from doclens.operators.clustering import choose_k, kmeans_fit
 from doclens.operators.dense import capped_tokens, embed_documents, fit_embedding
 from doclens.operators.lengths import filter_length
-from doclens.operators.vocab import build_vocab, split_train_test, symbol_counts, with_tokens
+from doclens.operators.sparse import SparseKMeans
+from doclens.operators.vocab import build_vocab, short_documents, split_train_test, symbol_counts, with_tokens
 from doclens.operators.weights import fit_tfidf
 from doclens.session import written
 
@@ -24,7 +25,7 @@ from doclens.session import written
 class Report:
     """Scores of one clustering. ``train`` and ``test`` hold doc_id, cluster, topics."""
 
-    model: KMeansModel
+    model: KMeansModel | SparseKMeans
     train: DataFrame
     test: DataFrame
     top_labels: DataFrame
@@ -35,9 +36,10 @@ def prepare(docs: DataFrame, max_len: int | None = 200) -> DataFrame:
     """(doc_id, split, topics, tokens, terms), short documents only, tokenised once and written.
 
     ``left_out`` tells how many documents were too long."""
-    tokens = docs if "tokens" in docs.columns else with_tokens(docs)
-    if max_len:
-        tokens = filter_length(tokens, max_len)
+    if "tokens" not in docs.columns:
+        tokens = short_documents(docs, max_len) if max_len else with_tokens(docs)
+    else:
+        tokens = filter_length(docs, max_len) if max_len else docs
     kept = tokens.select("doc_id", "split", "topics", "tokens")
     return written(kept.withColumn("terms", word_terms(joined(F.col("tokens")))), "prepared")
 
@@ -84,9 +86,24 @@ def report(featured: DataFrame, k: int = 0, seed: int = 0) -> Report:
     model = kmeans_fit(train, choose_k(train, k), seed=seed)
     fitted = model.transform(train).select("doc_id", "cluster", "topics", "features")
     guessed = model.transform(test).select("doc_id", "cluster", "topics")
+    sample = evaluation.silhouette_sample(fitted, seed=seed).withColumn("weights", _entries("features"))
+    return _scored(model, fitted, guessed, sparse.silhouettes(sample))
+
+
+def sparse_report(weighted: DataFrame, k: int = 0, seed: int = 0, max_iters: int = 100) -> Report:
+    """``report`` for sparse rows (doc_id, split, topics, weights) of any number of terms, as
+    ``TfidfModel.transform`` gives them: k-means with sparse centroids, nothing cut to fit."""
+    rows = written(weighted.select("doc_id", "split", "topics", "weights"), "features")
+    train, test = split_train_test(rows)
+    model = sparse.sparse_kmeans(train, choose_k(train, k), max_iters, seed)
+    fitted = written(model.predict(train), "fitted")
+    guessed = model.predict(test).select("doc_id", "cluster", "topics")
+    return _scored(model, fitted, guessed, sparse.silhouettes(evaluation.silhouette_sample(fitted, seed=seed)))
+
+
+def _scored(model, fitted: DataFrame, guessed: DataFrame, sample: DataFrame) -> Report:
     top = evaluation.top_labels(evaluation.cluster_label_counts(fitted))
-    dense = evaluation.silhouette_sample(fitted, seed=seed).withColumn("_dense", vector_to_array("features"))
-    spread = evaluation.silhouettes(dense, "_dense").agg(F.avg("silhouette").alias("silhouette"))
+    spread = sample.agg(F.avg("silhouette").alias("silhouette"))
     scores = evaluation.pseudo_purity(fitted).select(
         "pseudo_purity",
         evaluation.top_label_hit_rate(guessed, top).scalar().alias("hit_rate"),
@@ -95,6 +112,18 @@ def report(featured: DataFrame, k: int = 0, seed: int = 0) -> Report:
     return Report(model, fitted, guessed, top, scores)
 
 
+def _entries(vector: str) -> Column:
+    """The entries of an ML vector that are not 0, for the rows of a sample."""
+
+    @F.udf("array<struct<idx:int,weight:double>>")
+    def entries(found):
+        if hasattr(found, "indices"):
+            return [(int(i), float(v)) for i, v in zip(found.indices, found.values) if v]
+        return [(i, float(v)) for i, v in enumerate(found.toArray()) if v]
+
+    return entries(vector)
+
+
 def cluster_labels(rep: Report) -> DataFrame:
     """(cluster, size, rank, label, n): the printed summary of a clustering. Every cluster with
     members is listed; one without labels has one row, whose rank, label and count are null."""

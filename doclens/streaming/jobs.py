@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from doclens.functions.text import joined, word_terms
+from doclens.operators import sparse
+from doclens.operators.blockfile import BLOCK, write_blocks
 from doclens.operators.clustering import nearest_by_terms
 from doclens.operators.lengths import bucket_or_missing
 from doclens.operators.vocab import symbol_counts, with_tokens
@@ -18,14 +20,27 @@ def score_documents(docs: DataFrame, model: TfidfModel, centroids: list[list[flo
 
     The cluster is that of the centroid nearest to the document's tf-idf vector over all fitted terms;
     a document without any has the zero vector. Tokenising, weighting and assigning all work inside
-    the row, so a stream keeps no state.
+    the row, so a stream keeps no state. The centroids here are dense rows; for more terms than are
+    broadcast see ``score_sparse``.
     """
     if model.rows is None:
-        raise ValueError("a stream holds its terms in memory: fit fewer, see max_features")
-    tokenised = with_tokens(docs)
+        raise ValueError("dense centroids have as many numbers as terms: give sparse ones, see score_sparse")
     terms = [row["term"] for row in model.rows]
     nearest = nearest_by_terms(docs.sparkSession, terms, [row["idf"] for row in model.rows], centroids)
-    return tokenised.select(
+    return _scored(docs, nearest)
+
+
+def score_sparse(docs: DataFrame, model: TfidfModel, centroids: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``score_documents`` for any number of terms: (item, idx, value) centroids 0 to k - 1, such as those of
+    ``sparse.sparse_kmeans``. Terms and centroids are looked up in block files, so an executor's memory
+    follows neither."""
+    terms = write_blocks(model.terms.select("term", F.col("idx").cast("bigint").alias("idx"), "idf"), "term", block)
+    index, squares = sparse.index_of(centroids, k, block)
+    return _scored(docs, sparse.nearest_by_terms(terms, index, squares))
+
+
+def _scored(docs: DataFrame, nearest) -> DataFrame:
+    return with_tokens(docs).select(
         "doc_id",
         F.size("tokens").alias("n_tokens"),
         bucket_or_missing(F.size("tokens")).alias("bucket_id"),
@@ -43,11 +58,13 @@ def read_document_stream(
 
 
 def stream_score(
-    stream: DataFrame, model: TfidfModel, centroids: list[list[float]], path: str, checkpoint: str
+    stream: DataFrame, model: TfidfModel, centroids: list[list[float]] | DataFrame, path: str, checkpoint: str, k: int = 0
 ) -> DataStreamWriter:
-    """Scored documents appended to Parquet, each exactly once."""
+    """Scored documents appended to Parquet, each exactly once. ``centroids`` are dense rows, or a table of
+    ``k`` sparse ones."""
+    scored = score_sparse(stream, model, centroids, k) if isinstance(centroids, DataFrame) else score_documents(stream, model, centroids)
     return (
-        score_documents(stream, model, centroids)
+        scored
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
@@ -55,37 +72,64 @@ def stream_score(
     )
 
 
-def _finished_batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batch folders that were written to the end, in order."""
+# Runs of a level that are merged into one of the next.
+FAN = 8
+
+
+def _runs(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Level -> numbers of its runs that were written to the end, in order."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    marks = files.globStatus(jvm.org.apache.hadoop.fs.Path(path, "batch=*/_SUCCESS"))
-    return sorted(int(mark.getPath().getParent().getName().partition("=")[2]) for mark in marks or [])
+    found: dict[int, list[int]] = {}
+    if files.exists(folder):
+        for mark in files.globStatus(jvm.org.apache.hadoop.fs.Path(path, "level=*/run=*/_SUCCESS")) or []:
+            run = mark.getPath().getParent()
+            level = int(run.getParent().getName().partition("=")[2])
+            found.setdefault(level, []).append(int(run.getName().partition("=")[2]))
+    return {level: sorted(found[level]) for level in sorted(found)}
+
 
+def _run_path(path: str, level: int, run: int) -> str:
+    return f"{path}/level={level}/run={run}"
 
-def _drop_batch(spark: SparkSession, path: str, batch: int) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stream_symbol_counts(stream: DataFrame, path: str, checkpoint: str, level="word") -> DataStreamWriter:
-    """Running symbol counts. Every batch writes all counts so far to a folder of its own, from those of
-    the batch before it, so a batch that is run again after a failure replaces itself. The last two
-    folders stay. State is one row per symbol."""
+def _read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(symbol, n) of some runs: counts only grow, so the largest is the newest."""
+    rows = spark.read.schema("symbol string, n bigint").parquet(*paths)
+    return rows.groupBy("symbol").agg(F.max("n").alias("n"))
+
+
+def _compact(spark: SparkSession, path: str, batch: int, fan: int) -> None:
+    """Merge the runs of a level that has ``fan`` of them into one of the next level, lowest level first.
+
+    A merged run holds what its sources hold, and the largest count wins, so sources that are still
+    there, after a failure or because a reader may use them, change nothing. They go at the next call."""
+    for level, runs in _runs(spark, path).items():
+        above = _runs(spark, path).get(level + 1, [])
+        done = [run for run in runs if above and run <= above[-1]]
+        for run in done:
+            _drop(spark, _run_path(path, level, run))
+        left = [run for run in runs if run not in done and run < batch]
+        if len(left) >= fan:
+            merged = _read_runs(spark, [_run_path(path, level, run) for run in left])
+            merged.write.mode("overwrite").parquet(_run_path(path, level + 1, left[-1]))
+
+
+def stream_symbol_counts(stream: DataFrame, path: str, checkpoint: str, level="word", fan: int = FAN) -> DataStreamWriter:
+    """Running symbol counts as log-structured runs. A batch writes the symbols it changed, with their
+    counts so far, to a run of its own; ``fan`` runs of a level are merged into one of the next. So a batch
+    costs what it changed, and a symbol is rewritten once per level. A batch that is run again after a
+    failure replaces its run. State is one row per symbol."""
 
     def store(changed: DataFrame, batch: int) -> None:
-        spark = changed.sparkSession
-        done = [number for number in _finished_batches(spark, path) if number < batch]
-        counts = changed.select("symbol", "n")
-        if done:
-            before = spark.read.parquet(f"{path}/batch={done[-1]}")
-            counts = counts.unionByName(before).groupBy("symbol").agg(F.max("n").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        for number in done[:-1]:
-            _drop_batch(spark, path, number)
+        changed.select("symbol", "n").write.mode("overwrite").parquet(_run_path(path, 0, batch))
+        _compact(changed.sparkSession, path, batch, fan)
 
     return (
         symbol_counts(with_tokens(stream, level))
@@ -96,8 +140,8 @@ def stream_symbol_counts(stream: DataFrame, path: str, checkpoint: str, level="w
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, n) so far: the folder of the newest finished batch."""
-    done = _finished_batches(spark, path)
-    if not done:
+    """(symbol, n) so far: all finished runs, merged."""
+    paths = [_run_path(path, level, run) for level, runs in _runs(spark, path).items() for run in runs]
+    if not paths:
         return spark.createDataFrame([], "symbol string, n bigint")
-    return spark.read.parquet(f"{path}/batch={done[-1]}")
+    return _read_runs(spark, paths)

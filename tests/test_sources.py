@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,7 +183,39 @@ def test_stream_counts_equal_batch_counts(spark, docs, stream_folder, tmp_path):
     jobs.stream_symbol_counts(stream, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = V.symbol_counts(V.with_tokens(docs))
     assert dict(map(tuple, jobs.latest_counts(spark, out).collect())) == dict(map(tuple, batch.collect()))
-    assert len(list((tmp_path / "out").iterdir())) == 2
+
+
+def _run_bytes(out):
+    return {p.parent.relative_to(out).as_posix(): p.stat().st_size for p in out.glob("level=*/run=*/*.parquet")}
+
+
+def test_counts_are_levels_of_runs(spark, tmp_path):
+    """Thirteen batches, of which all but the first change one symbol: a batch writes what it changed, runs
+    are merged by level, and a batch that is run again, or a merge that left its sources, changes nothing."""
+    folder, out, cp = (tmp_path / n for n in ("in", "out", "cp"))
+    folder.mkdir()
+    words = " ".join("x" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(2000))
+    schema = "doc_id long, text string"
+    for i in range(13):
+        path = str(tmp_path / f"batch{i}")
+        spark.createDataFrame([(i, words if i == 0 else "again")], schema).coalesce(1).write.parquet(path)
+        (file,) = Path(path).glob("*.parquet")
+        file.rename(folder / f"{i:02}.parquet")
+        stream = jobs.read_document_stream(spark, str(folder), schema, files_per_batch=1)
+        jobs.stream_symbol_counts(stream, str(out), str(cp), fan=3).trigger(availableNow=True).start().awaitTermination()
+        counts = dict(map(tuple, jobs.latest_counts(spark, str(out)).collect()))
+        assert counts.get("again", 0) == i and counts["xbc"] == 1
+        sizes = _run_bytes(out)
+        if i:
+            assert sizes[f"level=0/run={i}"] < 5_000
+    levels = jobs._runs(spark, str(out))
+    assert max(levels) >= 2 and all(len(runs) <= 4 for runs in levels.values())
+    stale = spark.createDataFrame([("again", 1)], "symbol string, n bigint")
+    stale.write.mode("overwrite").parquet(f"{out}/level=0/run=1")
+    spark.createDataFrame([("never", 9)], "symbol string, n bigint").write.parquet(f"{out}/level=0/run=99")
+    (out / "level=0/run=99/_SUCCESS").unlink()
+    counts = dict(map(tuple, jobs.latest_counts(spark, str(out)).collect()))
+    assert counts["again"] == 12 and "never" not in counts and len(counts) == 2001
 
 
 def test_latest_counts_of_nothing(spark, tmp_path):

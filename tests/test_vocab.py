@@ -59,7 +59,7 @@ def test_lookup_and_join_encode_alike(spark, docs):
         return {r["doc_id"]: r["ids"] for r in df.select("doc_id", "ids").collect()}
 
     inside = ids(V.encode(tokens, vocab))
-    assert inside == ids(V.encode_by_join(tokens, vocab, head=2))
+    assert inside == ids(V.encode_by_join(tokens, vocab, capacity=2))
     assert inside == ids(V.encode(tokens, vocab, max_symbols=3))
     assert inside[3] == []
 
@@ -148,7 +148,7 @@ def test_skew_safe_lookup_is_a_left_join(spark):
         F.col("id").alias("key"), (F.col("id") * 2).alias("twice"), (-F.col("id")).alias("weight")
     )
     plain = facts.join(names, "key", "left")
-    safe = skew_safe_lookup(facts, names, "key", "weight", head=10)
+    safe = skew_safe_lookup(facts, names, "key", capacity=10)
     assert sorted(map(str, plain.select("id", "key", "twice").collect())) == sorted(
         map(str, safe.select("id", "key", "twice").collect())
     )

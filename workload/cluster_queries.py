@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from doclens.functions import vectors
 from doclens.operators import clustering as K
 from doclens.operators import evaluation as E
+from doclens.operators import sparse
 from doclens.operators import vocab as V
 from doclens.plans import clustering_report
 from doclens.session import written
@@ -282,6 +283,30 @@ def silhouette_rows(spark, sf):
     return E.silhouettes(sample).select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
+def _as_entries(points: DataFrame) -> DataFrame:
+    """Dense rows as sparse ones."""
+    return points.withColumn("weights", F.transform("vec", lambda x, i: F.struct(i.alias("idx"), x.alias("weight"))))
+
+
+@R.add("sparse_silhouette_rows", f"{_SILHOUETTE} SELECT vec_id, round(s, 6) AS silhouette FROM s")
+def sparse_silhouette_rows(spark, sf):
+    """The same from dot products through an inverted index."""
+    points = C.embeddings(spark, sf)
+    sample = E.silhouette_sample(K.assign_nearest(points, _seeds(points)), id_col="vec_id")
+    return sparse.silhouettes(_as_entries(sample)).select("vec_id", F.round("silhouette", 6).alias("silhouette"))
+
+
+@R.add("sparse_kmeans", f"{_rounds_sql(3)} SELECT vec_id, cluster FROM a2")
+def sparse_kmeans(spark, sf):
+    """Three rounds with sparse rows and centroids, from the first rows by id."""
+    rows = _as_entries(C.embeddings(spark, sf)).drop("vec")
+    first = [row["vec_id"] for row in rows.select("vec_id").orderBy("vec_id").limit(SEEDS).collect()]
+    seeds = rows.filter(F.col("vec_id").isin(first))
+    items = F.array_position(F.array(*map(F.lit, first)), F.col("vec_id")) - 1
+    model = sparse.sparse_kmeans(rows, SEEDS, 2, id_col="vec_id", initial=sparse.entries(seeds.withColumn("_item", items), "_item"))
+    return model.predict(rows).select("vec_id", "cluster")
+
+
 @R.add(
     "squared_silhouette",
     f"{_rounds_sql(1)}, sizes AS (SELECT cluster, count(*) AS size FROM a0 GROUP BY cluster), "

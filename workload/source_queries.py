@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from doclens.operators import batches as B
 from doclens.operators import dense as D
 from doclens.operators import runlog as G
+from doclens.operators import sparse
 from doclens.operators import vocab as V
 from doclens.operators.weights import fit_tfidf
 from doclens.plans import training_input
@@ -310,3 +311,23 @@ def stream_score(spark, sf):
     )
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "n_tokens", "bucket_id", "cluster")
+
+
+@R.add("stream_score_sparse", _STREAM)
+def stream_score_sparse(spark, sf):
+    """The same with terms and sparse centroids in block files, as beyond the terms that are broadcast."""
+    terms = W.terms(spark, sf)
+    train, _ = V.split_train_test(terms)
+    model = fit_tfidf(train, max_features=C.CAP)
+    first = C.documents(spark, sf, "doc_id").orderBy("doc_id").limit(8)
+    ids = [row["doc_id"] for row in first.collect()]
+    weighted = model.transform(terms.join(F.broadcast(first), "doc_id", "left_semi"))
+    items = weighted.withColumn("_item", F.array_position(F.array(*map(F.lit, ids)), F.col("doc_id")) - 1)
+    path = scratch_path(spark, "stream-sparse")
+    query = (
+        jobs.stream_score(_stream(spark, sf), model, sparse.entries(items, "_item"), f"{path}/out", f"{path}/checkpoint", 8)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("doc_id", "n_tokens", "bucket_id", "cluster")

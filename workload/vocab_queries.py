@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from doclens.operators import lengths as L
 from doclens.operators import vocab as V
-from doclens.operators.lookup import unnest
+from doclens.operators.lookup import frequent_keys, unnest
+from doclens.session import scratch_path
 from doclens.sources import corpus as K
 from doclens.sources import sgml, tables
+from doclens.streaming import jobs
 from workload import common as C
 from workload.common import Registry
 
@@ -59,7 +61,36 @@ def encode(spark, sf):
 def encode_by_join(spark, sf):
     tokens = C.tokenised(spark, sf)
     vocab = C.vocabulary(tokens, None)
-    return V.encode_by_join(tokens, vocab, head=1000).select("doc_id", F.array_join("ids", " ").alias("ids"))
+    return V.encode_by_join(tokens, vocab, capacity=1000).select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@R.add("encode_by_blocks", f"WITH {C.corpus_sql(None)} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")
+def encode_by_blocks(spark, sf):
+    """A stream of documents, its rare symbols looked up in a sorted file."""
+    tokens = C.tokenised(spark, sf)
+    vocab = C.vocabulary(tokens, None)
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    stream = V.with_tokens(jobs.read_document_stream(spark, sf, schema, "documents.parquet"))
+    path = scratch_path(spark, "stream-ids")
+    encoded = V.encode(stream, vocab, max_symbols=1000).select("doc_id", F.array_join("ids", " ").alias("ids"))
+    writer = encoded.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("doc_id", "ids")
+
+
+@R.add(
+    "frequent_symbols",
+    f"WITH {C.TOKENS}, {C.FLAT}, {C.COUNTS} SELECT symbol, n FROM counts WHERE n > (SELECT sum(n) FROM counts) / 100",
+)
+def frequent_symbols(spark, sf):
+    """Symbols on more than one per cent of the tokens: a summary of 200 counters names all of them, and
+    these are counted."""
+    flat = unnest(C.tokenised(spark, sf), [], F.col("tokens"), "symbol")
+    named = frequent_keys(flat, "symbol", 200).select("symbol")
+    marked = flat.join(F.broadcast(named.withColumn("_named", F.lit(True))), "symbol", "left")
+    counts = marked.groupBy(F.when(F.col("_named"), F.col("symbol")).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.filter(F.col("symbol").isNotNull() & (F.col("n") > total / 100)).select("symbol", "n")
 
 
 @R.add(
