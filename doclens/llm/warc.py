@@ -163,7 +163,7 @@ def with_first(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     rows = with_row_number(rows.select("key", "url", "_read.*"), "row")
     facts = rows.filter(F.col("size") >= least).select("row", "key", "digest")
     largest = facts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("key", "row")).alias("first"))
-    found = skew_safe_lookup(facts.select("row", "digest"), largest.filter("n > 1"), "digest", "n")
+    found = skew_safe_lookup(facts.select("row", "digest"), largest.filter("n > 1").select("digest", "first"), "digest")
     later = found.filter(F.col("first.row") != F.col("row")).select("row", "first")
     return rows.drop("size").join(later, "row", "left")
 
