@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.operators.vocab import build_vocab, encode, short_documents, symbol_counts, with_tokens
+from doclens.operators.vocab import build_vocab, encode, symbol_counts, with_tokens
 from doclens.schemas import BUCKETS
 from doclens.session import written
 from doclens.sources.corpus import read_documents
@@ -66,12 +66,11 @@ def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def encoded_short(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoded documents that fit a bucket. An id array is as long as its tokens, so the others are
-    left out before they are encoded and written; see ``short_documents``."""
-    docs = documents(spark, sf, "doc_id", "text")
-    vocab = vocabulary(with_tokens(docs))
-    short = short_documents(docs, BUCKETS[-1]).select("doc_id", "tokens")
-    return written(encode(short, vocab).select("doc_id", "ids"), "encoded")
+    """Encoded documents that fit a bucket. Tokens are made once and written, for the counts and for the
+    ids. An id array is as long as its tokens, so the others are left out before they are encoded."""
+    tokens = written(tokenised(spark, sf), "tokens")
+    short = tokens.filter(F.size("tokens") < BUCKETS[-1])
+    return written(encode(short, vocabulary(tokens)).select("doc_id", "ids"), "encoded")
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
