@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ GRAM = 20
 PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# Bytes of text a task works on together: rows of a batch beyond that wait.
+TOGETHER = 12 << 20
 # Bytes compared by multikey quicksort before a group goes to a blind trie; groups of so few rows are
 # ordered by insertion.
 SHALLOW, FEW = 32, 24
@@ -207,6 +210,21 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield made()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the texts of a column as bytes, cut so that some ``TOGETHER`` bytes are worked on at a
+    time; an Arrow batch counts rows, whatever their length."""
+    for batch in batches:
+        bodies = batch.column(column).cast(pa.binary())
+        batch = batch.set_column(column, batch.schema.names[column], bodies)
+        ends = np.cumsum(pc.binary_length(bodies).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _pack(place: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
     return (place << 16) | (most << 8) | least
 
@@ -230,9 +248,9 @@ def _scan(length: int, buckets: int):
     """Anchors of each batch of texts as one row per hash bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             ids, tags = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            texts = batch.column(2).to_pylist()
             found: list[list[np.ndarray]] = [[], [], [], []]
             for data, ends, names, offsets in pieces(texts, length):
                 code, place, first, last = anchors(data, ends, length)
@@ -282,16 +300,16 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(length: int, buckets: int):
     """The bytes of the windows around the chosen anchors, one row per bucket.
 
-    Of anchors with equal windows in one batch only the earliest goes on; the windows of the others
-    are known to be repeated, and only their place is sent."""
+    Of anchors with equal windows among texts worked on together only the earliest goes on; the windows
+    of the others are known to be repeated, and only their place is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             done: list[tuple[int, int, int, int]] = []
-            for owner, tag, body, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = body.encode("utf-8", "surrogatepass")
-                for at in chosen:
+            for owner, tag, body, chosen in zip(*batch.columns, strict=True):
+                owner, tag, data = owner.as_py(), tag.as_py(), body.as_py()
+                for at in chosen.values.to_pylist():
                     place, most, least = at >> 16, (at >> 8) & 255, at & 255
                     key = most, data[place - most : place - least + length]
                     me = owner, tag, place
@@ -373,8 +391,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, key: str = "doc_id", text
 
     Texts are shuffled once, by key, and read from there twice; what else is shuffled is eight bytes
     and a place per anchor, about one in forty bytes, and the windows of the anchors that occur
-    twice. A task sorts the windows of a hash bucket; buckets are many, and equal windows of one batch
-    are merged before they are sent, so a passage on a third of all rows is one row per batch.
+    twice. A task sorts the windows of a hash bucket; buckets are many, and equal windows of ``TOGETHER`` bytes
+    are merged before they are sent, so a passage on a third of all rows is one row for as many bytes.
 
     Null text is empty. A null key sorts first. Equal rows are one document and are judged alike; of
     rows with one key and different texts the one with the lower checksum is the earlier. Texts
@@ -405,10 +423,10 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
     ``n_spans`` the maximal runs of removed ones. See ``repeated_spans``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             out: list[list] = [[], [], [], [], []]
-            for body, spans in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                data, kept, at, gone = body.encode("utf-8", "surrogatepass"), [], 0, _merge(spans)
+            for body, spans in zip(*batch.columns[1:], strict=True):
+                data, kept, at, gone = body.as_py(), [], 0, _merge(spans.as_py())
                 for start, stop in gone:
                     kept.append(data[at:start])
                     at = stop

@@ -253,3 +253,14 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 1 << 21)
     assert pieced == windows([text, text[:150], b"", text[1000:1400]])
     assert len(pieced) == 2901 + 51 + 301
+
+
+def test_repeats_over_texts_cut_into_slices(spark, monkeypatch):
+    """Texts worked on a few at a time give the rows of texts worked on together."""
+    rng = random.Random(21)
+    passage = "".join(rng.choices("abcdé fgh", k=300))
+    rows = [(i, "".join(rng.choices("xyz uvw", k=rng.randrange(0, 400))) + (passage if i % 3 else "") + "ab" * (i % 90)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, suffixes.without_repeats(docs).collect()))
+    monkeypatch.setattr(suffixes, "TOGETHER", 700)
+    assert sorted(map(tuple, suffixes.without_repeats(docs).collect())) == whole
