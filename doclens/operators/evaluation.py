@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+import sys
+from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import sampling, vectors
-from doclens.functions.maths import log_factorial
 from doclens.operators.clustering import MAX_CENTROID_VALUES
 from doclens.operators.lookup import bounded_rows, unnest
+from doclens.session import written
+
+# Sent to workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- one clustering against labels: rows hold ``cluster`` and ``topics`` ---
 
@@ -263,55 +270,81 @@ def normalised_mutual_information(cells: DataFrame, average: str = "arithmetic")
     return summarise(cells).select("pair", _nmi(average).alias("nmi"))
 
 
-def expected_information(cells: DataFrame, block: int = 1 << 14, deviations: float | None = 40.0) -> DataFrame:
+def overlap_information(a: int, b: int, total: int, low: int, high: int, block: int) -> float:
+    """Expected share of two clusters of sizes a and b in the mutual information: over their overlap n the
+    mean of n/total log(total n / (a b)) by the hypergeometric law.
+
+    Chances go from the likeliest overlap up and down by their ratio, and are divided by their sum, so no
+    factorial of a large number is needed. ``block`` overlaps are worked on at a time."""
+    likeliest = min(max((a + 1) * (b + 1) // (total + 2), low), high)
+    weight = value = 0.0
+    for start, end, step in ((likeliest, high, 1), (likeliest, low, -1)):
+        log, first = 0.0, start
+        while first != end + step:
+            last = min(first + block, end) if step > 0 else max(first - block, end)
+            n = np.arange(first, last + step, step, dtype=np.float64)
+            here = n[:-1]
+            if step > 0:
+                ratios = (a - here) * (b - here) / ((here + 1.0) * (total - a - b + here + 1.0))
+            else:
+                ratios = here * (total - a - b + here) / ((a - here + 1.0) * (b - here + 1.0))
+            logs = log + np.r_[0.0, np.cumsum(np.log(ratios))]
+            # The likeliest overlap is in the run upwards, and the last of a block starts the next.
+            fresh = slice(0 if step > 0 and first == start else 1, None)
+            chances, counts = np.exp(logs[fresh]), n[fresh]
+            known = counts > 0
+            weight += chances.sum()
+            value += (chances[known] * counts[known] * np.log(total * counts[known] / (float(a) * b))).sum()
+            if last == end:
+                break
+            log, first = logs[-1], last
+    return value / weight / total
+
+
+def _size_blocks(cells: DataFrame, side: str, most: int) -> DataFrame:
+    """(pair, block, sizes): the distinct sizes of the clusters of a side with their number, ``most`` or so to a
+    block."""
+    sizes = _margin(cells, side).groupBy("pair", F.col(f"n_{side}").alias("size")).agg(F.count(F.lit(1)).alias("m"))
+    sizes = written(sizes, "sizes")
+    blocks = max(1, -(-sizes.count() // most))
+    listed = F.collect_list(F.struct("size", "m")).alias(f"sizes_{side}")
+    return sizes.groupBy("pair", F.pmod(F.xxhash64("size"), F.lit(blocks)).alias(f"block_{side}")).agg(listed)
+
+
+def expected_information(
+    cells: DataFrame, block: int = 1 << 14, deviations: float | None = 40.0, sizes: int = 256
+) -> DataFrame:
     """(pair, emi): mutual information expected of random clusterings with the same sizes.
 
-    Sums a hypergeometric law over every possible overlap of every two cluster sizes; equal sizes
-    are computed once. Overlaps further than 40 deviations + 200 from the mean have a
-    probability below e^-300, nothing in doubles, so the range follows the
-    deviation and not the cluster size; None sums all, for comparison. Ranges are cut into blocks and
-    spread before they unfold.
-    """
-
-    def sizes(side: str) -> DataFrame:
-        return (
-            _margin(cells, side)
-            .groupBy("pair", F.col(f"n_{side}").alias(side))
-            .agg(F.count(F.lit(1)).alias(f"m_{side}"))
-        )
+    A mean over every possible overlap of every two cluster sizes; equal sizes are computed once.
+    Overlaps further than 40 deviations + 200 from the mean have a probability below e^-300, nothing in
+    doubles, so the range follows the deviation and not the cluster size; None sums all, for comparison.
 
-    grid = sizes("a").join(sizes("b"), "pair").join(F.broadcast(_totals(cells)), "pair")
-    a, b, total = (F.col(name).cast("double") for name in ("a", "b", "total"))
-    mean = a * b / total
-    variance = mean * (total - a) / total * (total - b) / F.greatest(total - 1.0, F.lit(1.0))
-    low = F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("total"))
-    high = F.least(F.col("a"), F.col("b"))
-    if deviations is not None:
-        reach = deviations * F.sqrt(variance) + 200.0
-        low, high = F.greatest(low, F.floor(mean - reach)), F.least(high, F.ceil(mean + reach))
-    ranged = grid.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
-    blocks = ranged.withColumn(
-        "_start", F.explode(F.sequence("_low", "_high", F.lit(block).cast("long")))
-    ).repartition("pair", "a", "b", "_start")
-    overlaps = blocks.withColumn(
-        "n", F.explode(F.sequence("_start", F.least(F.col("_start") + (block - 1), F.col("_high"))))
-    )
-    n = F.col("n").cast("double")
-    log_chance = (
-        log_factorial(a)
-        + log_factorial(b)
-        + log_factorial(total - a)
-        + log_factorial(total - b)
-        - log_factorial(total)
-        - log_factorial(n)
-        - log_factorial(a - n)
-        - log_factorial(b - n)
-        - log_factorial(total - a - b + n)
-    )
-    term = n / total * F.log(total * n / (a * b)) * F.exp(log_chance)
-    return overlaps.groupBy("pair").agg(
-        F.sum(term * F.col("m_a") * F.col("m_b")).alias("emi")
-    )
+    The grid of sizes is cut into blocks of ``sizes`` by ``sizes``. Only blocks are joined, and dealt over
+    all tasks, so neither the number of pairs of clusterings nor that of sizes decides how many tasks work.
+    """
+    grid = _size_blocks(cells, "a", sizes).join(_size_blocks(cells, "b", sizes), "pair")
+    grid = grid.join(F.broadcast(_totals(cells)), "pair")  # one row per pair of clusterings
+    dealt = grid.repartition("pair", "block_a", "block_b").select("pair", "sizes_a", "sizes_b", "total")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for left, right, total in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                emi = 0.0
+                for one, other in product(left, right):
+                    a, b = one["size"], other["size"]
+                    low, high = max(0, a + b - total), min(a, b)
+                    if deviations is not None:
+                        mean = a * b / total
+                        reach = deviations * math.sqrt(mean * (total - a) / total * (total - b) / max(total - 1, 1)) + 200.0
+                        low, high = max(low, math.floor(mean - reach)), min(high, math.ceil(mean + reach))
+                    emi += one["m"] * other["m"] * overlap_information(a, b, total, low, high, block)
+                found.append(emi)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["pair", "emi"])
+
+    kind = cells.schema["pair"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"pair {kind}, emi double").groupBy("pair").agg(F.sum("emi").alias("emi"))
 
 
 def adjusted_mutual_information(cells: DataFrame, average: str = "arithmetic") -> DataFrame:

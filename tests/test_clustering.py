@@ -267,3 +267,39 @@ def test_far_overlaps_add_nothing(spark):
         {r["pair"]: r["emi"] for r in E.expected_information(table, deviations=d).collect()} for d in (40.0, None)
     )
     assert cut == pytest.approx(whole, rel=1e-12)
+
+
+def test_expected_information_over_many_sizes(spark):
+    """Distinct sizes on both sides: equal to the law written out, whatever the blocks, and dealt evenly."""
+    from math import comb, log
+
+    a_sizes, b_sizes = list(range(1, 25)), [3, 5, 7, 11, 13, 17, 19, 2, 4, 6, 8, 10, 205]
+    total = sum(a_sizes)
+    b_sizes[-1] = total - sum(b_sizes[:-1])
+    cells, left = [], list(b_sizes)
+    for i, size in enumerate(a_sizes):
+        for j in range(len(left)):
+            n = min(size, left[j])
+            if n:
+                cells.append(("p", i, j, n))
+                size, left[j] = size - n, left[j] - n
+    frame = spark.createDataFrame(cells, "pair string, a int, b int, n long")
+    exact = sum(
+        comb(a, n) * comb(total - a, b - n) / comb(total, b) * n / total * log(total * n / (a * b))
+        for a in a_sizes for b in b_sizes for n in range(max(1, a + b - total), min(a, b) + 1)
+    )
+    for block, deviations, sizes in ((3, None, 4), (1 << 14, 40.0, 256), (1, 40.0, 2)):
+        found = E.expected_information(frame, block, deviations, sizes).first()["emi"]
+        assert found == pytest.approx(exact, rel=1e-11)
+
+
+def test_overlap_information_of_large_clusters():
+    """No factorials: a billion rows, against the same law summed by smaller steps."""
+    a, b, total = 3 * 10**8, 5 * 10**8, 10**9
+    mean, spread = a * b / total, (a * b / total * 0.7 * 0.5) ** 0.5
+    low, high = int(mean - 45 * spread), int(mean + 45 * spread)
+    one = E.overlap_information(a, b, total, low, high, 1 << 14)
+    # second order: n/N log(Nn/ab) about the mean adds half the variance over the mean
+    wanted = spread**2 / (2 * mean) / total
+    assert one == pytest.approx(wanted, rel=1e-4)
+    assert one == pytest.approx(E.overlap_information(a, b, total, low, high, 1000), rel=1e-9)
