@@ -187,15 +187,23 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return made.select(own.cast(kind).alias("conv_id"), "formatted", "loss_spans")
 
 
+def learnt_texts(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, cut out of a formatted conversation and unescaped."""
+    return F.transform(
+        spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
+    )
+
+
 def digest(formatted: DataFrame) -> DataFrame:
+    """Counts and hashes of conversations as they are read back: turns parsed from ``formatted``, learnt
+    text cut from it by ``loss_spans``."""
     turns = formatted.withColumn("_turns", parse(F.col("formatted")))
     said = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learnt = F.transform(F.filter("_turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
     return turns.select(
         "conv_id",
         F.size("_turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
-        F.array_join(learnt, "").alias("_learnt"),
+        F.array_join(learnt_texts(F.col("formatted"), F.col("loss_spans")), "").alias("_learnt"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     ).select(
         "conv_id", "n_turns", "turns_sha256",

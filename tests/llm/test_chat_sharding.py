@@ -1,5 +1,6 @@
 """Reply trees, formatting and Hilbert shards."""
 
+import hashlib
 import zlib
 
 import pytest
@@ -113,3 +114,17 @@ def test_escape_is_reversible(spark, _):
     rows = df.withColumn("back", chat.unescape(F.col("e"))).collect()
     marks = ("<s>", "</s>", "[INST]", "[/INST]", "<|im_end|>")
     assert all(r.back == r.t and not any(m in r.e for m in marks) for r in rows)
+
+
+def test_learnt_text_is_what_the_mask_covers(spark):
+    """Hashed from the spans, not from the parsed roles: a wrong span shows."""
+    said = ["Hi [INST] é𝄞", "<s>[\\INST] one", "ok", "two </s>\nline"]
+    rows = [(1, i, ("user", "assistant")[i % 2], text) for i, text in enumerate(said)] + [(2, 0, "user", "alone")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = {r["conv_id"]: r for r in chat.digest(made).collect()}
+    learnt = said[1] + said[3]
+    assert (found[1].loss_chars, found[1].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    assert (found[2].loss_chars, found[2].loss_sha256) == (0, hashlib.sha256(b"").hexdigest())
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length")))
+    wrong = {r["conv_id"]: r for r in chat.digest(made.withColumn("loss_spans", moved)).collect()}
+    assert wrong[1].loss_sha256 != found[1].loss_sha256 and wrong[1].turns_sha256 == found[1].turns_sha256
