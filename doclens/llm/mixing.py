@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from doclens.llm.common import let, read
 
+# Sources whose sums and weights the driver holds and sends to all tasks.
+MAX_SOURCES = 1_000_000
+
 
 def slice_bits(spark: SparkSession) -> int:
     """Leading bits of the order's hash that cut a permutation: eight slices or more for each shuffle
@@ -72,6 +75,70 @@ def solve_exponent(tokens: dict, target: float, limit: float, budget: float | No
     return bisect(lambda a: spent(a) > limit)
 
 
+def _drawn(
+    docs: DataFrame,
+    target: float,
+    limit: float,
+    budget: int | None,
+    seed: int,
+    key: str,
+    source: str,
+    text: str,
+    places: bool,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """The draws, under names of their own: ``_key``, ``_source``, ``_tokens``, ``_block``, ``_place``,
+    ``_weight`` and ``_row``, which holds the carried columns. See ``mix``; without ``places`` the rows
+    of whole blocks are not shuffled and have none."""
+    spark = docs.sparkSession
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+    rows = docs.select(
+        F.col(key).alias("_key"), F.col(source).alias("_source"), token_count(F.col(text)).alias("_tokens"), row.alias("_row")
+    )
+    sums = rows.groupBy("_source").agg(F.sum("_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser column")
+    tokens = {r[0]: r["n"] or 0 for r in sums}
+    held = sum(tokens.values())
+    if budget is not None and held and budget > limit * held:
+        raise ValueError(f"a budget of {budget} tokens repeats the {held} there are more than {limit} times")
+    shares = weights(tokens, solve_exponent(tokens, target, limit, budget))
+    total = budget if budget is not None else full_budget(tokens, shares)
+    plan = [
+        (s, float(shares[s]), int(round(shares[s] * total)), n, max(1, -(-int(round(shares[s] * total)) // n)) if n else 1)
+        for s, n in tokens.items()
+    ]
+    kind = rows.schema["_source"].dataType.simpleString()
+    table = spark.createDataFrame(plan, f"_from {kind}, _weight double, _budget bigint, _n bigint, _blocks int")
+    # one row per source, MAX_SOURCES at most
+    planned = rows.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_from"))).drop("_from")
+    drawn = planned.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    order = F.xxhash64(F.lit(seed), F.col("_block"), F.col("_key"), F.col("_source"))
+    dealt = drawn.withColumn("_order", order).withColumn(
+        "_slice", F.shiftrightunsigned("_order", 64 - slice_bits(spark))
+    )
+    cut = ((F.col("_block") + 1) * F.col("_n") > F.col("_budget")) & (F.col("_n") > 0)
+    permuted = dealt if places else dealt.filter(cut)
+    where = ["_group", "_block", "_slice"]
+    group = F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("null"))
+    permuted = permuted.withColumn("_group", group)
+    slices = permuted.groupBy(*where).agg(F.sum("_tokens").alias("_sum"))
+    earlier = Window.partitionBy("_group", "_block").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.select(*where, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*where).orderBy("_order", "_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        permuted.withColumn("_inside", F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
+        .join(before, where)
+        .withColumn("_place", F.col("_inside") + F.col("_before"))
+        .filter(~cut | (F.col("_place") + F.col("_block") * F.col("_n") < F.col("_budget")))
+    )
+    columns = ["_key", "_source", "_tokens", F.col("_block").cast("int").alias("_block"), "_place", "_weight", "_row"]
+    if places:
+        return placed.select(*columns)
+    whole = dealt.filter(~cut).withColumn("_place", F.lit(None).cast("bigint"))
+    return whole.select(*columns).unionByName(placed.select(*columns))
+
+
 def mix(
     docs: DataFrame,
     target: float = 0.95,
@@ -81,70 +148,45 @@ def mix(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The drawn rows: key, source, ``tokens``, ``block``, ``place``, ``weight``, and ``carry``.
+    """The drawn rows: key, source, ``tokens``, ``block``, ``place`` and ``weight``.
 
     A source's weight is its token share to the power found by ``solve_exponent``; its budget is its
     weight times ``budget`` tokens, by default the least total at which every source is drawn once in
     full, so that mixing repeats small sources and loses nothing. A block is one pass over a source
-    in a seeded order of its own; blocks follow each other until the source's budget is met, and the
-    row that meets it is the last. ``place`` is the running token count before the row in its block.
+    in a seeded permutation of its own; blocks follow each other until the source's budget is met, and the
+    row that meets it is the last. ``place`` is the running token count before the row in its block:
+    rows of a source, by block, then place, are its training order.
 
-    Only sums per source and slice, no rows, reach the driver or a single task: the order is cut into
+    Only sums per source and slice, no rows, reach the driver or a single task: the permutations are cut into
     slices by the leading bits of the hash, in proportion to the shuffle partitions, so a source with a
     third of all rows is dealt to many tasks. Tokens are counted once, in the first pass; the second recounts them in the row.
 
     A null source is a source. A row without tokens costs nothing: it is drawn in each block that
     reaches its place. A source without tokens is drawn once, whole. Repeated rows have their own
-    places; equal hashes are ordered by key. Empty in, empty out. Other columns are only carried.
+    places, equal ones if they have no tokens; equal hashes are ordered by key. Empty in, empty out.
+    Other columns are not read. A ``budget`` that would repeat even the corpus as it is more than
+    ``limit`` times, and more than ``MAX_SOURCES`` sources, are a ``ValueError``.
     """
-    clash = {"tokens", "block", "place", "weight"}
-    kept = [c for c in carry if c not in clash and c not in (key, source)]
-    rows = docs.select(F.col(key), F.col(source), token_count(F.col(text)).alias("tokens"), *kept)
-    sums = rows.groupBy(source).agg(F.sum("tokens").alias("n")).collect()
-    tokens = {r[0]: r["n"] or 0 for r in sums}
-    shares = weights(tokens, solve_exponent(tokens, target, limit, budget))
-    total = budget if budget is not None else full_budget(tokens, shares)
-    plan = [
-        (s, float(shares[s]), int(round(shares[s] * total)), n, max(1, -(-int(round(shares[s] * total)) // n)) if n else 1)
-        for s, n in tokens.items()
-    ]
-    kind = rows.schema[source].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame(
-        plan, f"_source {kind}, weight double, _budget bigint, _n bigint, _blocks int"
-    )
-    # one row per source: at most as many as were summed above
-    planned = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")))
-    drawn = planned.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_source")
-    cut_at = 64 - slice_bits(docs.sparkSession)
-    order = F.xxhash64(F.lit(seed), F.col("block"), F.col(key), F.col(source))
-    dealt = drawn.withColumn("_order", order).withColumn("_slice", F.shiftrightunsigned("_order", cut_at))
-    # Only the block that the budget cuts needs places; the whole ones are taken as they are.
-    cut = (F.col("block") + 1) * F.col("_n") > F.col("_budget")
-    whole = dealt.filter(~cut | (F.col("_n") == 0))
-    last = dealt.filter(cut & (F.col("_n") > 0))
-    where = ["_group", "block", "_slice"]
-    last = last.withColumn("_group", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null")))
-    slices = last.groupBy(*where).agg(F.sum("tokens").alias("_sum"))
-    earlier = Window.partitionBy("_group", "block").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = slices.select(*where, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*where).orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        last.withColumn("_inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-        .join(before, where)
-        .withColumn("place", F.col("_inside") + F.col("_before"))
-        .filter(F.col("place") + F.col("block") * F.col("_n") < F.col("_budget"))
-    )
-    columns = [key, source, "tokens", F.col("block").cast("int").alias("block"), "place", "weight", *kept]
-    return whole.withColumn("place", F.lit(None).cast("bigint")).select(*columns).unionByName(placed.select(*columns))
+    drawn = _drawn(docs, target, limit, budget, seed, key, source, text, places=True)
+    named = {key: "_key", source: "_source", **{c: f"_{c}" for c in ("tokens", "block", "place", "weight")}}
+    return drawn.select(*[F.col(own).alias(name) for name, own in named.items()])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The drawn documents, one row per draw, with the columns of ``docs``; see ``mix``."""
-    key, source = options.get("key", "doc_id"), options.get("source", "source")
-    others = tuple(c for c in docs.columns if c not in (key, source))
-    return mix(docs, carry=others, **options).select(*docs.columns)
+def mixed_documents(
+    docs: DataFrame,
+    target: float = 0.95,
+    limit: float = 4.0,
+    budget: int | None = None,
+    seed: int = 17,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+) -> DataFrame:
+    """The drawn documents, one row per draw, with the columns of ``docs``, whatever their names; the
+    draws of ``mix``. A table has no order, so whole blocks need no places here and are not shuffled."""
+    drawn = _drawn(docs, target, limit, budget, seed, key, source, text, places=False, carry=tuple(docs.columns))
+    return drawn.select("_row.*")
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from collections import Counter, defaultdict
 from math import log
 
+import pytest
+
 from doclens.llm import boilerplate, mixing
 
 
@@ -53,17 +55,44 @@ def test_blocks(spark):
             assert Counter((source, r.doc_id) for r in whole) == {k: n for k, n in members.items() if k[0] == source}
         got = sum(r.tokens for b in blocks for r in b)
         assert wanted <= got < wanted + 5
-        last = sorted((r.place, r.tokens) for r in blocks[-1] if r.place is not None)
-        assert all(p + t <= q for (p, t), (q, _) in zip(last, last[1:], strict=False))
+        orders = []
+        for b in blocks:
+            placed = sorted((r.place, r.tokens) for r in b)
+            upto = 0
+            for place, spent in placed:
+                assert place == upto
+                upto += spent
+            orders.append([r.doc_id for r in sorted(b, key=lambda r: (r.place, r.tokens, r.doc_id or 0)) if r.tokens])
+        assert len(blocks) == 1 or len(orders[0]) < 5 or orders[0] != orders[1][: len(orders[0])]
     assert {r.doc_id for r in found} == {r[0] for r in rows}
 
 
 def test_mixed_documents_keep_their_columns(spark):
-    docs = spark.createDataFrame(_rows(), DOCS.replace("tokens", "t2").replace("block", "b2"))
+    names = ["doc_id", "text", "source", "tokens", "_order", "block", "place", "weight", "_n", "_row", "_key", "_budget"]
+    rows = [(*r, 1.5 * i, 7.5 + i, i, "r", "k", -i) for i, r in enumerate(_rows())]
+    kinds = ["long", "string", "string", "string", "string", "string", "double", "double", "int", "string", "string", "int"]
+    docs = spark.createDataFrame(rows, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
-    assert mixed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixed.columns == names
+    assert set(map(tuple, mixed.collect())) == set(rows)
+    drawn = Counter((r.source, r.doc_id) for r in mixing.mix(docs).collect())
+    assert Counter((r.source, r.doc_id) for r in mixed.collect()) == drawn
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0), budget=9).count() == 0
+
+
+def test_budget_beyond_the_limit_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", "y")], "doc_id long, text string, source string")
+    assert mixing.mix(docs, limit=2.0, budget=10).agg({"tokens": "sum"}).first()[0] >= 10
+    with pytest.raises(ValueError, match="more than 2.0 times"):
+        mixing.mix(docs, limit=2.0, budget=50)
+
+
+def test_number_of_sources_is_checked(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    docs = spark.range(9).selectExpr("id AS doc_id", "'a b' AS text", "cast(id % 4 AS string) AS source")
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        mixing.mix(docs)
+    assert mixing.mix(docs.filter("source < '3'")).count() >= 7
 
 
 def test_order_repeats(spark):
