@@ -10,35 +10,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclens.llm.common import let, read
-from doclens.operators.numbering import row_numbers
+from doclens.operators.numbering import row_numbers, running_sum
 
 _INDEX = "curve_index"
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: text by its first seven bytes, nulls lowest."""
+def _value(df: DataFrame, name: str) -> Column:
+    """A dimension in the order it is levelled by: text as it is, all else as a number, NaN as 0."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0")
-        value = F.conv(head, 16, 10).cast("double")
-    else:
-        value = F.nanvl(F.col(name).cast("double"), F.lit(0.0))
-    return F.coalesce(value, F.lit(-1.0))
+        return F.col(name)
+    return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(-1.0))
+
+
+def _text_bounds(df: DataFrame, name: str, total: int, bits: int) -> list[str | None]:
+    """The least value of a text column up to which i / 2^bits of the rows lie, for each i; nulls first.
+
+    Values are counted, numbered in their order by ranges and summed in blocks, so any number of distinct
+    ones will do; at most 2^bits - 1 rows come to the driver."""
+    counts = df.groupBy(F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = row_numbers(counts, [F.col("_value").asc_nulls_first()], out="_at")
+    upto = running_sum(ranked, "_at", "_rows", "_upto")
+    low = F.expr(f"((_upto - _rows) * {2**bits}) div {total} + 1")
+    high = F.least(F.expr(f"(_upto * {2**bits}) div {total}"), F.lit(2**bits - 1))
+    found = upto.select("_value", low.alias("low"), high.alias("high")).filter("low <= high").collect()
+    return [r["_value"] for r in sorted(found, key=lambda r: r["low"]) for _ in range(r["low"], r["high"] + 1)]
 
 
 def quantile_levels(df: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
     """Each dimension as one of 2^bits levels that hold about as many rows each.
 
-    One pass for all dimensions; what comes to the driver is 2^bits - 1 bounds for each.
+    Numbers take one pass for all dimensions, text is levelled by the order of whole values; what comes
+    to the driver is 2^bits - 1 bounds for each. A null is the lowest value.
     """
     cuts = [i / 2**bits for i in range(1, 2**bits)]
-    bounds = df.agg(
-        *[F.percentile_approx(_ordinal(df, name), cuts, 10_000).alias(f"b{i}") for i, name in enumerate(dims)]
-    ).first()
+    texts = [name for name in dims if isinstance(df.schema[name].dataType, T.StringType)]
+    numbers = [F.percentile_approx(_value(df, n), cuts, 10_000).alias(f"b{i}") for i, n in enumerate(dims) if n not in texts]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *numbers).first()
     levels = []
     for i, name in enumerate(dims):
-        edges = F.array(*[F.lit(float(b)) for b in bounds[i] or []]).cast("array<double>")
-        below = let(_ordinal(df, name), lambda x, edges=edges: F.size(F.filter(edges, lambda b: b <= x)))
-        levels.append(below.cast("long"))
+        if name in texts:
+            bounds = _text_bounds(df, name, found["rows"], bits) if found["rows"] else []
+        else:
+            bounds = [float(b) for b in found[f"b{i}"] or []]
+        kind = "array<string>" if name in texts else "array<double>"
+        edges = F.array(*[F.lit(b) for b in bounds if b is not None]).cast(kind)
+        nulls = sum(b is None for b in bounds)
+        below = let(_value(df, name), lambda x, edges=edges: F.size(F.filter(edges, lambda b: F.coalesce(b <= x, F.lit(False)))))
+        levels.append((below + nulls).cast("long"))
     return levels
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -41,6 +42,24 @@ def test_shards(spark):
     assert order == sorted(order)
 
 
+def test_text_dimensions_are_levelled_by_whole_values(spark):
+    names = [f"https://{c}.org" for c in "abcdefgh"]
+    rows = [(i, names[i % 8] if i % 9 else None) for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    found = docs.withColumn("level", sharding.quantile_levels(docs, ["source"], 3)[0]).collect()
+    levels = {r.source: r.level for r in found}
+    assert all(levels[r.source] == r.level for r in found)
+    order = [None, *names]
+    # a level is the number of bounds at or below the value; bound i lies where i eighths of the rows are reached
+    held = Counter(r[1] for r in rows)
+    upto, bounds = 0, []
+    for value in order:
+        low, upto = upto, upto + held[value]
+        bounds += [order.index(value) for i in range(1, 8) if low * 8 < i * 720 <= upto * 8]
+    assert levels == {v: sum(b <= k for b in bounds) for k, v in enumerate(order)}
+    assert len(set(levels.values())) >= 7
+
+
 def test_shards_of_nothing(spark):
     assert sharding.hilbert_shards(spark.createDataFrame([], DOCS)).count() == 0
 
