@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclens.llm.common import read, ships
 
@@ -396,8 +397,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, key: str = "doc_id", text
 
     Null text is empty. A null key sorts first. Equal rows are one document and are judged alike; of
     rows with one key and different texts the one with the lower checksum is the earlier. Texts
-    shorter than ``length`` bytes have no spans. Other columns are not read.
+    shorter than ``length`` bytes have no spans. Other columns are not read. Keys must be whole numbers,
+    whose order says which document is earlier; others are a ``TypeError``.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number; number the documents first")
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_of = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
@@ -441,7 +445,7 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
 
     found = repeated_spans(docs, length, key, text).select("id", "body", "spans")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
-    own = F.when(F.col("id") != -(1 << 63), F.col("id")).alias(key)
+    own = F.when(F.col("id") != -(1 << 63), F.col("id")).cast(docs.schema[key].dataType).alias(key)
     return found.mapInArrow(run, schema).select(own, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
 
 

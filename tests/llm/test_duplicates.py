@@ -233,6 +233,15 @@ def test_repeats_of_odd_rows(spark):
     assert suffixes.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_keep_the_type_of_the_key(spark):
+    docs = spark.createDataFrame([(2, "ab" * 99), (1, "ab" * 99)], "doc_id int, text string")
+    found = suffixes.without_repeats(docs)
+    assert found.schema["doc_id"].dataType.simpleString() == "int"
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 196, 2: 198}
+    with pytest.raises(TypeError, match="whole number"):
+        suffixes.without_repeats(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+
+
 def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 500)
     rng = random.Random(9)
