@@ -24,8 +24,8 @@ _CHARACTER = re.compile(f"[{_UNSPACED}]")
 WIDTH = 5
 # Words of the shortest item that is looked for as a whole; a character of an unspaced script is half a word.
 LEAST = 3
-# Items in one broadcast index; more items are searched in blocks, each one pass over the documents.
-BLOCK = 200_000
+# Items, and bytes of their texts, in one broadcast index; more are searched in blocks, each one pass over the documents.
+BLOCK, BLOCK_BYTES = 200_000, 1 << 26
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,25 +131,22 @@ def contained_items(
     document. Candidates come from the MinHash index, then all shingles of the item are looked up.
     Word numbers stand for words, so a shingle code is exact up to a collision of 64 bits.
 
-    Documents are not shuffled. The index of ``block`` items is sent out once, some tens of MB; a
-    larger benchmark is cut into blocks by a hash of its key, one pass over the documents for each.
+    Documents are not shuffled. The index of ``block`` items and about ``BLOCK_BYTES`` of their texts is sent
+    out once; a larger benchmark is cut into blocks by a hash, one pass over the documents for each.
 
     Null and empty texts contain nothing and are found nowhere. Items of fewer than ``width`` words are
     not looked for, unless with ``short``: then all words of such an item are its one shingle, and items
     that are still not looked for (under ``LEAST`` words, which stand in clean documents too) give a row
-    each with null key and null containment. A null item key is kept.
+    each with null key and null containment. A null item key is kept. Item keys may be of any type that
+    casts to text and back (numbers, decimals, text, dates), document keys of any type.
     Repeated documents and items each give their rows. Other columns are not read.
     """
     sides = items.select(F.col(item_key), F.col(text))
-    blocks = max(1, ceil(sides.count() / block))
-    placed = sides.withColumn("_block", F.pmod(F.xxhash64(F.col(item_key), F.col(text)), F.lit(blocks)))
     narrow = docs.select(F.col(key), F.col(text))
     kind, item_kind = narrow.schema[0].dataType.simpleString(), sides.schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, shared int, shingles int, containment double"
+    schema = f"`{key}` {kind}, `{item_key}` {{}}, shared int, shingles int, containment double"
     found = None
-    for number in range(blocks):
-        rows = [(r[0], r[1]) for r in placed.filter(F.col("_block") == number).collect()]
-        index = Index(rows, threshold, width, short)
+    for index in _indexes(sides, block, threshold, width, short):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -163,7 +160,7 @@ def contained_items(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at, pa.int64())),
-                        pa.array([names[h[0]] for h in hits], names_type(names)),
+                        pa.array([names[h[0]] for h in hits], pa.string()),
                         pa.array(shared, pa.int32()),
                         pa.array(sizes, pa.int32()),
                         pa.array([a / b for a, b in zip(shared, sizes, strict=True)], pa.float64()),
@@ -171,9 +168,21 @@ def contained_items(
                     [key, item_key, "shared", "shingles", "containment"],
                 )
 
-        part = narrow.mapInArrow(search, schema)
+        part = narrow.mapInArrow(search, schema.format("string"))
+        part = part.withColumn(item_key, F.col(f"`{item_key}`").cast(item_kind))
         found = part if found is None else found.unionByName(part)
-    return found.unionByName(_unmatched(sides, width, schema)) if short else found
+    return found.unionByName(_unmatched(sides, width, schema.format(item_kind))) if short else found
+
+
+def _indexes(sides: DataFrame, block: int, threshold: float, width: int, short: bool) -> Iterator[Index]:
+    """The index of each block of (item key, text) rows; keys as text."""
+    key, text = (F.col(f"`{c}`") for c in sides.columns)
+    rows, size = sides.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = max(1, ceil(rows / block), ceil(size / BLOCK_BYTES))
+    placed = sides.select(key.cast("string"), text, F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("_block"))
+    for number in range(blocks):
+        found = placed.filter(F.col("_block") == number).collect()
+        yield Index([(r[0], r[1]) for r in found], threshold, width, short)
 
 
 def _unmatched(items: DataFrame, width: int, schema: str) -> DataFrame:
@@ -194,10 +203,6 @@ def _unmatched(items: DataFrame, width: int, schema: str) -> DataFrame:
     return names.select([made.get(f.name, nothing).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def names_type(names: list) -> pa.DataType:
-    return pa.string() if any(isinstance(n, str) for n in names) else pa.int64()
-
-
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, all their columns; see ``contained_items``.
 
@@ -206,11 +211,8 @@ def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     text = options.get("text", "text")
     threshold, width = options.get("threshold", 0.8), options.get("width", WIDTH)
     sides = items.select(F.col(options.get("item_key", "item_id")), F.col(text))
-    blocks = max(1, ceil(sides.count() / options.get("block", BLOCK)))
-    placed = sides.withColumn("_block", F.pmod(F.xxhash64(*sides.columns), F.lit(blocks)))
-    for number in range(blocks):
-        rows = [(r[0], r[1]) for r in placed.filter(F.col("_block") == number).collect()]
-        docs = docs.filter(_clean(Index(rows, threshold, width, options.get("short", False)))(F.col(text)))
+    for index in _indexes(sides, options.get("block", BLOCK), threshold, width, options.get("short", False)):
+        docs = docs.filter(_clean(index)(F.col(text)))
     return docs
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm.common import crc_mod, read, ships
@@ -24,6 +24,8 @@ WINDOW = 64
 HIDDEN = 8
 # Bounds of the labelled sample that is fitted on: documents of each language, windows of each document.
 SAMPLE, WINDOWS_EACH = 400, 8
+# Characters of a sampled text that come to the driver, the pieces a longer one gives, groups of the first ranking.
+SPAN, PIECES, GROUPS = 1 << 16, 32, 256
 PAD = 256
 # Windows that run side by side; bounds a task's memory whatever the length of a text.
 LANES = 2048
@@ -202,8 +204,8 @@ def fit(
     for text, language in rows:
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         windows, _ = cut(data, np.array([0]), np.array([len(data)]))
-        every = max(1, len(windows) // WINDOWS_EACH)
-        pools[languages.index(language)].append(windows[::every][:WINDOWS_EACH])
+        chosen = np.unique(np.linspace(0, max(0, len(windows) - 1), WINDOWS_EACH).astype(int))
+        pools[languages.index(language)].append(windows[chosen] if len(windows) else windows)
     lanes = [np.concatenate(pool) for pool in pools]
     usable = [k for k, pool in enumerate(lanes) if len(pool)]
     if not usable:
@@ -282,7 +284,7 @@ def fit_with_rejects(rows: list[tuple[str, str]], steps: int = 300, hidden: int
         places[language] += 1
         (fitted if places[language] % 5 else held).append((text, language))
     net = fit(fitted + rejects(fitted), steps, hidden=hidden)
-    clean = [text[: WINDOW * 64] for text, language in held if language != UNKNOWN]
+    clean = [spread(text, WINDOW * 64) for text, language in held if language != UNKNOWN]
     junk = [text for text, language in rejects(held, seed=7, shuffled=False) if language == UNKNOWN]
     if not clean or not junk or UNKNOWN not in net.languages:
         return net, 0.5
@@ -365,19 +367,46 @@ def rejects(
     return found
 
 
-def labelled_sample(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang"):
+def spread(text: str, length: int, pieces: int = PIECES) -> str:
+    """A text of at most ``length`` characters whole; of a longer one as many, in equal pieces evenly
+    spaced from its start to its end."""
+    if len(text) <= length:
+        return text
+    size = length // pieces
+    return "".join(text[at : at + size] for at in ((len(text) - size) * i // (pieces - 1) for i in range(pieces)))
+
+
+def spread_column(text: Column, length: int, pieces: int = PIECES) -> Column:
+    """``spread`` of a column, worked out before the text leaves its task."""
+    size, free = length // pieces, F.length(text).cast("long") - length // pieces
+    starts = [F.floor(free * i / (pieces - 1)).cast("int") + 1 for i in range(pieces)]
+    return F.when(F.length(text) <= length, text).otherwise(F.concat(*[text.substr(at, F.lit(size)) for at in starts]))
+
+
+def labelled_sample(
+    docs: DataFrame,
+    sample: int = SAMPLE,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    span: int = SPAN,
+) -> list[tuple[str, str]]:
     """At most ``sample`` (text, language) rows of each language, those of the smallest key hashes.
 
-    Rows whose key, text or language is null, or whose text is empty, teach nothing. The keys of the
-    rows are ranked, with a partial limit per language before the shuffle; then the chosen texts are
-    fetched. No more than ``WINDOWS_EACH`` windows' worth of a text is of use, so a text comes as its
-    first 64 KB.
+    Rows whose key, text or language is null, or whose text is empty, teach nothing. Keys are ranked in
+    two steps, within ``GROUPS`` groups of input partitions of a language and then among the
+    ``GROUPS * sample`` that are left, each with a partial limit before its shuffle, so no task's input
+    grows with the rows. The chosen texts are fetched; ``fit`` uses ``WINDOWS_EACH`` windows of a text, so
+    one of over ``span`` characters comes as that many in pieces ``spread`` over its whole length.
     """
     usable = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = usable.select(key, lang).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
-    chosen = F.broadcast(ids.select(F.col(key), "_rank"))
-    rows = usable.join(chosen, key).select(F.substring(text, 1, 65536).alias("_text"), F.col(lang).alias("_lang"), "_rank")
+    ids = usable.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), (F.spark_partition_id() % GROUPS).alias("_group"))
+    for names in (["_lang", "_group"], ["_lang"]):
+        order = Window.partitionBy(*names).orderBy(F.xxhash64("_key"), "_key")
+        ids = ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
+    chosen = F.broadcast(ids.select("_key", "_rank"))
+    rows = usable.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(chosen, "_key")
+    rows = rows.select(spread_column(F.col("_text"), span).alias("_text"), "_lang", "_rank")
     return [(r["_text"], r["_lang"]) for r in rows.orderBy("_lang", "_rank", "_text").collect()]
 
 

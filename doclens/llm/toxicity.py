@@ -9,7 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm.common import crc_mod, read, ships
@@ -19,6 +19,8 @@ ships(__name__)
 WORDS = re.compile(r"[^\W_]+")
 # Bound of the labelled sample that is fitted on: so many documents of either label.
 SAMPLE = 4000
+# Groups in which candidates for the sample are ranked first.
+GROUPS = 256
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
@@ -103,16 +105,19 @@ def labelled_sample(
 ) -> list[tuple[str, int]]:
     """At most ``sample`` texts of either label, those of the smallest key hashes.
 
-    Rows with a null key, or a label other than 0 and 1, teach nothing. Only keys are sorted; then
-    the chosen texts are fetched. Their order is that of the hash, so a repeat fits the same model.
+    Rows with a null key, or a label other than 0 and 1, teach nothing. Only keys are ranked, first in
+    ``GROUPS`` groups by a second hash, then the ``GROUPS * sample`` of a label that are left, so no task's
+    input grows with the rows; then the chosen texts are fetched. Their order is that of the hash, so a
+    repeat fits the same model.
     """
     marks = labels.select(F.col(key), F.col("toxic").cast("int").alias("_label")).filter("_label in (0, 1)").dropna()
     order = [F.xxhash64(key).alias("_order"), F.col(key), F.col("_label")]
     ids = docs.select(key).filter(F.col(key).isNotNull()).join(marks, key).select(*order).distinct()
-    chosen = None
-    for label in (0, 1):
-        part = ids.filter(F.col("_label") == label).orderBy("_order", key).limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = ids.withColumn("_group", F.pmod(F.xxhash64(F.lit("group"), key), F.lit(GROUPS)))
+    for names in (["_label", "_group"], ["_label"]):
+        order = Window.partitionBy(*names).orderBy("_order", key)
+        chosen = chosen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
+    chosen = chosen.drop("_group", "_rank")
     rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).orderBy("_order", key, "_text")
     return [(r["_text"], r["_label"]) for r in rows.select("_text", "_label").collect()]
 

@@ -208,3 +208,51 @@ def test_short_items_and_scripts_without_spaces(spark):
         assert sorted(r.item_id for r in found if r.containment is None and r.doc_id is None) == [3, 4, 5, 7]
         kept = {r.doc_id for r in decontaminate.without_items(d, b, short=True, block=block).collect()}
         assert kept == {3, 4, 6, 9, 10, 11}
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(20,2)", "string", "date"])
+def test_keys_of_any_type(spark, kind):
+    cast = f"cast(date_add(date'2020-01-01', cast(id as int)) as {kind})" if kind == "date" else f"cast(id as {kind})"
+    docs = spark.range(3).selectExpr(f"{cast} AS doc_id", "'one two three four five six' AS text")
+    items = spark.range(2).selectExpr(f"{cast} AS item_id", "if(id = 0, 'two three four five six', 'no') AS text")
+    found = decontaminate.contained_items(docs, items, short=True)
+    assert [found.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")] == [kind, kind]
+    names = [r[0] for r in docs.select("doc_id").collect()]
+    rows = [(r.doc_id, r.item_id, r.containment) for r in found.collect()]
+    assert sorted(rows, key=str) == sorted([(n, names[0], 1.0) for n in names] + [(None, names[1], None)], key=str)
+
+
+def test_items_are_cut_into_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    items = spark.range(12).selectExpr("id AS item_id", "concat('a', id, ' b c d e', id) AS text")
+    docs = spark.range(12).selectExpr("id AS doc_id", "concat('x a', id, ' b c d e', id, ' y') AS text")
+    indexes = list(decontaminate._indexes(items, 1000, 0.8, 5, False))
+    assert len(indexes) >= 4 and sum(len(i.names) for i in indexes) == 12
+    found = decontaminate.contained_items(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(12)]
+
+
+def test_labelled_sample_takes_the_smallest_hashes_and_whole_texts(spark):
+    long = "".join(chr(97 + i // 4000) for i in range(80_000))
+    rows = [(i, long if i == 7 else f"t{i}", ("a", "b", None)[i % 3]) for i in range(300)] + [(None, "x", "a"), (301, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(11)
+    hashes = dict(map(tuple, docs.selectExpr("doc_id", "xxhash64(doc_id)").collect()))
+    text = {r[0]: r[1] for r in rows}
+    wanted = []
+    for lang in "ab":
+        ids = sorted((r[0] for r in rows if r[2] == lang and r[0] is not None and r[1]), key=lambda k: (hashes[k], k))
+        wanted += [(text[k], lang) for k in ids[:9]]
+    assert language.labelled_sample(docs, sample=9) == wanted
+    found = [t for t, _ in language.labelled_sample(docs, sample=400, span=3200) if t[0] != "t"]
+    assert found == [language.spread(long, 3200)] and len(found[0]) == 3200
+    assert set(found[0]) == set(long) and found[0].startswith("a") and found[0].endswith(long[-1])
+
+
+def test_toxicity_sample_takes_the_smallest_hashes(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('t', id) AS text").repartition(7)
+    labels = spark.range(400).selectExpr("id AS doc_id", "cast(id % 3 AS int) AS toxic")
+    hashes = dict(map(tuple, docs.selectExpr("doc_id", "xxhash64(doc_id)").collect()))
+    wanted = []
+    for label in (0, 1):
+        wanted += [(hashes[k], f"t{k}", label) for k in sorted((k for k in range(400) if k % 3 == label), key=hashes.get)[:20]]
+    assert toxicity.labelled_sample(docs, labels, sample=20) == [(t, label) for _, t, label in sorted(wanted)]
