@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions.text import joined, word_terms
-from doclens.operators import evaluation, sparse
+from doclens.operators import cooccurrence, evaluation, sparse
 from doclens.operators.clustering import choose_k, kmeans_fit
 from doclens.operators.dense import capped_tokens, embed_documents, fit_embedding
 from doclens.operators.lengths import filter_length
@@ -67,10 +67,17 @@ def tfidf_features(
     return model.transform(docs).drop("_counts", "_scaled")
 
 
-def dense_features(docs: DataFrame, size: int = 64, most_common: int = 20_000, seed: int = 0) -> DataFrame:
-    """Add dense ``features``: mean word vectors learnt from the training split."""
+def dense_features(
+    docs: DataFrame, size: int = 64, most_common: int = 20_000, seed: int = 0, repeatable: bool = False
+) -> DataFrame:
+    """Add dense ``features``: mean word vectors learnt from the training split, by the library's Word2Vec
+    or, ``repeatable``, by ``cooccurrence.fit_vectors``, which gives every run the same bits."""
     train, _ = split_train_test(docs)
     vocab = written(build_vocab(symbol_counts(docs), most_common=most_common), "vocab")
+    if repeatable:
+        capped = written(capped_tokens(docs, vocab), "capped")
+        vectors = cooccurrence.fit_vectors(split_train_test(capped)[0], size, seed=seed)
+        return cooccurrence.mean_vectors(capped, vectors).withColumn("features", array_to_vector("vec")).drop("vec")
     model = fit_embedding(capped_tokens(train, vocab), size, seed=seed)
     embedded = embed_documents(capped_tokens(docs, vocab), model)
     return embedded.withColumn("features", array_to_vector("vec")).drop("vec")

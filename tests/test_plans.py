@@ -35,6 +35,16 @@ def test_report_finds_the_themes(spark):
     assert scores["hit_rate"] == 10 / 12
 
 
+def test_repeatable_dense_features(spark):
+    one, two = (
+        sorted((r["doc_id"], r["features"].toArray().tolist()) for r in P.dense_features(docs, 6, repeatable=True).collect())
+        for docs in (P.prepare(themed(spark)), P.prepare(themed(spark).repartition(5)))
+    )
+    assert one == two and len(one) == 60
+    rep = P.report(P.dense_features(P.prepare(themed(spark)), 6, repeatable=True), k=2, seed=1)
+    assert {r["label"] for r in P.cluster_labels(rep).filter("rank = 1").collect()} == {"animals", "goods"}
+
+
 def test_compare_all(spark):
     stop = spark.createDataFrame([("cat",), ("grain",)], "term string")
     reports, pairs = P.compare_all(themed(spark), k=2, max_features=100, stop_words=stop)

@@ -5,13 +5,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from doclens.operators import batches as B
+from doclens.operators import cooccurrence as K
 from doclens.operators import dense as D
 from doclens.operators import runlog as G
 from doclens.operators import sparse
 from doclens.operators import vocab as V
 from doclens.operators.weights import fit_tfidf
 from doclens.plans import training_input
-from doclens.session import scratch_path
+from doclens.session import scratch_path, written
 from doclens.sources import corpus as S
 from doclens.sources import sgml, tables
 from doclens.streaming import jobs
@@ -231,6 +232,68 @@ def embed_documents(spark, sf):
     )
 
 
+PAIRS = """pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS n
+    FROM (SELECT doc_id, pos, id, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS d FROM enc) x
+    JOIN enc y ON y.doc_id = x.doc_id AND y.pos = x.pos + x.d GROUP BY x.id, y.id),
+sums AS (SELECT a, sum(n)::BIGINT AS s FROM pairs GROUP BY a),
+info AS (SELECT p.a, p.b, p.n, greatest(0.0, ln(p.n::DOUBLE * (SELECT sum(s)::BIGINT FROM sums) / (x.s::DOUBLE * y.s))) AS info
+    FROM pairs p JOIN sums x ON x.a = p.a JOIN sums y ON y.a = p.b)"""
+
+
+@R.add(
+    "cooccurrence",
+    f"WITH {C.corpus_sql(300)}, {PAIRS} SELECT a, b, n, round(info, 9) AS info FROM info",
+)
+def cooccurrence(spark, sf):
+    tokens = C.tokenised(spark, sf)
+    ids = V.encode(tokens, C.vocabulary(tokens, 300))
+    pairs = written(K.cooccurrences(ids, tokens="ids"), "pairs")
+    return K.information(pairs).withColumn("info", F.round("info", 9))
+
+
+def _few_symbols(spark, sf):
+    """Ids of 40 symbols, their information, and vectors of full rank: these give each value back."""
+    tokens = C.tokenised(spark, sf)
+    ids = written(V.encode(tokens, C.vocabulary(tokens, 40)).select("doc_id", "ids"), "ids")
+    info = written(K.information(written(K.cooccurrences(ids, tokens="ids"), "pairs")), "information")
+    return ids, info, K.factorise(info, 48, seed=2)
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+@R.add(
+    "cooccurrence_vectors",
+    f"WITH {C.corpus_sql(40)}, {PAIRS} SELECT a, b, n, round(info, 9) AS info, true AS recovered FROM info",
+)
+def cooccurrence_vectors(spark, sf):
+    """Every value of the table of information, from the factors."""
+    _, info, vectors = _few_symbols(spark, sf)
+    left = vectors.select(F.col("symbol").alias("a"), "vec")
+    both = info.join(left, "a", "left").join(vectors.select(F.col("symbol").alias("b"), "context"), "b", "left")
+    near = F.abs(F.coalesce(_dot("vec", "context"), F.lit(0.0)) - F.col("info")) < 1e-3
+    return both.select("a", "b", "n", F.round("info", 9).alias("info"), near.alias("recovered"))
+
+
+@R.add(
+    "embed_cooccurrence",
+    f"WITH {C.corpus_sql(40)}, {PAIRS} SELECT t.doc_id, round(coalesce(avg(coalesce(i.info, 0)) FILTER (e.id IS NOT NULL), 0), 6) "
+    "AS mean_info, true AS agrees FROM tokens t LEFT JOIN enc e USING (doc_id) LEFT JOIN (SELECT a, info FROM info WHERE b = 5) i "
+    "ON i.a = e.id GROUP BY t.doc_id",
+)
+def embed_cooccurrence(spark, sf):
+    """A document vector times the context of the commonest symbol: the mean information of its tokens with it."""
+    ids, info, vectors = _few_symbols(spark, sf)
+    common = info.filter("b = 5").select("a", "info")
+    said = ids.select("doc_id", F.explode_outer("ids").alias("a")).join(common, "a", "left")
+    means = said.groupBy("doc_id").agg(F.avg(F.coalesce("info", F.lit(0.0))).alias("mean_info"))
+    context = F.array(*[F.lit(x) for x in vectors.filter("symbol = 5").first()["context"]])
+    found = K.mean_vectors(ids, vectors, "ids").withColumn("context", context).join(means, "doc_id")
+    agrees = F.abs(_dot("vec", "context") - F.col("mean_info")) < 1e-3
+    return found.select("doc_id", F.round("mean_info", 6).alias("mean_info"), agrees.alias("agrees"))
+
+
 @R.add(
     "score_model",
     f"WITH {C.corpus_sql()}, {BUCKETED}, padded AS (SELECT doc_id, bucket_id, size, list_concat(list_resize([]::INTEGER[], size - n, 4), ids) AS e "
