@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -128,6 +129,18 @@ def test_large_groups_of_near_copies(spark):
     assert sorted(r.doc_id for r in kept) == wanted
 
 
+def _signed(text):
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _paragraphs(text):
+    """Digests of the paragraphs of a text by the rule of ``fingerprint.paragraphs``."""
+    runs = re.sub("[。！？]|[^ \\t\\n\\x0b\\f\\r。！？]{64}", "\\g<0>\n", text)
+    marked = " ".join(w + "\n" if _signed(w) % 16 == 0 else w for w in runs.split(" "))
+    return {_signed(p.strip(" ")) for p in marked.split("\n") if p.strip(" ")}
+
+
 def test_versions_brute_force(spark):
     rng = random.Random(3)
     lines = [f"line {i} é𝄞" for i in range(40)]
@@ -138,8 +151,8 @@ def test_versions_brute_force(spark):
     order = sorted(rows, reverse=True)
 
     def like(a, b):
-        a, b = ({x for x in t.split("\n") if x} for t in (a, b))
-        return len(a & b) / len(a | b) if a | b else 1.0
+        a, b = _paragraphs(a), _paragraphs(b)
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
     for place, (key, text) in enumerate(order):
         after = order[(place + 1) % len(order)][1]
@@ -150,6 +163,48 @@ def test_versions_brute_force(spark):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r.near_edited - like(text, edited)) < 1e-12
         assert abs(r.near_next - like(text, after)) < 1e-12
+        old, new = _paragraphs(text), _paragraphs(edited)
+        assert (r.gone, r.new) == (sorted(old - new), sorted(new - old))
+
+
+def test_one_line_with_an_edited_tail(spark):
+    """A line of 300 words, a run without spaces and a text in a script without spaces: cut below the line."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(9_000)}" for _ in range(300)]
+    run = "".join(rng.choices("abcdef0123456789", k=6_000))
+    unspaced = "".join("。" if rng.random() < 0.1 else rng.choice("的一是不了人我在有他") for _ in range(900))
+    rows = [(1, " ".join(words), " ".join(words[:290] + ["a", "b"])), (2, " ".join(words), " ".join(["in", "front", *words]))]
+    rows += [(3, run, run[:4_000] + "x" * 2_000), (4, unspaced, unspaced[:600] + "人" * 300)]
+    rows += [(5, " ".join(words), " ".join(words[:200]) + " " + " ".join(f"v{i}" for i in range(100)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, edited string")
+    found = fingerprint.compare_versions(frame.withColumn("next_digests", F.array().cast("array<bigint>"))).collect()
+    assert len(found) == 5
+    assert all(0.5 < r.near_edited < 1 and r.near_next == 0 for r in found)
+    assert all(r.near_edited > 0.8 for r in found if r.doc_id < 3)
+
+
+def test_stored_fingerprints_give_the_digests(spark):
+    """Two fingerprints, read back from text and without the texts, give what differs or say they cannot."""
+    rng = random.Random(9)
+    lines = [f"line number {i}" for i in range(500)]
+    pairs = [("\n".join(lines), "\n".join(lines[:250] + ["put in"] + lines[251:])), ("", ""), ("a\nb", "a\nb")]
+    pairs += [("\n".join(lines[:97]), "\n".join(lines[:95])), ("\n".join(lines[:400]), "\n".join(lines[:380]))]
+    pairs += [("\n".join(lines[:200]), "\n".join(f"other {rng.random()}" for _ in range(200)))]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a string, b string")
+
+    def form(name):
+        return fingerprint.text_form(fingerprint.fingerprint(fingerprint.paragraphs(F.col(name))))
+
+    stored = frame.select("id", form("a").alias("a"), form("b").alias("b"))
+    read = stored.select("id", *[fingerprint.from_text(F.col(c)).alias(c) for c in "ab"])
+    found = {r.id: r.d for r in read.select("id", fingerprint.difference(F.col("a"), F.col("b")).alias("d")).collect()}
+    for i, (a, b) in enumerate(pairs[:-1]):
+        a, b = _paragraphs(a), _paragraphs(b)
+        assert (set(found[i].gone), set(found[i].new)) == (a - b, b - a)
+        assert len(found[i].gone) == len(a - b) and len(found[i].new) == len(b - a)
+    assert found[len(pairs) - 1] is None
+    sizes = stored.select(F.length(F.unbase64("a"))).collect()
+    assert sizes[0][0] > sizes[2][0]
 
 
 def test_versions_of_odd_rows(spark):
