@@ -21,7 +21,7 @@ WIDTHS = (4, 8, 16, 32, 64)
 CELLS = 3 * WIDTHS[0]
 # Paragraphs that a stratum of a fingerprint holds, three to six of them.
 STRATUM = 6
-# A line is cut after one word in so many, chosen by the word's hash, and in runs without white space so long.
+# A line is cut after one word in so many, chosen by the word's hash, and a longer word into runs of so many characters.
 CUT_WORDS, CUT_RUN = 16, 64
 ROUNDS = 12
 # Hexadecimal digits of a cell as text: count, XOR of digests, XOR of checks.
@@ -33,17 +33,18 @@ _NONE = "array<bigint>"
 def paragraphs(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text: its lines, long ones cut by their own content.
 
-    A line is cut after each word whose hash is a multiple of 16, so an edit moves no cut beyond the words
-    it touches; in runs of characters without white space after every 64, and after a full stop, an
-    exclamation or a question mark of scripts without spaces. Spaces at the ends of a paragraph do not
-    count, empty paragraphs are none.
+    A line is cut after each word (what single spaces part) whose hash is a multiple of 16, so an edit moves
+    no cut beyond the words it touches. A word of over 64 characters, as scripts without spaces and encoded
+    data have, is cut at white space, after full stops, exclamation and question marks of such scripts, and
+    after 64 characters without any. Spaces at the ends of a paragraph do not count, empty ones are none.
     """
-    runs = F.regexp_replace(text, f"[。！？]|[^\\s。！？]{{{CUT_RUN}}}", "$0\n")
 
     def mark(word: Column) -> Column:
-        return F.when(F.pmod(F.xxhash64(word), F.lit(CUT_WORDS)) == 0, F.concat(word, F.lit("\n"))).otherwise(word)
+        runs = F.regexp_replace(word, f"[^\\s。！？]{{1,{CUT_RUN}}}[。！？]*", "$0\n")
+        chosen = F.pmod(F.xxhash64(word), F.lit(CUT_WORDS)) == 0
+        return F.when(F.length(word) > CUT_RUN, runs).when(chosen, F.concat(word, F.lit("\n"))).otherwise(word)
 
-    marked = F.array_join(F.transform(F.split(runs, " "), mark), " ")
+    marked = F.array_join(F.transform(F.split(text, " "), lambda word: mark(word)), " ")
     pieces = F.filter(F.transform(F.split(marked, "\n"), lambda piece: F.trim(piece)), lambda piece: piece != "")
     return F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece)))
 

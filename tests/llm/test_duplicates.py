@@ -136,8 +136,13 @@ def _signed(text):
 
 def _paragraphs(text):
     """Digests of the paragraphs of a text by the rule of ``fingerprint.paragraphs``."""
-    runs = re.sub("[。！？]|[^ \\t\\n\\x0b\\f\\r。！？]{64}", "\\g<0>\n", text)
-    marked = " ".join(w + "\n" if _signed(w) % 16 == 0 else w for w in runs.split(" "))
+
+    def mark(word):
+        if len(word) > 64:
+            return re.sub("[^ \\t\\n\\x0b\\f\\r。！？]{1,64}[。！？]*", "\\g<0>\\n", word)
+        return word + "\n" if _signed(word) % 16 == 0 else word
+
+    marked = " ".join(map(mark, text.split(" ")))
     return {_signed(p.strip(" ")) for p in marked.split("\n") if p.strip(" ")}
 
 
