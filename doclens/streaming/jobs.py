@@ -51,12 +51,25 @@ def _scored(docs: DataFrame, nearest) -> DataFrame:
 def read_document_stream(
     spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None
 ) -> DataFrame:
+    """The files of a folder that match ``glob``. For one table, a file or a folder of files, see
+    ``read_table_stream``."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """One table as a stream: a file, or all files of a folder. The last part of the path is given as a pattern
+    that matches nothing but itself, as a stream takes a plain path for a folder; a filter on file names would
+    leave out the files of a table that is a folder."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.parquet(f"{folder}/{{{name}}}")
+
+
 def stream_score(
     stream: DataFrame, model: TfidfModel, centroids: list[list[float]] | DataFrame, path: str, checkpoint: str, k: int = 0
 ) -> DataStreamWriter:

@@ -327,8 +327,8 @@ def score_model(spark, sf):
 
 
 def _stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    return jobs.read_document_stream(spark, sf, schema, "documents.parquet")
+    path = f"{sf}/documents.parquet"
+    return jobs.read_table_stream(spark, path, spark.read.parquet(path).schema)
 
 
 @R.add("stream_symbol_counts", f"WITH {C.TOKENS}, {C.FLAT}, {C.COUNTS} SELECT symbol, n FROM counts")

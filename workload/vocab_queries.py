@@ -69,8 +69,8 @@ def encode_by_blocks(spark, sf):
     """A stream of documents, its rare symbols looked up in a sorted file."""
     tokens = C.tokenised(spark, sf)
     vocab = C.vocabulary(tokens, None)
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = V.with_tokens(jobs.read_document_stream(spark, sf, schema, "documents.parquet"))
+    path = f"{sf}/documents.parquet"
+    stream = V.with_tokens(jobs.read_table_stream(spark, path, spark.read.parquet(path).schema))
     path = scratch_path(spark, "stream-ids")
     encoded = V.encode(stream, vocab, max_symbols=1000).select("doc_id", F.array_join("ids", " ").alias("ids"))
     writer = encoded.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
