@@ -38,3 +38,10 @@ def test_table_stream_takes_one_table(spark, tmp_path):
         writer.trigger(availableNow=True).start().awaitTermination()
         found.append(sorted(r["id"] for r in spark.read.parquet(out).collect()))
     assert found == [list(range(40)), sorted(r["id"] for r in spark.read.parquet(str(file)).collect())]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_word_vectors_are_added_as_rows(spark):
+    """A row per word of a document, not one per number of its vector."""
+    plan = contract.queries()["embed_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan

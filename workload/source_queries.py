@@ -10,7 +10,7 @@ from doclens.operators import dense as D
 from doclens.operators import runlog as G
 from doclens.operators import sparse
 from doclens.operators import vocab as V
-from doclens.operators.weights import fit_tfidf
+from doclens.operators.weights import fit_tfidf, term_counts
 from doclens.plans import training_input
 from doclens.session import scratch_path, written
 from doclens.sources import corpus as S
@@ -212,23 +212,25 @@ def nan_abort(spark, sf):
 
 @R.add("embed_documents", "SELECT doc_id, 32 AS dims, true AS is_mean FROM documents")
 def embed_documents(spark, sf):
-    """Document vectors against the mean of their words' vectors, joined word by word."""
-    tokens = C.tokenised(spark, sf)
+    """Document vectors against the mean of their words' vectors, joined word by word.
+
+    Tokens are made once and written, with ids once. Words are counted in the row, and a word's vector is
+    joined and added as one row: a task adds up a document before anything is shuffled."""
+    tokens = written(C.tokenised(spark, sf), "tokens")
     vocab = C.vocabulary(tokens)
-    capped = D.capped_tokens(tokens, vocab)
+    capped = written(D.capped_tokens(tokens, vocab), "capped")
     model = D.fit_embedding(capped, 32, seed=1)
-    words = model.getVectors().select(F.col("word"), vector_to_array("vector").alias("_v"))
-    said = capped.select("doc_id", F.size("tokens").alias("_n"), F.explode("tokens").alias("word"))
-    sums = said.join(words, "word").select("doc_id", "_n", F.posexplode("_v").alias("_at", "_x"))
-    means = sums.groupBy("doc_id", "_at").agg((F.sum("_x") / F.first("_n")).alias("_mean"))
-    wanted = means.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_mean"))).alias("_wanted"))
+    # As many rows as the vocabulary.
+    words = F.broadcast(model.getVectors().select(F.col("word"), vector_to_array("vector").alias("_v")))
+    said = term_counts(capped, "tokens", "word").join(words, "word")
+    sums = said.groupBy("doc_id").agg(*[F.sum(F.col("n") * F.get("_v", i)).alias(f"_s{i}") for i in range(32)])
+    wanted = sums.select("doc_id", F.array(*[F.col(f"_s{i}") for i in range(32)]).alias("_sums"))
     found = D.embed_documents(capped, model).join(wanted, "doc_id", "left")
-    near = F.forall(
-        F.zip_with("vec", "_wanted", lambda x, w: F.abs(x - F.coalesce(w["_mean"], F.lit(0.0))) < 1e-6), lambda ok: ok
-    )
+    size = F.size("tokens")
+    near = F.forall(F.zip_with("vec", "_sums", lambda x, total: F.abs(x - total / size) < 1e-6), lambda ok: ok)
     zero = F.forall("vec", lambda x: x == 0)
     return found.select(
-        "doc_id", F.size("vec").alias("dims"), F.when(F.col("_wanted").isNull(), zero).otherwise(near).alias("is_mean")
+        "doc_id", F.size("vec").alias("dims"), F.when(F.col("_sums").isNull(), zero).otherwise(near).alias("is_mean")
     )
 
 
