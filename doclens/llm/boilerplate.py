@@ -45,7 +45,7 @@ def drop_boilerplate(
     (the kept lines), ``n_lines``, ``n_dropped``. A line must stand on ``least`` pages of the host at
     least, so hosts of one or two pages lose nothing. A line repeated in a page counts that page once.
 
-    The line hashes of each page are written once. What is shuffled for the counts is (host, line hash) with partial sums, so a line on a third of all
+    The lines of each page and their hashes are made and written once. What is shuffled for the counts is (host, line hash) with partial sums, so a line on a third of all
     pages is one row per task. The frequent lines come back to their pages as hashes; texts are moved
     once, in the join by page. A hash is 128 bits (two seeds), equal hashes are taken as equal lines.
 
@@ -58,9 +58,10 @@ def drop_boilerplate(
 
     body = F.coalesce(F.col(lines), F.array().cast("array<string>"))
     narrow = pages.select(F.col(key), F.col(host), body.alias("_lines"))
-    known = narrow.filter(F.col(host).isNotNull())
-    hashes = known.select(F.col(key), F.col(host), F.array_distinct(F.transform("_lines", digest)).alias("_hashes"))
-    marks = written(hashes, "lines").select(key, host, F.explode("_hashes").alias("_line"))
+    hashes = F.array_distinct(F.transform("_lines", digest))
+    stored = written(narrow.withColumn("_hashes", F.when(F.col(host).isNotNull(), hashes)), "lines")
+    narrow, known = stored.select(key, host, "_lines"), stored.filter(F.col(host).isNotNull())
+    marks = known.select(key, host, F.explode("_hashes").alias("_line"))
     totals = known.groupBy(host).agg(F.count(F.lit(1)).alias("_pages"))
     counts = marks.groupBy(host, "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     frequent = counts.join(totals, host).filter(F.col("_n") > ratio * F.col("_pages"))

@@ -129,3 +129,13 @@ def test_html_lines(spark):
     df = spark.createDataFrame([(html, "https://u@A.Example.org:80/x"), (None, None), ("", "nohost")], "html string, url string")
     rows = df.select(boilerplate.html_lines(df.html).alias("x"), boilerplate.host_of(df.url).alias("h")).collect()
     assert [(r.x, r.h) for r in rows] == [(["a bc", "d"], "a.example.org"), ([], None), ([], None)]
+
+
+def test_lines_are_made_once(spark, tmp_path):
+    """The frame that comes back reads the written lines: the pages are not parsed a second time."""
+    path = str(tmp_path / "pages.parquet")
+    rows = [(i, f"http://h{i % 2}/", f"<p>same</p><p>own {i}</p>") for i in range(8)] + [(8, None, "<p>same</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    found = boilerplate.query(spark, str(tmp_path))
+    assert not any(file.startswith(f"file://{path}") for file in found.inputFiles())
+    assert {r.page_id: r.text for r in found.collect()} == {i: f"own {i}" for i in range(8)} | {8: "same"}
