@@ -64,14 +64,21 @@ def icf_tfidf(
     size of the vocabulary: up to the broadcast limit the weights are broadcast,
     otherwise only those of terms that are frequent among the rows are.
     """
+    broadcast = max_terms is not None and max_terms <= MAX_BROADCAST_ROWS
+    runs = docs.select(key, arrays.run_lengths(F.col(values)).alias("_runs"))
+    if counts is None or not broadcast:
+        # Counted in the row once: the corpus counts and the lookups below read the runs.
+        runs = written(runs, "runs")
+    freqs = unnest(runs, [key], F.col("_runs"), "_run").select(
+        key, F.col("_run.value").alias(name), F.col("_run.n").alias("n")
+    )
     if counts is None:
         # Read more than once below; one vocabulary-sized table instead of several corpus passes.
-        counts = written(corpus_counts(docs, values, name), "counts")
+        counts = written(freqs.groupBy(name).agg(F.sum("n").alias("n")), "counts")
     weights = icf_weights(counts, name)
     size = F.lit(float(dims)) if dims else counts.agg(F.count(F.lit(1)).cast("double")).scalar()
-    freqs = term_counts(docs, values, name, key)
     table = weights.select(name, "icf")
-    if max_terms is not None and max_terms <= MAX_BROADCAST_ROWS:
+    if broadcast:
         joined = freqs.join(F.broadcast(table), name, "left")
     else:
         joined = skew_safe_lookup(freqs, table, name)

@@ -53,11 +53,12 @@ def corpus(
 ) -> Corpus:
     """Encoded training and test documents, and the vocabulary counted over both.
 
-    Two passes over the documents: one counts, one encodes. Vocabulary and encoded
-    documents are written to the shared folder, the latter in a folder per split, so
-    batching reads ids of one split and never tokenises again.
+    Documents are read and tokenised once and the tokens written; one pass over these counts, one
+    encodes. Vocabulary and encoded documents are written to the shared folder, the latter in a folder
+    per split, so batching reads ids of one split and never tokenises again.
     """
     tokens = docs if "tokens" in docs.columns else with_tokens(docs, level)
+    tokens = written(tokens.select("doc_id", "tokens", "topics", "split"), "tokens")
     vocab = written(build_vocab(symbol_counts(tokens), min_reps, most_common), "vocab")
     encoded = encode(tokens, vocab).select("doc_id", "ids", "topics", "split")
     train, test = split_train_test(written(encoded, "encoded", ["split"]))

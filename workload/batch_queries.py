@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from doclens.operators import batches as B
 from doclens.operators import lengths as L
 from doclens.operators import vocab as V
+from doclens.session import written
 from workload import common as C
 from workload.common import Registry
 from workload.text_queries import BUCKETED
@@ -55,9 +56,9 @@ def batch_bucket(spark, sf):
     "FROM short JOIN sized USING (batch)",
 )
 def pad_and_bucket(spark, sf):
-    tokens = C.tokenised(spark, sf)
+    tokens = C.tokenised_once(spark, sf)
     docs = V.encode(L.filter_encodable(tokens), C.vocabulary(tokens)).select("doc_id", "ids")
-    padded = B.pad_and_bucket(docs.withColumn("batch", F.floor(F.col("doc_id") / 4)))
+    padded = B.pad_and_bucket(written(docs, "encoded").withColumn("batch", F.floor(F.col("doc_id") / 4)))
     return padded.select("doc_id", "batch", F.array_join("encoder", " ").alias("encoder"))
 
 
@@ -95,7 +96,8 @@ _SAMPLE = (
 
 @R.add("sample_batch", f"{_BASE}, {_STATS}, {_STEPS}, {_SAMPLE} SELECT step, slot, bucket_id, doc_id FROM sampled")
 def sample_batch(spark, sf):
-    sampled = B.sample_batches(bucketed_lengths(spark, sf), 500, 32, 3)
+    # Read for the shares, the numbers and the drawn rows: texts are tokenised once.
+    sampled = B.sample_batches(written(bucketed_lengths(spark, sf), "lengths"), 500, 32, 3)
     return sampled.select("step", "slot", "bucket_id", "doc_id")
 
 

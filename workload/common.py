@@ -54,13 +54,19 @@ def tokenised(spark: SparkSession, sf: str, level: str = "word") -> DataFrame:
     return with_tokens(docs, level).select("doc_id", "tokens")
 
 
+def tokenised_once(spark: SparkSession, sf: str) -> DataFrame:
+    """``tokenised``, written: for queries that read the tokens more than once."""
+    return written(tokenised(spark, sf), "tokens")
+
+
 def vocabulary(tokens: DataFrame, most_common: int | None = CAP, min_reps: int = 1) -> DataFrame:
     return written(build_vocab(symbol_counts(tokens), min_reps, most_common), "vocab")
 
 
 def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Encoded documents (doc_id, ids), written once, and their vocabulary."""
-    tokens = tokenised(spark, sf)
+    """Encoded documents (doc_id, ids), written once, and their vocabulary. Tokens are made once and
+    written, for the counts and for the ids."""
+    tokens = tokenised_once(spark, sf)
     vocab = vocabulary(tokens)
     return written(encode(tokens, vocab).select("doc_id", "ids"), "encoded"), vocab
 
@@ -68,7 +74,7 @@ def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def encoded_short(spark: SparkSession, sf: str) -> DataFrame:
     """Encoded documents that fit a bucket. Tokens are made once and written, for the counts and for the
     ids. An id array is as long as its tokens, so the others are left out before they are encoded."""
-    tokens = written(tokenised(spark, sf), "tokens")
+    tokens = tokenised_once(spark, sf)
     short = tokens.filter(F.size("tokens") < BUCKETS[-1])
     return written(encode(short, vocabulary(tokens)).select("doc_id", "ids"), "encoded")
 

@@ -216,7 +216,7 @@ def embed_documents(spark, sf):
 
     Tokens are made once and written, with ids once. Words are counted in the row, and a word's vector is
     joined and added as one row: a task adds up a document before anything is shuffled."""
-    tokens = written(C.tokenised(spark, sf), "tokens")
+    tokens = C.tokenised_once(spark, sf)
     vocab = C.vocabulary(tokens)
     capped = written(D.capped_tokens(tokens, vocab), "capped")
     model = D.fit_embedding(capped, 32, seed=1)

@@ -53,13 +53,13 @@ def vocab_level(spark, sf):
 
 @R.add("encode", f"WITH {C.corpus_sql()} SELECT doc_id, pos::INTEGER AS pos, id FROM enc")
 def encode(spark, sf):
-    tokens = C.tokenised(spark, sf)
+    tokens = C.tokenised_once(spark, sf)
     return unnest(V.encode(tokens, C.vocabulary(tokens)), ["doc_id"], F.col("ids"), "pos", "id")
 
 
 @R.add("encode_by_join", f"WITH {C.corpus_sql(None)} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")
 def encode_by_join(spark, sf):
-    tokens = C.tokenised(spark, sf)
+    tokens = C.tokenised_once(spark, sf)
     vocab = C.vocabulary(tokens, None)
     return V.encode_by_join(tokens, vocab, capacity=1000).select("doc_id", F.array_join("ids", " ").alias("ids"))
 

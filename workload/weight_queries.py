@@ -117,6 +117,11 @@ def terms(spark, sf):
     )
 
 
+def terms_once(spark, sf):
+    """``terms``, written: for queries that fit on them and weigh them."""
+    return written(terms(spark, sf), "terms")
+
+
 @R.add("tfidf_fit", f"{tfidf_sql(2000)} SELECT term, idx, df, n, round(idf, 6) AS idf FROM fitted")
 def tfidf_fit(spark, sf):
     train, _ = V.split_train_test(terms(spark, sf))
@@ -137,7 +142,7 @@ def tfidf_fit_uncapped(spark, sf):
     f"{tfidf_sql(2000)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit WHERE split = 'test'",
 )
 def tfidf_transform(spark, sf):
-    train, test = V.split_train_test(terms(spark, sf))
+    train, test = V.split_train_test(terms_once(spark, sf))
     model = W.fit_tfidf(train, max_features=2000)
     return model.exploded(test).withColumn("weight", F.round("weight", 6))
 
@@ -147,7 +152,7 @@ def tfidf_transform(spark, sf):
     f"{tfidf_sql(2000, 0)} SELECT doc_id, idx, round(w, 6) AS weight FROM unit WHERE split = 'train'",
 )
 def tfidf_smooth(spark, sf):
-    train, _ = V.split_train_test(terms(spark, sf))
+    train, _ = V.split_train_test(terms_once(spark, sf))
     model = W.fit_tfidf(train, max_features=2000, idf="smooth")
     return model.exploded(train).withColumn("weight", F.round("weight", 6))
 
@@ -161,7 +166,7 @@ _STOP = "AND term NOT IN (SELECT DISTINCT lower(b) FROM (SELECT unnest(regexp_ex
 )
 def tfidf_small_stop(spark, sf):
     """A tenth of the features, without the words of the benchmark texts."""
-    docs = terms(spark, sf)
+    docs = terms_once(spark, sf)
     texts = spark.read.parquet(f"{sf}/benchmark.parquet")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), 0)
     stop = texts.select(F.explode(words).alias("w")).select(F.lower("w").alias("term")).distinct()
@@ -179,7 +184,7 @@ def tfidf_sparse_vectors(spark, sf):
     """The ML stages: sparse vectors, summed up here through their numeric entries."""
     from pyspark.ml.functions import vector_to_array
 
-    docs = terms(spark, sf)
+    docs = terms_once(spark, sf)
     train, _ = V.split_train_test(docs)
     model = W.fit_tfidf(train, max_features=2000)
     dense = vector_to_array(F.col("features"))
