@@ -76,6 +76,9 @@ def pair_distances(
     )
 
 
+_CACHED = 1 << 15  # numbers of a part of a batch: 256 kB
+
+
 def _nearest_rows(rows: np.ndarray, centers: np.ndarray, distance: str) -> np.ndarray:
     """Nearest centroid of each row of a matrix, the lowest number on ties.
 
@@ -83,7 +86,9 @@ def _nearest_rows(rows: np.ndarray, centers: np.ndarray, distance: str) -> np.nd
     Rows are taken some at a time, so memory does not follow the number of centroids.
     """
     result = np.empty(len(rows), np.int32)
-    step = max(1, 4_000_000 // max(1, len(centers)))
+    # a part stays in a core's cache while all centroids pass over it
+    width = max(1, rows.shape[1]) if rows.ndim == 2 else 1
+    step = max(1, min(4_000_000 // max(1, len(centers)), max(64, _CACHED // width)))
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
         found = np.empty((len(centers), len(part)))
@@ -316,8 +321,12 @@ def _round_sums(rows: DataFrame, centroids: list[list[float]], distance, unit: f
             for start in range(0, len(points), _ROWS):
                 part = slice(start, start + _ROWS)
                 whole, below = _limbs(points[part], unit)
-                np.add.at(totals[:, 1], now[part], whole)
-                np.add.at(totals[:, 0], now[part], below)
+                # rows by cluster, each cluster added as one run: whole numbers, so any order gives the same
+                order = np.argsort(now[part], kind="stable")
+                starts = np.flatnonzero(np.diff(now[part][order], prepend=-1))
+                runs = now[part][order[starts]]
+                totals[runs, 1] += np.add.reduceat(whole[order], starts, axis=0)
+                totals[runs, 0] += np.add.reduceat(below[order], starts, axis=0)
                 totals = np.stack([_carried(t) for t in totals])
             sizes += np.bincount(now, minlength=len(centers))
         seen = np.flatnonzero(sizes)
