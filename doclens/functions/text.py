@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ NUMBER_RUN = r"(?:\p{Nd}+[.,]?)+"
 SENTENCE_END = r"[.?!]"
 OTHER_MARK = r"[^\p{L}\p{N}_ <>]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+# Up to here few characters fold to another than their small letter; most texts have none beyond.
+PLAIN_END = "\u0148"
 
 
 @lru_cache(maxsize=1)
@@ -28,18 +30,29 @@ def _fold_rules() -> tuple[dict[str, str], dict[str, str]]:
     return single, multiple
 
 
-def _class(chars: list[str]) -> str:
-    """A character class of exactly ``chars``."""
+def _class(chars: list[str], gap: int = 1) -> str:
+    """A character class of ``chars``; ranges less than ``gap`` apart are one, with what lies between."""
     codes = sorted(map(ord, chars))
     ranges = [[codes[0], codes[0]]]
     for code in codes[1:]:
-        if code == ranges[-1][1] + 1:
+        if code <= ranges[-1][1] + gap:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
     return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
+@lru_cache(maxsize=1)
+def _lowered_from() -> dict[str, list[str]]:
+    """The characters above ``PLAIN_END`` that give a character when lower-cased, itself included. Capital sigma gives the
+    final one at the end of a word."""
+    sources: dict[str, list[str]] = {"ς": ["Σ"]}
+    for char in map(chr, range(ord(PLAIN_END) + 1, sys.maxunicode + 1)):
+        for lowered in {char, *char.lower()}:
+            sources.setdefault(lowered, []).append(char)
+    return sources
+
+
 @lru_cache(maxsize=1)
 def _blanks() -> dict[str, str]:
     """Every white-space character to a plain blank."""
@@ -50,21 +63,50 @@ def _blanks() -> dict[str, str]:
 def fold_case(text: Column, also: dict[str, str] | None = None) -> Column:
     """Full Unicode case folding; ``also`` adds further one-to-one rewrites to the same pass.
 
-    ``lower`` and ``translate`` do nearly all of it. The roughly hundred letters
-    that fold to several (ligatures, accented Greek) are rewritten one by one,
-    and only in texts that hold one of them.
+    ``lower`` and, for a text that may need more, ``translate`` do nearly all of it. The roughly hundred letters
+    that fold to several (ligatures, accented Greek) are rewritten one by one. Both cost far more a character
+    than the rest, so only texts that hold such a character take that way; the others need a few plain
+    replacements. What decides is a wider class of the given text, so the text is not folded to decide.
     """
     single, multiple = _fold_rules()
     multiple = dict(multiple)
     sharp_s = multiple.pop("ß")
     single = single | (also or {})
-    text = F.translate(F.lower(text), "".join(single), "".join(single.values()))
-    text = F.replace(text, F.lit("ß"), F.lit(sharp_s))
+    lowered = F.lower(text)
+    plain = reduce(_replaced, _by_target(c for c in single.items() if c[0] <= PLAIN_END), lowered)
+    full = F.replace(F.translate(lowered, "".join(single), "".join(single.values())), F.lit("ß"), F.lit(sharp_s))
     rare = F.create_map(*[F.lit(part) for pair in multiple.items() for part in pair])
     rewritten = F.array_join(
-        F.transform(F.split(text, ""), lambda char: F.coalesce(F.element_at(rare, char), char)), ""
+        F.transform(F.split(full, ""), lambda char: F.coalesce(F.element_at(rare, char), char)), ""
     )
-    return F.when(text.rlike(_class(list(multiple))), rewritten).otherwise(text)
+    beyond = text.rlike(rf"[\x{{{ord(PLAIN_END) + 1:x}}}-\x{{{sys.maxunicode:x}}}]")
+    return (
+        F.when(beyond & text.rlike(_sources(multiple)), rewritten)
+        .when(beyond & text.rlike(_sources(single)), full)
+        .otherwise(F.replace(plain, F.lit("ß"), F.lit(sharp_s)))
+    )
+
+
+def _by_target(rules: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(all characters that are rewritten to it, target)."""
+    chars: dict[str, str] = {}
+    for char, target in rules:
+        chars[target] = chars.get(target, "") + char
+    return [(sources, target) for target, sources in chars.items()]
+
+
+def _replaced(text: Column, rule: tuple[str, str]) -> Column:
+    """One character is replaced, of several any. A class of listed characters, not ranges, is a bit set up to U+00FF."""
+    chars, target = rule
+    if len(chars) == 1:
+        return F.replace(text, F.lit(chars), F.lit(target))
+    return F.regexp_replace(text, "[" + "".join(rf"\x{{{ord(c):x}}}" for c in chars) + "]", target)
+
+
+def _sources(chars: Iterable[str]) -> str:
+    """A class of at least the characters beyond ``PLAIN_END`` that are, or give when lower-cased, one of ``chars``."""
+    sources = _lowered_from()
+    return _class([source for char in chars for source in sources.get(char, [])], gap=16)
 
 
 def tokenise_words(text: Column) -> Column:

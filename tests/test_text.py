@@ -121,3 +121,24 @@ def test_rare_letters_are_an_exact_class():
     pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), T._class(multiple)))
     assert all(pattern.match(c) for c in multiple)
     assert not any(pattern.match(c) for c in "šžřěůğşıİệữάέήßab")
+
+
+def test_folding_decides_by_the_given_text(spark, capsys):
+    from doclens.functions import text as T
+
+    spark.createDataFrame([("x",)], "t string").select(fold_case(F.col("t"), T._blanks()).alias("f")).explain()
+    plan = capsys.readouterr().out.lower()
+    assert "rlike(t#" in plan  # not of the folded text, which would be folded twice, by a map of characters
+    assert not any(f"rlike({call}(" in plan for call in ("replace", "translate", "lower"))
+
+
+def test_every_way_of_folding_gives_the_same(spark):
+    """Words of plain letters, with blanks, and with each letter that needs one of the longer ways."""
+    from doclens.functions import text as T
+
+    single, multiple = T._fold_rules()
+    letters = [c for c in [*single, *multiple, *map(str.upper, single), *"ẞKÅİŸΣ"] if len(c) == 1]
+    texts = [f"Ä\tß{c}\x85µ{c}" for c in letters]
+    folded = column(spark, texts, lambda t: fold_case(t, T._blanks()))
+    blank = str.maketrans(T._blanks())
+    assert folded == [t.lower().casefold().translate(blank) for t in texts]
