@@ -226,11 +226,18 @@ def _unit(weights: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, values: str = "terms") -> DataFrame:
-    """(term, df, n): documents holding the term, and its corpus count, in one pass."""
+    """(term, df, n): documents holding the term, and its corpus count, in one pass.
+
+    A row's terms are followed by its different terms once more, and the place tells which of both an
+    element is. Generated code does all of it; ``run_lengths`` evaluates a lambda for every term."""
+    terms = F.col(values)
+    places = F.posexplode_outer(F.concat(terms, F.array_distinct(terms))).alias("_pos", "term")
+    again = F.col("_pos") >= F.col("_size")
     return (
-        unnest(docs, [], arrays.run_lengths(F.col(values)), "_run")
-        .groupBy(F.col("_run.value").alias("term"))
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("_run.n").alias("n"))
+        docs.select(F.size(terms).alias("_size"), places)
+        .filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.count_if(again).alias("df"), F.count_if(~again).alias("n"))
     )
 
 

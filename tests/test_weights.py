@@ -123,3 +123,12 @@ def test_top_terms_in_the_row(spark, docs):
     found = W.top_icf_terms(encoded, vocab, 3)
     row = lambda r: (r["doc_id"], r["rn"], r["symbol"], r["weight"])
     assert sorted(map(row, found.collect())) == sorted(map(row, wanted.collect()))
+
+
+def test_document_frequencies_need_no_lambda(spark, capsys):
+    """Terms are counted by generated code; repeats, empty and null arrays give what counting by hand gives."""
+    rows = [(1, ["a", "b", "a"]), (2, ["b"]), (3, []), (4, None), (5, ["a", "a", "a"])]
+    counted = W.document_frequencies(spark.createDataFrame(rows, "doc_id long, terms array<string>"))
+    assert sorted(map(tuple, counted.collect())) == [("a", 2, 5), ("b", 2, 2)]
+    counted.explain()
+    assert "lambda" not in capsys.readouterr().out
