@@ -122,6 +122,19 @@ def tokenise_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def has_words(text: Column, least: int) -> Column:
+    """True only for a text whose word tokens are ``least`` or more, told without making them; null for a null text.
+
+    Counted are the characters that begin a run of others than white space after a plain blank. ``tokenise_words`` makes
+    a token or more of each run: folding neither removes nor blanks a character, and no pattern reaches over a
+    blank. Runs after other white space are not counted. The text is read up to the run that decides.
+    """
+    blanks = sorted(map(ord, [" ", *_blanks()]))
+    gaps = [(low + 1, high - 1) for low, high in zip(blanks, [*blanks[1:], sys.maxunicode + 1]) if low + 1 < high]
+    begins = "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in gaps)  # ASCII first, most texts need no more
+    return text.rlike(rf"^(?:[^ ]* [^{begins}]*+[{begins}]){{{least}}}+")
+
+
 def tokenise_chars(text: Column) -> Column:
     """One symbol per code point."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), ""), "")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import arrays
-from doclens.functions.text import tokeniser
+from doclens.functions.text import has_words, tokeniser
 from doclens.operators.blockfile import BLOCK, write_blocks
 from doclens.operators.lookup import (
     bounded_rows,
@@ -36,7 +36,11 @@ def short_documents(
     """``with_tokens`` for documents of fewer than ``max_len`` tokens; null texts go.
 
     The tokens come out of a generator of one row, which the optimiser neither repeats nor filters below:
-    a plain filter on their number is pushed under the projection and tokenises every text twice."""
+    a plain filter on their number is pushed under the projection and tokenises every text twice. Texts with
+    ``max_len`` words between blanks have as many tokens or more: they are left out untokenised, where they are
+    read, before any shuffle below."""
+    if level == "word" and max_len > 0:
+        docs = docs.filter(~F.coalesce(has_words(F.col(text), max_len), F.lit(False)))
     once = F.explode_outer(F.array(tokeniser(level)(F.col(text))))
     kept = [c for c in docs.columns if c != out]
     return docs.select(*kept, once.alias(out)).filter(F.size(out) < max_len)

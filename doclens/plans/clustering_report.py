@@ -72,28 +72,29 @@ def dense_features(
 ) -> DataFrame:
     """Add dense ``features``: mean word vectors learnt from the training split, by the library's Word2Vec
     or, ``repeatable``, by ``cooccurrence.fit_vectors``, which gives every run the same bits."""
-    train, _ = split_train_test(docs)
     vocab = written(build_vocab(symbol_counts(docs), most_common=most_common), "vocab")
+    capped = written(capped_tokens(docs, vocab), "capped")
+    train, _ = split_train_test(capped)
     if repeatable:
-        capped = written(capped_tokens(docs, vocab), "capped")
-        vectors = cooccurrence.fit_vectors(split_train_test(capped)[0], size, seed=seed)
+        vectors = cooccurrence.fit_vectors(train, size, seed=seed)
         return cooccurrence.mean_vectors(capped, vectors).withColumn("features", array_to_vector("vec")).drop("vec")
-    model = fit_embedding(capped_tokens(train, vocab), size, seed=seed)
-    embedded = embed_documents(capped_tokens(docs, vocab), model)
+    embedded = embed_documents(capped, fit_embedding(train, size, seed=seed))
     return embedded.withColumn("features", array_to_vector("vec")).drop("vec")
 
 
 def report(featured: DataFrame, k: int = 0, seed: int = 0) -> Report:
     """Fit on the training split, then size, label and hit-rate scores.
 
-    ``k`` of 0 means as many clusters as there are training labels.
+    ``k`` of 0 means as many clusters as there are training labels. Clusters of the training rows are written,
+    without the features; of the silhouette only the sample is assigned.
     """
     rows = written(featured.select("doc_id", "split", "topics", "features"), "features")
     train, test = split_train_test(rows)
     model = kmeans_fit(train, choose_k(train, k), seed=seed)
-    fitted = model.transform(train).select("doc_id", "cluster", "topics", "features")
+    fitted = written(model.transform(train).select("doc_id", "cluster", "topics"), "fitted")
     guessed = model.transform(test).select("doc_id", "cluster", "topics")
-    sample = evaluation.silhouette_sample(fitted, seed=seed).withColumn("weights", _entries("features"))
+    drawn = evaluation.silhouette_sample(train.select("doc_id", "features"), seed=seed)
+    sample = model.transform(drawn).withColumn("weights", _entries("features"))
     return _scored(model, fitted, guessed, sparse.silhouettes(sample))
 
 

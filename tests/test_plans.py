@@ -84,3 +84,13 @@ def test_left_out_by_length(spark):
 def test_stop_words_by_default(spark):
     words = {r["term"] for r in P.english_stop_words(spark).collect()}
     assert {"the", "of", "i"} <= words
+
+
+def test_a_report_assigns_its_rows_once(spark, monkeypatch):
+    lookups, capped = [], P.capped_tokens
+    monkeypatch.setattr(P, "capped_tokens", lambda *given: lookups.append(1) or capped(*given))
+    rep = P.report(P.dense_features(P.prepare(themed(spark)), 6), k=2, seed=1)
+    assert len(lookups) == 1
+    # What is compared later are written clusters, not the features assigned anew.
+    assert rep.train.inputFiles() and all("/fitted-" in file for file in rep.train.inputFiles())
+    assert rep.train.count() == 48 and rep.train.columns == ["doc_id", "cluster", "topics"]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from doclens.functions.text import has_words
 from doclens.operators import blockfile, sparse
 from doclens.operators import clustering as K
 from doclens.operators import evaluation as E
@@ -280,3 +281,20 @@ def test_a_filter_on_length_does_not_tokenise_twice(spark, docs):
     assert passes(V.with_tokens(docs).filter(F.size("tokens") < 20).select("doc_id", "tokens")) > once
     found = V.short_documents(docs, 20).collect()
     assert sorted(r["doc_id"] for r in found) == [1, 2, 3, 5, 10]
+
+
+def test_long_texts_are_left_out_untokenised(spark):
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    apart = [" ", "  ", "\n", " \n ", "　", "  ", *blanks]
+    words = ["cat", "É", "İ", "ß", "1,000.5", "!", "<", "_", "\x01", "\x01a", "字", "\U0001f600", "ŉ"]
+    texts = [gap.join([word] * n) + end for gap in apart for word in words for n in (3, 4, 5) for end in ("", gap)]
+    texts += [None, "", " ", "a.b.c.d", "cat " * 9000, "cat" * 9000, "\n" * 9000, " 　" * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = V.short_documents(docs, 4).select("doc_id", "tokens")
+    plain = V.with_tokens(docs).filter(F.size("tokens") < 4).select("doc_id", "tokens")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    # The text is looked at below the shuffle, and the tokens are made above it.
+    spread = V.short_documents(docs.repartition(3), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert spread.index("Generate explode") < spread.index("Repartition") < spread.index("Filter NOT coalesce(RLIKE(text")
+    kept = docs.filter(~F.coalesce(has_words(F.col("text"), 4), F.lit(False)))
+    assert not kept.filter("text like 'cat cat cat cat cat%'").count()
