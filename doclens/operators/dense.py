@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclens.operators import skipgram
 from doclens.schemas import BUCKETS
+from doclens.session import scratch_path, written
 
 
 def fit_embedding(
@@ -24,24 +27,55 @@ def fit_embedding(
     iterations: int = 1,
     key: str = "doc_id",
 ) -> Word2VecModel:
-    """Word vectors trained on the token arrays.
+    """Word vectors trained on the token arrays: the steps of the library's Word2Vec (see ``skipgram``).
 
     ``partitions`` models are trained side by side and averaged after each of the ``iterations``, so
-    both are part of the result and do not follow the cluster. Rows are dealt by ``key`` and sorted.
-    Runs still differ where symbols have equal counts: the library numbers those as they arrive. More
+    both are part of the result and do not follow the cluster. Rows are dealt by ``key`` and sorted, words
+    numbered by falling count, then by symbol, so runs agree. More
     data asks for more partitions, and those for more iterations. Symbols seen fewer than ``min_count`` times have
-    no vector. Training keeps vocabulary x size numbers on the driver, so replace rare symbols
+    no vector. Training keeps vocabulary x size numbers on the driver and in each task, so replace rare symbols
     first (see ``capped_tokens``).
     """
-    return Word2Vec(
-        vectorSize=size,
-        seed=seed,
-        minCount=min_count,
-        numPartitions=partitions,
-        maxIter=iterations,
-        inputCol=tokens,
-        outputCol="features",
-    ).fit(docs.select(key, tokens).repartition(partitions, key).sortWithinPartitions(key, tokens))
+    from doclens.operators.vocab import encode, rank_symbols, symbol_counts
+    from doclens.schemas import UNK
+
+    enough = symbol_counts(docs, tokens).filter(F.col("n") >= min_count)
+    ranked = written(rank_symbols(enough, None), "words")
+    counts = [row["n"] for row in ranked.select("rank", "n").orderBy("rank").collect()]
+    if not counts:
+        raise ValueError(f"no symbol is seen {min_count} times or more")
+    table = ranked.select("symbol", (F.col("rank") + UNK).cast("int").alias("id"))
+    ids = encode(docs.select(key, tokens), table, tokens, "_ids", corpus_rule=False).select(key, "_ids")
+    rows = ids.repartition(partitions, key).sortWithinPartitions(key, "_ids").select("_ids")
+    vectors = skipgram.fit_vectors(rows, counts, size, seed, partitions, iterations, first=UNK + 1)
+    named = vectors.join(ranked.select("symbol", (F.col("rank") - 1).cast("int").alias("id")), "id")
+    params = {
+        "vectorSize": size,
+        "seed": seed,
+        "minCount": min_count,
+        "numPartitions": partitions,
+        "maxIter": iterations,
+        "inputCol": tokens,
+        "outputCol": "features",
+    }
+    return _stored_model(named.select(F.col("symbol").alias("word"), "vector"), params)
+
+
+def _stored_model(vectors: DataFrame, params: dict) -> Word2VecModel:
+    """The library's model of (word, vector), by way of its file format."""
+    spark = vectors.sparkSession
+    path = scratch_path(spark, "model")
+    vectors.write.parquet(f"{path}/data")
+    metadata = {
+        "class": "org.apache.spark.ml.feature.Word2VecModel",
+        "timestamp": 0,
+        "sparkVersion": spark.version,
+        "uid": Word2Vec().uid,
+        "paramMap": params,
+        "defaultParamMap": {},
+    }
+    spark.range(0, 1, 1, 1).select(F.lit(json.dumps(metadata))).write.text(f"{path}/metadata")
+    return Word2VecModel.load(path)
 
 
 def capped_tokens(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
