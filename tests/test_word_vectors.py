@@ -1,12 +1,16 @@
 """Word vectors: the library's steps, by partial models that are apart."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from doclens.operators import dense as D
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, tokens array<string>"
 
 
@@ -70,3 +74,18 @@ def test_one_word(spark):
     """A tree of one leaf: the vector stays as it began."""
     found = _vectors(D.fit_embedding(spark.createDataFrame([(1, ["x"] * 9)], SCHEMA), 4))
     assert [*found] == ["x"] and all(0 < abs(v) <= 0.125 for v in found["x"])
+
+
+def _plan(node):
+    yield node
+    for i in range(node.children().size()):
+        yield from _plan(node.children().apply(i))
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_no_tokens_are_joined(spark):
+    """Documents meet the sums of their words with a vector and a number of tokens."""
+    plan = contract.queries()["embed_documents"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    by_document = [node for node in _plan(plan) if node.nodeName() == "Join" and "LeftOuter" in node.toString().split("\n")[0]]
+    names = [node.output().apply(i).name() for node in by_document for i in range(node.output().size())]
+    assert "vec" in names and "tokens" not in names

@@ -225,9 +225,10 @@ def embed_documents(spark, sf):
     said = term_counts(capped, "tokens", "word").join(words, "word")
     sums = said.groupBy("doc_id").agg(*[F.sum(F.col("n") * F.get("_v", i)).alias(f"_s{i}") for i in range(32)])
     wanted = sums.select("doc_id", F.array(*[F.col(f"_s{i}") for i in range(32)]).alias("_sums"))
-    found = D.embed_documents(capped, model).join(wanted, "doc_id", "left")
-    size = F.size("tokens")
-    near = F.forall(F.zip_with("vec", "_sums", lambda x, total: F.abs(x - total / size) < 1e-6), lambda ok: ok)
+    # The number of tokens is taken before the join, so that no tokens are shuffled.
+    found = D.embed_documents(capped, model).select("doc_id", "vec", F.size("tokens").alias("_n"))
+    found = found.join(wanted, "doc_id", "left")
+    near = F.forall(F.zip_with("vec", "_sums", lambda x, total: F.abs(x - total / F.col("_n")) < 1e-6), lambda ok: ok)
     zero = F.forall("vec", lambda x: x == 0)
     return found.select(
         "doc_id", F.size("vec").alias("dims"), F.when(F.col("_sums").isNull(), zero).otherwise(near).alias("is_mean")
