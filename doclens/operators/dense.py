@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclens.operators import skipgram
+from doclens.operators.lookup import bounded_rows, known_or
 from doclens.schemas import BUCKETS
-from doclens.session import scratch_path, written
+from doclens.session import MAX_BROADCAST_ROWS, scratch_path, written
 
 
 def fit_embedding(
@@ -78,15 +79,25 @@ def _stored_model(vectors: DataFrame, params: dict) -> Word2VecModel:
     return Word2VecModel.load(path)
 
 
-def capped_tokens(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Token arrays with symbols outside the vocabulary replaced, so training state is bounded."""
+def capped_tokens(
+    docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_symbols: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Token arrays with symbols outside the vocabulary replaced, so training state is bounded.
+
+    As in ``encode``, up to ``max_symbols`` are looked up inside each row, which then gives the tokens at once; with more
+    the ids are joined. A null array stays null."""
     from doclens.operators.vocab import encode
     from doclens.schemas import UNK
 
+    known = vocab.filter("kept") if "kept" in vocab.columns else vocab
+    rows = bounded_rows(known.filter(F.col("id") != UNK).select("symbol"), max_symbols)
+    if rows is not None:
+        lookup = known_or(docs.sparkSession, [r["symbol"] for r in rows], "<UNK>")
+        return docs.withColumn(tokens, lookup(F.col(tokens)))
     rewritten = F.zip_with(
         tokens, "_ids", lambda token, id_: F.when(id_ == UNK, F.lit("<UNK>")).otherwise(token)
     )
-    return encode(docs, vocab, tokens, "_ids").withColumn(tokens, rewritten).drop("_ids")
+    return encode(docs, vocab, tokens, "_ids", max_symbols=max_symbols).withColumn(tokens, rewritten).drop("_ids")
 
 
 def embed_documents(docs: DataFrame, model: Word2VecModel, out: str = "vec") -> DataFrame:

@@ -50,6 +50,23 @@ def index_lookup(spark, symbols: list[str], ids: list[int], missing: int):
     return lookup.asNondeterministic()
 
 
+def known_or(spark, symbols: list[str], other: str):
+    """``array<string> -> array<string>``: ``other`` in place of every value that is not one of ``symbols``.
+
+    Broadcast, and marked as non-deterministic, like ``index_lookup``."""
+    table = spark.sparkContext.broadcast(pa.array(symbols, pa.string()))
+
+    @F.arrow_udf("array<string>")
+    def lookup(tokens: pa.Array) -> pa.Array:
+        flat = tokens.flatten()
+        values = pc.if_else(pc.is_in(flat, value_set=table.value), flat, pa.scalar(other, flat.type))
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.list_value_length(tokens), 0), pa.int32()))
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, values, mask=pc.is_null(tokens))
+
+    return lookup.asNondeterministic()
+
+
 def frequent_keys(facts: DataFrame, key: str, capacity: int = 10_000) -> DataFrame:
     """(key, at_least): every key on more than 2 / ``capacity`` of the rows, and at most ``capacity`` keys.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from doclens.operators import dense as D
+from doclens.operators import vocab as V
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, tokens array<string>"
@@ -89,3 +90,27 @@ def test_no_tokens_are_joined(spark):
     by_document = [node for node in _plan(plan) if node.nodeName() == "Join" and "LeftOuter" in node.toString().split("\n")[0]]
     names = [node.output().apply(i).name() for node in by_document for i in range(node.output().size())]
     assert "vec" in names and "tokens" not in names
+
+
+def test_tokens_are_capped_alike_by_both_ways(spark):
+    """In the row and by a join: unknown and reserved symbols, empty and null arrays, repeated rows."""
+    rows = [(1, ["a", "b", "zz", "a"]), (2, []), (3, None), (4, ["<STOP>", "<PUNCT>", "a"]), (1, ["a", "b", "zz", "a"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    vocab = spark.createDataFrame(
+        [("a", 5, 3, True), ("b", 6, 1, True), ("<STOP>", 2, 1, True), ("<PUNCT>", 3, 0, False), ("<UNK>", 1, 0, False)],
+        "symbol string, id int, n long, kept boolean",
+    )
+    wanted = [
+        (1, ["a", "b", "<UNK>", "a"]), (1, ["a", "b", "<UNK>", "a"]), (2, []), (3, None), (4, ["<STOP>", "<UNK>", "a"])
+    ]
+    for most in (9, 2):
+        found = D.capped_tokens(docs, vocab, max_symbols=most).select("doc_id", "tokens").collect()
+        assert sorted(map(tuple, found), key=lambda r: r[0]) == wanted
+
+
+def test_capped_tokens_are_made_by_the_lookup(spark, docs):
+    """No second pass over the tokens, an interpreted one, behind the lookup."""
+    tokens = V.with_tokens(docs)
+    vocab = V.build_vocab(V.symbol_counts(tokens), most_common=10)
+    plan = D.capped_tokens(tokens, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "zip_with" not in plan
